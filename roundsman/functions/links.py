@@ -25,9 +25,14 @@ def uri_encode(col: Column) -> Column:
 
 
 def number_text(col: Column) -> Column:
-    """Shortest decimal text of a number, whole numbers without a fraction."""
-    whole = col == F.floor(col)
-    return F.when(whole, F.floor(col).cast("bigint").cast("string")).otherwise(col.cast("double").cast("string"))
+    """Shortest decimal text of a coordinate, never in exponent form, whole numbers without a fraction."""
+    whole = F.floor(col)
+    tiny = F.rtrim(col.cast("decimal(38,20)").cast("string"), F.lit("0"))
+    return (
+        F.when(col == whole, whole.cast("bigint").cast("string"))
+        .when(F.abs(col) < 0.001, tiny)
+        .otherwise(col.cast("double").cast("string"))
+    )
 
 
 def lat_lon_text(lat: Column, lon: Column) -> Column:

@@ -11,7 +11,7 @@ from roundsman.functions.text import none_if_empty, text_or_empty
 FIELDS = ("nom", "tel", "rue", "cp", "ville")
 
 
-def _parsed(labels: DataFrame) -> DataFrame:
+def classified(labels: DataFrame) -> DataFrame:
     """Adds ``lines``, ``block`` and ``roles``; one narrow projection per step so that
     no array expression is evaluated twice."""
     return (
@@ -28,7 +28,7 @@ def extract_labels(labels: DataFrame) -> DataFrame:
     Needs no shuffle: every field is an array expression over one row.
     """
     found = (
-        _parsed(labels)
+        classified(labels)
         .withColumn("phones", F.transform(L.lines_with_role(F.col("roles"), "phone"), L.phone))
         .withColumn("chosen", L.best_phone(F.col("phones")))
         .withColumn("town", F.get(L.lines_with_role(F.col("roles"), "town"), F.lit(0)))
@@ -48,7 +48,7 @@ def extract_labels(labels: DataFrame) -> DataFrame:
 
 def label_debug(labels: DataFrame) -> DataFrame:
     """One row per kept line: position, text and role in words."""
-    rows = _parsed(labels).withColumn(
+    rows = classified(labels).withColumn(
         "cp", F.regexp_extract(F.get(L.lines_with_role(F.col("roles"), "town"), F.lit(0)), L.TOWN_LINE, 1)
     )
     return rows.select("label_id", "cp", F.posexplode("roles").alias("pos", "item")).select(

@@ -120,12 +120,16 @@ def apply_insertion(stops: DataFrame, gaps: DataFrame) -> DataFrame:
     without holes, the new stop behind ``gap`` of them. A pending stop without
     coordinates cannot be placed; it stays on the tour, last, with ``unplaced`` set.
     """
-    hit = stops.join(gaps.select("tour_id", "gap"), "tour_id")
     untouched = stops.join(gaps.select("tour_id"), "tour_id", "left_anti").withColumn("unplaced", F.lit(False))
     base = stops.groupBy("tour_id").agg(
         F.coalesce(F.max(F.when(treated(), F.col("ordre"))), F.lit(0)).alias("_base"),
         F.count_if(pending() & F.col("located")).alias("_open"),
     )
+    # a gap behind the last open stop means the end
+    gaps = gaps.join(base, "tour_id", "left").withColumn(
+        "gap", F.least("gap", F.coalesce("_open", F.lit(0)))
+    ).select("tour_id", "gap", "colis_id")
+    hit = stops.join(gaps.select("tour_id", "gap"), "tour_id")
     rest = hit.where(pending()).withColumn("_lost", (~F.col("located")).cast("int"))
     ranked = number_rows(rest, ["tour_id", "_lost"], block_of(F.col("ordre")), ["ordre"], "_k").join(base, "tour_id")
     placed = F.col("_base") + F.col("_k") + F.when(F.col("_k") > F.col("gap"), F.lit(1)).otherwise(F.lit(0))

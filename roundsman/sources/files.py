@@ -17,6 +17,7 @@ ADDRESS_FILE = T.StructType([
 ])
 
 GRAPH_FILE = T.StructType([
+    T.StructField("name", T.StringType()),
     T.StructField("nodeCoords", T.ArrayType(T.ArrayType(T.DoubleType()))),
     T.StructField("edges", T.ArrayType(T.ArrayType(T.DoubleType()))),
     T.StructField("edgeAdjacency", T.ArrayType(T.ArrayType(T.IntegerType()))),
@@ -46,16 +47,25 @@ def write_addresses(df: DataFrame, path: str) -> None:
     df.withColumn("dept", F.substring("cp", 1, 2)).write.mode("overwrite").partitionBy("dept").parquet(path)
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, turns) of a road graph file; coordinates and weights rounded to 32 bits."""
-    doc = spark.read.schema(GRAPH_FILE).option("multiLine", True).json(path)
-    nodes = doc.select(F.posexplode("nodeCoords").alias("node", "x")).select(
-        "node", F.col("x")[0].cast("float").alias("lat"), F.col("x")[1].cast("float").alias("lon")
+def read_graph(spark: SparkSession, path: str, whole_files: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, turns) of road graph files; coordinates and weights rounded to 32 bits.
+
+    Each document is one region, named by its ``name`` field or else by its file; numbers
+    count inside the region. ``whole_files`` reads one document per file, otherwise one
+    per line, which splits over tasks.
+    """
+    doc = spark.read.schema(GRAPH_FILE).option("multiLine", whole_files).json(path)
+    doc = doc.withColumn("region", F.coalesce("name", F.input_file_name()))
+    nodes = doc.select("region", F.posexplode("nodeCoords").alias("node", "x")).select(
+        "region", "node", F.col("x")[0].cast("float").alias("lat"), F.col("x")[1].cast("float").alias("lon")
+    )
+    edges = doc.select("region", F.posexplode("edges").alias("e", "x")).select(
+        "region", "e", F.col("x")[0].cast("int").alias("u"), F.col("x")[1].cast("int").alias("v"),
+        F.col("x")[2].cast("float").alias("w"),
     )
-    edges = doc.select(F.posexplode("edges").alias("e", "x")).select(
-        "e", F.col("x")[0].cast("int").alias("u"), F.col("x")[1].cast("int").alias("v"), F.col("x")[2].cast("float").alias("w")
+    turns = doc.select("region", F.posexplode("edgeAdjacency").alias("e", "next")).select(
+        "region", "e", F.explode("next").alias("f")
     )
-    turns = doc.select(F.posexplode("edgeAdjacency").alias("e", "next")).select("e", F.explode("next").alias("f"))
     return nodes, edges, turns
 
 
