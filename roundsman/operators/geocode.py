@@ -252,7 +252,7 @@ def search_addresses(queries: DataFrame, addresses: DataFrame, k: int = SEARCH_R
     keyed = cells.where(F.col("gram").isNotNull())
     starts = F.sequence(F.lit(1), F.length("_hay") - 2)
     listed = hay.where(F.length("_hay") >= 3).select(
-        "*", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_hay"), i, F.lit(3))))).alias("gram")
+        "*", F.explode_outer(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_hay"), i, F.lit(3))))).alias("gram")
     )
     by_gram = keyed.join(listed, ["cp", "gram"])
     by_cp = cells.where(F.col("gram").isNull()).join(hay, "cp").select(*by_gram.columns)
@@ -282,7 +282,7 @@ def suggest_cities(prefixes: DataFrame, addresses: DataFrame, k: int = 6) -> Dat
     asked = asked.where(F.length("typed") >= 2)
     towns = addresses.groupBy("cn").agg(F.min(F.struct("id", "c", "cp")).alias("t"))
     spread = towns.where(F.length("cn") >= 2).select(
-        F.explode(F.transform(F.sequence(F.lit(2), F.length("cn")), lambda i: F.substring(F.col("cn"), F.lit(1), i))).alias("typed"),
+        F.explode_outer(F.transform(F.sequence(F.lit(2), F.length("cn")), lambda i: F.substring(F.col("cn"), F.lit(1), i))).alias("typed"),
         F.col("t.id").alias("town_id"), F.col("t.c").alias("c"), F.col("t.cp").alias("town_cp"),
     )
     w = Window.partitionBy("typed").orderBy("town_id")

@@ -13,7 +13,8 @@ FIELDS = ("nom", "tel", "rue", "cp", "ville")
 
 def classified(labels: DataFrame) -> DataFrame:
     """Adds ``lines``, ``block`` and ``roles``; one narrow projection per step so that
-    no array expression is evaluated twice."""
+    no array expression is evaluated twice. (Spread ``roles`` with an outer explode: the
+    plain one infers a size filter that is pushed down as a second copy of it all.)"""
     return (
         labels.withColumn("lines", L.label_lines(F.col("raw_text")))
         .withColumn("block", L.after_anchor(F.col("lines")))
@@ -51,7 +52,7 @@ def label_debug(labels: DataFrame) -> DataFrame:
     rows = classified(labels).withColumn(
         "cp", F.regexp_extract(F.get(L.lines_with_role(F.col("roles"), "town"), F.lit(0)), L.TOWN_LINE, 1)
     )
-    return rows.select("label_id", "cp", F.posexplode("roles").alias("pos", "item")).select(
+    return rows.select("label_id", "cp", F.posexplode_outer("roles").alias("pos", "item")).where("item IS NOT NULL").select(
         "label_id",
         (F.col("pos") + 1).alias("pos"),
         F.col("item.line").alias("line"),

@@ -51,8 +51,7 @@ def nearest_neighbor(points: DataFrame, matrix: DataFrame) -> DataFrame:
     """
     spark = matrix.sparkSession
     movable = points.where((F.col("i") != 0) & ~F.col("fixed_end")).select("tour_id", "i")
-    with round_settings(spark):
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with round_settings(spark, matrix.count()) as parts:
         open_legs = (
             matrix.where((F.col("i") != F.col("j")) & _finite(F.col("seconds")))
             .join(movable.withColumnRenamed("i", "j"), ["tour_id", "j"], "left_semi")
@@ -220,8 +219,7 @@ def two_opt(
     """
     spark = matrix.sparkSession
     movable = orders.where(~F.col("locked")).groupBy("tour_id").agg((F.count("*") >= MIN_MOVABLE).alias("active"))
-    with round_settings(spark):
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with round_settings(spark, matrix.count()) as parts:
         legs_only = matrix.where(F.col("i") != F.col("j")).select("tour_id", "i", "j", "seconds")
         state = cut_lineage(
             orders.select("tour_id", "pos", "i", "avant12h", "locked")

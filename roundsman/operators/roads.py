@@ -38,14 +38,12 @@ def search_states(
     those are combined before they move.
     """
     spark = edges.sparkSession
-    with round_settings(spark):
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sources = sources.select("source").distinct()
+    with round_settings(spark, sources.count() * edges.count()) as parts:
         steps = cut_lineage(_weighted_turns(edges, turns).repartition(parts, "e"))
         small = steps.count() <= BROADCAST_TURNS
-        seeds = (
-            sources.select("source").distinct()
-            .join(edges.select(F.col("u").alias("source"), F.col("e").alias("edge"), F.col("w").cast("double").alias("d")), "source")
-        )
+        ways = edges.select(F.col("u").alias("source"), F.col("e").alias("edge"), F.col("w").cast("double").alias("d"))
+        seeds = sources.join(ways, "source")
         if cap_seeds:
             seeds = seeds.where(F.col("d") <= max_s)
         state = seeds.groupBy("source", "edge").agg(F.min("d").alias("d")).withColumn("hop", F.lit(0))
@@ -121,7 +119,7 @@ def shortest_paths(
     state = search_states(wanted.select("source"), edges, turns, max_s, cap_seeds=False)
     spark = edges.sparkSession
     road = edges.select(F.col("e").alias("edge"), "u", "v", F.col("w").cast("double").alias("w"))
-    with round_settings(spark):
+    with round_settings(spark, wanted.count()):
         last = (
             wanted.join(road.select("edge", F.col("v").alias("target")), "target")
             .join(state, ["source", "edge"])

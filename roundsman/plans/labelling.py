@@ -69,13 +69,13 @@ def _(v):
 
 @query("ex04_classify_lines", "WITH " + _LINES + " SELECT label_id, pos, line, role FROM roled")
 def _(v):
-    rows = O.classified(v.label).select("label_id", F.posexplode("roles").alias("pos", "x"))
+    rows = O.classified(v.label).select("label_id", F.posexplode_outer("roles").alias("pos", "x")).where("x IS NOT NULL")
     return rows.select("label_id", (col("pos") + 1).cast("bigint").alias("pos"), "x.line", "x.role")
 
 
 @query("ex05_phone", "WITH " + _LINES + " SELECT label_id, pos, phone, confidence FROM phones")
 def _(v):
-    rows = O.classified(v.label).select("label_id", F.posexplode("roles").alias("pos", "x"))
+    rows = O.classified(v.label).select("label_id", F.posexplode_outer("roles").alias("pos", "x")).where("x IS NOT NULL")
     phones = rows.where(col("x.role") == "phone").select("label_id", "pos", L.phone(col("x.line")).alias("p"))
     return phones.select("label_id", (col("pos") + 1).cast("bigint").alias("pos"), "p.phone", "p.confidence")
 

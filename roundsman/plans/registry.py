@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roundsman.plans.derive import Views
 from roundsman.plans.oracle import statement
+from roundsman.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -17,7 +18,11 @@ def query(name: str, sql: str | None = None):
     """Register ``build(views) -> DataFrame`` under a name; ``sql`` refers to views as ``{view}``."""
 
     def register(build: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(Views(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            prepare(spark)
+            return build(Views(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             CHECKS[name] = statement(sql)
         return build

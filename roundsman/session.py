@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # only matters for small inputs: lets a compute-heavy join on little data use every
+    # core; at scale the advisory partition size decides
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
 }
 
 
@@ -27,6 +30,12 @@ def build_session(app: str = "roundsman", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Apply ``SETTINGS`` to a session somebody else has built."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -59,9 +68,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: State rows one task of a loop is meant to hold.
+_ROWS_PER_TASK = 100_000
+
+
 @contextlib.contextmanager
-def round_settings(spark: SparkSession):
-    """Settings for loops of many small dependent jobs.
+def round_settings(spark: SparkSession, rows: int):
+    """Settings for loops of many small dependent jobs; yields the partition count.
+
+    ``rows`` bounds the carried state. The count is the session's shuffle setting, or
+    less for a state too small to fill that many tasks.
 
     Hash partitionings must stay exactly as declared from one round to the next
     so that the carried state is never shuffled again; AQE would merge
@@ -72,11 +88,14 @@ def round_settings(spark: SparkSession):
         "spark.sql.adaptive.enabled": "false",
         "spark.sql.constraintPropagation.enabled": "false",
     }
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, max(spark.sparkContext.defaultParallelism, rows // _ROWS_PER_TASK))
+    wanted["spark.sql.shuffle.partitions"] = str(parts)
     before = {key: spark.conf.get(key) for key in wanted}
     try:
         for key, value in wanted.items():
             spark.conf.set(key, value)
-        yield
+        yield parts
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
