@@ -7,18 +7,28 @@ without the start.
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from roundsman.operators import batch_order
 from roundsman.operators.ranges import block_of, number_rows, running_sums
 from roundsman.session import cut_lineage, round_settings
 
 INF = float("inf")
 
+# the code travels with the task, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(batch_order)
+
 # Smallest gain that counts, and fewest movable stops worth improving.
 MIN_GAIN = 1e-9
 MIN_MOVABLE = 4
 
+#: Tours up to this many points are ordered inside a task (a matrix of half a megabyte);
+#: bigger ones go through one DataFrame round per step, with the same result.
+SMALL_TOUR = 256
+
 
 def _finite(seconds: Column) -> Column:
     return F.coalesce(seconds < INF, F.lit(False))
@@ -41,13 +51,81 @@ def tour_cost(orders: DataFrame, matrix: DataFrame, penalty_s: float) -> DataFra
     return legs(orders, matrix).groupBy("tour_id").agg(F.sum(F.col("seconds") + late).alias("cost"))
 
 
+def _small_tours(
+    points: DataFrame, matrix: DataFrame, walk: bool, improve: bool, penalty_s: float = 0.0, max_rounds: int | None = None
+) -> DataFrame:
+    """(tour_id, pos, i, avant12h, locked, seconds) of tours that fit a task.
+
+    One shuffle by tour brings the point rows (marked i = -1, point in j) and the matrix
+    rows together in sorted order; a partition streams through in Arrow batches.
+    """
+    none = F.lit(None)
+    rows = points.select(
+        "tour_id", F.lit(-1).cast("bigint").alias("i"), F.col("i").cast("bigint").alias("j"), F.lit(0.0).alias("seconds"),
+        F.col("pos").cast("bigint").alias("pos"), F.coalesce("avant12h", F.lit(False)).alias("avant12h"),
+        F.coalesce("locked", F.lit(False)).alias("locked"),
+    )
+    links = matrix.select(
+        "tour_id", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("seconds").cast("double"),
+        none.cast("bigint").alias("pos"), none.cast("boolean").alias("avant12h"), none.cast("boolean").alias("locked"),
+    )
+    kind = points.schema["tour_id"].dataType
+    schema = T.StructType([T.StructField("tour_id", kind)] + [
+        T.StructField(n, t) for n, t in (
+            ("pos", T.LongType()), ("i", T.LongType()), ("avant12h", T.BooleanType()), ("locked", T.BooleanType()),
+            ("seconds", T.DoubleType()),
+        )
+    ])
+    together = rows.unionByName(links).repartition("tour_id").sortWithinPartitions("tour_id", "i", "j")
+    return together.mapInArrow(batch_order.solve_partition(walk, improve, penalty_s, MIN_GAIN, MIN_MOVABLE, max_rounds), schema)
+
+
+def _by_size(points: DataFrame, matrix: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """(small points, small matrix, big points, big matrix, any big): split by the checked tour size."""
+    sizes = points.groupBy("tour_id").agg(F.count("*").alias("_n"))
+    big = sizes.where(F.col("_n") > SMALL_TOUR).select("tour_id")
+    if big.isEmpty():
+        return points, matrix, points, matrix, False
+    big = cut_lineage(big)
+
+    def only(df: DataFrame, how: str) -> DataFrame:
+        return df.join(big, "tour_id", how)
+
+    return only(points, "left_anti"), only(matrix, "left_anti"), only(points, "left_semi"), only(matrix, "left_semi"), True
+
+
+def _as_points(orders: DataFrame) -> DataFrame:
+    """Order rows plus the start of every tour."""
+    start = orders.select("tour_id").distinct().select(
+        "tour_id", F.lit(0).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("pos"),
+        F.lit(False).alias("avant12h"), F.lit(False).alias("locked"),
+    )
+    return orders.select("tour_id", "i", "pos", "avant12h", "locked").unionByName(start)
+
+
+def _walk_points(points: DataFrame) -> DataFrame:
+    noon = F.col("avant12h") if "avant12h" in points.columns else F.lit(False)
+    return points.select(
+        "tour_id", "i", F.lit(-1).cast("bigint").alias("pos"), noon.alias("avant12h"), F.col("fixed_end").alias("locked")
+    )
+
+
 def nearest_neighbor(points: DataFrame, matrix: DataFrame) -> DataFrame:
     """(tour_id, pos, i): always on to the closest open point, lowest number on a tie.
 
-    ``points(tour_id, i, fixed_end)``. Points that cannot be reached from where the
-    walk stops follow in number order; a fixed end comes last. One round places one
-    stop in every tour. The matrix stays partitioned by (tour_id, i); a round moves
-    one matrix row per open point.
+    ``points(tour_id, i, fixed_end)`` includes the start. Points that cannot be reached
+    from where the walk stops follow in number order; a fixed end comes last.
+    """
+    small, small_m, big, big_m, any_big = _by_size(points, matrix)
+    near = _small_tours(_walk_points(small), small_m, True, False).select("tour_id", "pos", "i")
+    return near.unionByName(walk_by_rounds(big, big_m)) if any_big else near
+
+
+def walk_by_rounds(points: DataFrame, matrix: DataFrame) -> DataFrame:
+    """``nearest_neighbor`` for tours of any size: one round places one stop in every tour.
+
+    The matrix stays partitioned by (tour_id, i); a round moves one matrix row per open
+    point.
     """
     spark = matrix.sparkSession
     movable = points.where((F.col("i") != 0) & ~F.col("fixed_end")).select("tour_id", "i")
@@ -121,7 +199,7 @@ def _with_prefixes(order: DataFrame, by_pair: DataFrame, penalty_s: float) -> Da
 
     inner = F.col("pos") > 0  # the link between start and first stop is never driven backwards
     noon = F.col("avant12h").cast("bigint")
-    summed = running_sums(
+    summed = cut_lineage(running_sums(
         order.join(timed, ["tour_id", "pos"]), ["tour_id"], block_of(F.col("pos")), ["pos"],
         {
             "f": finite("fs"), "f_inf": infinite("fs"),
@@ -129,7 +207,7 @@ def _with_prefixes(order: DataFrame, by_pair: DataFrame, penalty_s: float) -> Da
             "r_inf": F.when(inner, infinite("rs")).otherwise(F.lit(0).cast("bigint")),
             "q": noon * F.col("pos") * F.lit(float(penalty_s)), "c": noon,
         },
-    ).drop("fs", "rs")
+    ).drop("fs", "rs"))
     start = summed.select("tour_id", "active", "ca", "cb").distinct().select(
         "tour_id", F.lit(-1).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("i"), F.lit(False).alias("avant12h"),
         F.lit(False).alias("locked"), "active", "ca", "cb",
@@ -214,9 +292,19 @@ def two_opt(
     Reversals are scanned by (first, last position); an improving one is taken at once
     and the scan goes on behind it, starting over as long as a pass improved anything.
     Locked stops (the tail) never move, and tours with fewer than four movable stops
-    stay as they are. Each round applies the next improving reversal of every tour; a
-    round limit replaces a wall-clock budget, so results are repeatable.
+    stay as they are. A limit on reversals per tour replaces a wall-clock budget, so
+    results are repeatable.
     """
+    small, small_m, big, big_m, any_big = _by_size(orders, matrix)
+    columns = ["tour_id", "pos", "i", "avant12h", "locked"]
+    near = _small_tours(_as_points(small), small_m, False, True, penalty_s, max_rounds).select(*columns)
+    return near.unionByName(two_opt_by_rounds(big, big_m, penalty_s, max_rounds)) if any_big else near
+
+
+def two_opt_by_rounds(
+    orders: DataFrame, matrix: DataFrame, penalty_s: float, max_rounds: int | None = None
+) -> DataFrame:
+    """``two_opt`` for tours of any size: each round applies every tour's next improving reversal."""
     spark = matrix.sparkSession
     movable = orders.where(~F.col("locked")).groupBy("tour_id").agg((F.count("*") >= MIN_MOVABLE).alias("active"))
     with round_settings(spark, matrix.count()) as parts:
@@ -236,7 +324,7 @@ def two_opt(
         rounds = 0
         while (max_rounds is None or rounds < max_rounds) and not state.where(F.col("active")).isEmpty():
             rounds += 1
-            rows = _with_prefixes(state.where(F.col("active")), by_pair, penalty_s)
+            rows = cut_lineage(_with_prefixes(state.where(F.col("active")), by_pair, penalty_s))
             moves = _best_moves(rows, by_from, penalty_s)
             hit = (F.col("a").isNotNull()) & F.col("pos").between(F.col("a"), F.col("b"))
             state = cut_lineage(
@@ -258,9 +346,13 @@ def optimize(
 
     ``points(tour_id, i, avant12h, fixed_end)`` gives (tour_id, pos, i, seconds).
     """
-    first = nearest_neighbor(points, matrix)
-    marked = first.join(
-        points.select("tour_id", "i", "avant12h", F.col("fixed_end").alias("locked")), ["tour_id", "i"]
+    small, small_m, big, big_m, any_big = _by_size(points, matrix)
+    columns = ["tour_id", "pos", "i", "seconds"]
+    near = _small_tours(_walk_points(small), small_m, True, True, penalty_s, max_rounds).select(*columns)
+    if not any_big:
+        return near
+    marked = walk_by_rounds(big, big_m).join(
+        big.select("tour_id", "i", "avant12h", F.col("fixed_end").alias("locked")), ["tour_id", "i"]
     )
-    better = two_opt(marked, matrix, penalty_s, max_rounds)
-    return legs(better.select("tour_id", "pos", "i"), matrix)
+    better = two_opt_by_rounds(marked, big_m, penalty_s, max_rounds)
+    return near.unionByName(legs(better.select("tour_id", "pos", "i"), big_m).select(*columns))

@@ -84,9 +84,9 @@ _WAY = f"""located AS (SELECT * FROM ({_PLACED}) x WHERE lat IS NOT NULL),
           LEFT JOIN nodes n1 ON n1.node = a LEFT JOIN nodes n2 ON n2.node = b""",
         _WAY,
         _NEAREST.replace("{place}", "place"),
-        """at AS (SELECT p.*, node FROM place p LEFT JOIN snapped s ON s.lat = p.lat AND s.lon = p.lon),
+        """spot AS (SELECT p.*, node FROM place p LEFT JOIN snapped s ON s.lat = p.lat AND s.lon = p.lon),
           legs AS (SELECT x.tour_id, CAST(x.pos AS BIGINT) AS leg, y.done, x.lat, x.lon, y.lat AS lat2, y.lon AS lon2, x.node AS a, y.node AS b
-            FROM at x JOIN at y ON y.tour_id = x.tour_id AND y.pos = x.pos + 1)""",
+            FROM spot x JOIN spot y ON y.tour_id = x.tour_id AND y.pos = x.pos + 1)""",
     ),
 )
 def _(v):
