@@ -10,12 +10,13 @@ from roundsman.functions.text import (
     none_if_empty,
     normalize_city,
     normalize_street,
-    similarity_from_grams,
+    similarity_from_overlap,
     split_number_street,
     text_or_empty,
-    trigrams,
+    trigram_codes,
     trim_blanks,
 )
+from roundsman.session import cut_lineage
 
 # Score parts and limits of the match.
 NUMBER_BONUS = 0.15
@@ -53,21 +54,21 @@ def candidate_pool(queries: DataFrame, addresses: DataFrame) -> DataFrame:
     query with every address of a hot postcode would be quadratic.
     """
     by_cp = addresses.groupBy("cp").agg(F.count("*").alias("_n_cp"))
-    by_cn = addresses.groupBy("cn").agg(F.count("*").alias("_n_cn")).withColumnRenamed("cn", "q_city")
+    by_cn = addresses.groupBy(F.col("cn").alias("_town")).agg(F.count("*").alias("_n_cn"))
     tagged = queries.join(by_cp, "cp", "left")
-    if "q_city" not in tagged.columns:
-        tagged = tagged.withColumn("q_city", normalize_city(F.col("ville")))
-    found = tagged.where(F.col("_n_cp").isNotNull()).select(
-        *queries.columns, _by_postcode(F.col("cp")).alias("pool"), F.col("_n_cp").alias("pool_size")
+    city = F.col("q_city") if "q_city" in queries.columns else normalize_city(F.col("ville"))
+    # rows that need no town get keys that match nothing but still spread over all tasks
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("cp", "q_city"), F.lit(65536)).cast("string"))
+    tagged = tagged.withColumn("q_city", city).withColumn(
+        "_town", F.when(F.col("_n_cp").isNull() & (F.col("q_city") != ""), F.col("q_city")).otherwise(spread)
     )
-    other = tagged.where(F.col("_n_cp").isNull())
-    town = none_if_empty(F.col("q_city"))
-    fallback = other.join(by_cn, "q_city", "left").select(
+    return tagged.join(by_cn, "_town", "left").select(
         *queries.columns,
-        F.when(F.col("_n_cn").isNotNull() & town.isNotNull(), _by_city(town)).alias("pool"),
-        F.when(town.isNotNull(), F.col("_n_cn")).alias("pool_size"),
+        F.when(F.col("_n_cp").isNotNull(), _by_postcode(F.col("cp")))
+        .when(F.col("_n_cn").isNotNull(), _by_city(F.col("_town")))
+        .alias("pool"),
+        F.coalesce("_n_cp", "_n_cn", F.lit(0)).alias("pool_size"),
     )
-    return found.unionByName(fallback).withColumn("pool_size", F.coalesce("pool_size", F.lit(0)))
 
 
 def score_columns(similarity: Column, q_number: Column, q_city: Column, n: Column, cn: Column) -> Column:
@@ -83,14 +84,29 @@ def score_columns(similarity: Column, q_number: Column, q_city: Column, n: Colum
 
 def score_candidates(pairs: DataFrame) -> DataFrame:
     """Adds ``score`` to (q_street, q_city, q_number) paired with address columns."""
-    grams = pairs.withColumn("_ga", trigrams(F.col("q_street"))).withColumn("_gb", trigrams(text_or_empty(F.col("rn"))))
-    sim = similarity_from_grams(F.col("q_street"), text_or_empty(F.col("rn")), F.col("_ga"), F.col("_gb"))
-    return grams.withColumn("_sim", sim).select(
+    coded = pairs.withColumn("grams", trigram_codes(text_or_empty(F.col("rn")))).withColumn(
+        "q_grams", trigram_codes(F.col("q_street"))
+    )
+    return _with_similarity(coded, "rn").select(
         *pairs.columns,
-        score_columns(F.col("_sim"), F.col("q_number"), F.col("q_city"), F.col("n"), F.col("cn")).alias("score"),
+        score_columns(F.col("similarity"), F.col("q_number"), F.col("q_city"), F.col("n"), F.col("cn")).alias("score"),
     )
 
 
+def _with_similarity(pairs: DataFrame, street: str) -> DataFrame:
+    """Adds ``similarity`` of q_street and a street, whose trigram codes are given.
+
+    The shared trigrams are counted in a projection of their own, so once per pair.
+    """
+    counted = pairs.withColumn("_shared", F.size(F.array_intersect("q_grams", "grams")))
+    return counted.withColumn(
+        "similarity",
+        similarity_from_overlap(
+            F.col("q_street"), text_or_empty(F.col(street)), F.size("q_grams"), F.size("grams"), F.col("_shared")
+        ),
+    ).drop("_shared")
+
+
 def _facets(number: Column, city: Column) -> Column:
     """The four groups an address belongs to: all, same number, same town, both."""
     return F.array(
@@ -109,9 +125,13 @@ def _street_shelf(addresses: DataFrame, pools: DataFrame, k: int) -> DataFrame:
     per partition.
     """
     number, city = trim_blanks(text_or_empty(F.col("n"))), text_or_empty(F.col("cn"))
-    placed = addresses.select(
-        *ADDRESS_COLUMNS, F.explode(F.array(_by_postcode(F.col("cp")), _by_city(F.col("cn")))).alias("pool")
-    ).join(pools, "pool", "left_semi")
+    # joined on the plain columns: joining on the pool would leave a hot pool in one task
+    # for the ranking as well, which groups by pool
+    postcodes = pools.where(F.col("pool").startswith("p:")).select(F.substr("pool", F.lit(3)).alias("cp"))
+    towns = pools.where(F.col("pool").startswith("c:")).select(F.substr("pool", F.lit(3)).alias("cn"))
+    by_cp = addresses.join(postcodes, "cp", "left_semi").select(*ADDRESS_COLUMNS, _by_postcode(F.col("cp")).alias("pool"))
+    by_cn = addresses.join(towns, "cn", "left_semi").select(*ADDRESS_COLUMNS, _by_city(F.col("cn")).alias("pool"))
+    placed = by_cp.unionByName(by_cn)
     faceted = placed.select(
         "pool", F.explode(_facets(number, city)).alias("facet"), text_or_empty(F.col("rn")).alias("street"),
         F.struct(*ADDRESS_COLUMNS).alias("address"),
@@ -121,7 +141,7 @@ def _street_shelf(addresses: DataFrame, pools: DataFrame, k: int) -> DataFrame:
     return (
         low.groupBy("pool", "facet", "street")
         .agg(F.array_sort(F.collect_list("address")).alias("shelf"))
-        .withColumn("grams", trigrams(F.col("street")))
+        .withColumn("grams", trigram_codes(F.col("street")))
     )
 
 
@@ -133,19 +153,19 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
     and town agree. An address in the overall top ``k`` is therefore also in the top
     ``k`` by (similarity, id) of the group that shares its bonuses: all addresses,
     same number, same town, or both. Within a group only distinct streets are
-    compared, each standing for its ``k`` lowest ids. Equal queries are compared once.
+    compared, each standing for its ``k`` lowest ids. Equal queries are compared once;
+    their distinct list is written out once because three steps start from it.
     A pool that is still too big for a task is split by AQE's skew join.
     """
-    asked = queries.select("pool", "q_street", "q_city", "q_number").where(F.col("pool").isNotNull()).distinct()
+    asked = cut_lineage(queries.select("pool", "q_street", "q_city", "q_number").where(F.col("pool").isNotNull()).distinct())
     shelves = _street_shelf(addresses, asked.select("pool").distinct(), k)
     wanted = asked.select(
         "pool", "q_street", F.explode(_facets(F.col("q_number"), F.col("q_city"))).alias("facet")
-    ).distinct().withColumn("q_grams", trigrams(F.col("q_street")))
-    sim = similarity_from_grams(F.col("q_street"), F.col("street"), F.col("q_grams"), F.col("grams"))
+    ).distinct().withColumn("q_grams", trigram_codes(F.col("q_street")))
     best = Window.partitionBy("pool", "facet", "q_street").orderBy(F.col("similarity").desc(), F.col("shelf")[0]["id"])
     streets = (
-        wanted.join(shelves, ["pool", "facet"])
-        .select("pool", "facet", "q_street", "shelf", sim.alias("similarity"))
+        _with_similarity(wanted.join(shelves, ["pool", "facet"]), "street")
+        .select("pool", "facet", "q_street", "shelf", "similarity")
         .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= k)
     )

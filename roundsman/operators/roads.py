@@ -19,7 +19,7 @@ MAX_SECONDS = 3600.0
 BROADCAST_TURNS = 2_000_000
 
 #: Path steps walked back between two lineage cuts.
-_WALK = 6
+_WALK = 16
 
 
 def _weighted_turns(edges: DataFrame, turns: DataFrame) -> DataFrame:
@@ -115,37 +115,36 @@ def shortest_paths(
     ``nodes`` is the single node for a pair of equal ends and null without a path.
     Among equally fast paths the one through the lowest edge ids wins.
     """
-    wanted = pairs.select("source", "target").distinct().where(F.col("source") != F.col("target"))
+    wanted = cut_lineage(pairs.select("source", "target").distinct().where(F.col("source") != F.col("target")))
     state = search_states(wanted.select("source"), edges, turns, max_s, cap_seeds=False)
-    spark = edges.sparkSession
     road = edges.select(F.col("e").alias("edge"), "u", "v", F.col("w").cast("double").alias("w"))
-    with round_settings(spark, wanted.count()):
-        last = (
+    with round_settings(edges.sparkSession, state.count()) as parts:
+        # the edge driven before each reached edge; times add up exactly as in the search
+        steps = _weighted_turns(edges, turns).select(F.col("e").alias("prev"), F.col("f").alias("edge"), "w")
+        prior = state.select("source", F.col("edge").alias("prev"), F.col("d").alias("pd"), F.col("hop").alias("ph"))
+        before = (
+            prior.join(steps, "prev")
+            .join(state, ["source", "edge"])
+            .where((F.col("pd") + F.col("w") == F.col("d")) & (F.col("ph") < F.col("hop")))
+            .groupBy("source", "edge")
+            .agg(F.min("prev").alias("prev"))
+        )
+        before = cut_lineage(before.repartition(parts, "source", "edge"))
+        walk = cut_lineage(
             wanted.join(road.select("edge", F.col("v").alias("target")), "target")
             .join(state, ["source", "edge"])
             .groupBy("source", "target")
             .agg(F.min(F.struct("d", "edge", "hop")).alias("s"))
-            .select("source", "target", "s.d", "s.edge", "s.hop", F.array("s.edge").alias("chain"))
+            .select("source", "target", "s.edge", "s.hop", F.array("s.edge").alias("chain"))
         )
-        walk = cut_lineage(last)
         longest = walk.agg(F.max("hop")).first()[0] or 0
-        before = turns.select(F.col("e").alias("prev"), F.col("f").alias("edge"))
-        prior = state.select("source", F.col("edge").alias("prev"), F.col("d").alias("pd"), F.col("hop").alias("ph"))
         for done in range(1, longest + 1):
-            ongoing = walk.where(F.col("hop") > 0)
-            stepped = (
-                ongoing.join(before, "edge")
-                .join(road.select("edge", "w"), "edge")
-                .join(prior, ["source", "prev"])
-                .where((F.col("pd") + F.col("w") == F.col("d")) & (F.col("ph") < F.col("hop")))
-                .groupBy("source", "target")
-                .agg(F.min(F.struct("prev", "pd", "ph", "chain")).alias("s"))
-                .select(
-                    "source", "target", F.col("s.pd").alias("d"), F.col("s.prev").alias("edge"), F.col("s.ph").alias("hop"),
-                    F.concat(F.array("s.prev"), "s.chain").alias("chain"),
-                )
+            # a first edge has none before it and stays as it is
+            there = F.col("prev").isNotNull()
+            walk = walk.join(before, ["source", "edge"], "left").select(
+                "source", "target", F.coalesce("prev", "edge").alias("edge"),
+                F.when(there, F.concat(F.array("prev"), "chain")).otherwise(F.col("chain")).alias("chain"),
             )
-            walk = walk.where(F.col("hop") == 0).unionByName(stepped)
             if done % _WALK == 0 or done == longest:
                 walk = cut_lineage(walk)
     # edge chain to node chain: the start of the first edge, then the end of each edge

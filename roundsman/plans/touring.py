@@ -191,10 +191,10 @@ _MOVES = "SELECT tour_id, tour_id % 4 + 1 AS ordre, CASE WHEN tour_id % 3 = 0 TH
 
 @query(
     "tr11_move_stops",
-    f"""WITH m AS ({_MOVES}), s AS (SELECT s.*, m.ordre AS at, direction, bool_or(s.ordre = m.ordre) OVER w AS here, MAX(s.ordre) OVER w AS n
+    f"""WITH m AS ({_MOVES}), s AS (SELECT s.*, m.ordre AS here_at, direction, bool_or(s.ordre = m.ordre) OVER w AS here, MAX(s.ordre) OVER w AS n
         FROM {{stop}} s LEFT JOIN m ON m.tour_id = s.tour_id WINDOW w AS (PARTITION BY s.tour_id))
-      SELECT tour_id, colis_id, CASE WHEN NOT coalesce(here, false) OR at + direction < 1 OR at + direction > n THEN ordre
-        WHEN ordre = at THEN at + direction WHEN ordre = at + direction THEN at ELSE ordre END AS ordre FROM s""",
+      SELECT tour_id, colis_id, CASE WHEN NOT coalesce(here, false) OR here_at + direction < 1 OR here_at + direction > n THEN ordre
+        WHEN ordre = here_at THEN here_at + direction WHEN ordre = here_at + direction THEN here_at ELSE ordre END AS ordre FROM s""",
 )
 def _(v):
     return T.move_stops(v.stop, v.sql(_MOVES)).select("tour_id", "colis_id", "ordre")

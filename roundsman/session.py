@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed join even if the next step then needs a shuffle of its own
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # only matters for small inputs: lets a compute-heavy join on little data use every
     # core; at scale the advisory partition size decides
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
