@@ -22,6 +22,8 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         points = table.filter(pc.equal(table["i"], -1))
+        if points.num_rows == 0:
+            return
         links = table.filter(pc.not_equal(table["i"], -1))
         tours = points["tour_id"].unique()
         at = pc.index_in(points["tour_id"], tours).to_numpy()

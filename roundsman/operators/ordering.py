@@ -76,7 +76,9 @@ def _small_tours(
             ("seconds", T.DoubleType()),
         )
     ])
-    together = rows.unionByName(links).repartition("tour_id").sortWithinPartitions("tour_id", "i", "j")
+    # Hashing a hash of the tour: repartition("tour_id") would be dropped as redundant when
+    # both sides come from joins on the tour, although AQE may still regroup those sides.
+    together = rows.unionByName(links).repartition(F.xxhash64("tour_id")).sortWithinPartitions("tour_id", "i", "j")
     return together.mapInArrow(batch_order.solve_partition(walk, improve, penalty_s, MIN_GAIN, MIN_MOVABLE, max_rounds), schema)
 
 
