@@ -47,13 +47,16 @@ def _by_city(cn: Column) -> Column:
 
 
 def candidate_pool(queries: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Names the pool of addresses each query is compared with, and its size.
+    """Names the pool of addresses each query is compared with, its size, and whether all
+    of it lies in one town.
 
     The pool is the query's postcode; only if no address has it, and a town is
     given, the pool is the town. Pools are named, not spelled out: pairing every
     query with every address of a hot postcode would be quadratic.
     """
-    by_cp = addresses.groupBy("cp").agg(F.count("*").alias("_n_cp"))
+    by_cp = addresses.groupBy("cp").agg(
+        F.count("*").alias("_n_cp"), (F.min("cn") == F.max("cn")).alias("_one")
+    )
     by_cn = addresses.groupBy(F.col("cn").alias("_town")).agg(F.count("*").alias("_n_cn"))
     tagged = queries.join(by_cp, "cp", "left")
     city = F.col("q_city") if "q_city" in queries.columns else normalize_city(F.col("ville"))
@@ -68,6 +71,8 @@ def candidate_pool(queries: DataFrame, addresses: DataFrame) -> DataFrame:
         .when(F.col("_n_cn").isNotNull(), _by_city(F.col("_town")))
         .alias("pool"),
         F.coalesce("_n_cp", "_n_cn", F.lit(0)).alias("pool_size"),
+        # a town pool holds one town by definition
+        F.coalesce("_one", F.lit(True)).alias("one_town"),
     )
 
 
@@ -117,6 +122,14 @@ def _facets(number: Column, city: Column) -> Column:
     )
 
 
+def _asked_facets() -> Column:
+    """Facets a query looks at. In a pool of one town the town splits nothing: the town
+    facets either equal the others or hold no address."""
+    number = F.concat(F.lit("n|"), F.col("q_number"))
+    both = _facets(F.col("q_number"), F.col("q_city"))
+    return F.when(F.col("one_town"), F.array(F.lit("*"), number)).otherwise(both)
+
+
 def _street_shelf(addresses: DataFrame, pools: DataFrame, k: int) -> DataFrame:
     """One row per (pool, facet, street) with its ``k`` lowest-id addresses.
 
@@ -157,10 +170,12 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
     their distinct list is written out once because three steps start from it.
     A pool that is still too big for a task is split by AQE's skew join.
     """
-    asked = cut_lineage(queries.select("pool", "q_street", "q_city", "q_number").where(F.col("pool").isNotNull()).distinct())
+    asked = cut_lineage(
+        queries.select("pool", "one_town", "q_street", "q_city", "q_number").where(F.col("pool").isNotNull()).distinct()
+    )
     shelves = _street_shelf(addresses, asked.select("pool").distinct(), k)
     wanted = asked.select(
-        "pool", "q_street", F.explode(_facets(F.col("q_number"), F.col("q_city"))).alias("facet")
+        "pool", "q_street", F.explode(_asked_facets()).alias("facet")
     ).distinct().withColumn("q_grams", trigram_codes(F.col("q_street")))
     best = Window.partitionBy("pool", "facet", "q_street").orderBy(F.col("similarity").desc(), F.col("shelf")[0]["id"])
     streets = (
@@ -174,7 +189,7 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
         F.col("similarity"), F.col("q_number"), F.col("q_city"), F.col("address.n"), F.col("address.cn")
     )
     scored = (
-        asked.select("*", F.explode(_facets(F.col("q_number"), F.col("q_city"))).alias("facet"))
+        asked.select("*", F.explode(_asked_facets()).alias("facet"))
         .join(offered, ["pool", "facet", "q_street"])
         .select("pool", "q_street", "q_city", "q_number", "address", score.alias("score"))
         .dropDuplicates(["pool", "q_street", "q_city", "q_number", "address"])

@@ -155,11 +155,19 @@ class Views:
             raise AttributeError(name)
         if name not in self._made:
             if name in TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = self._table(name)
             else:
                 self._made[name] = self.sql(PORTABLE[name])
         return self._made[name]
 
+    def _table(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # a table in one small file would be worked on by one task; big ones have splits enough
+        if name == "orders" and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, "o_orderkey")
+        return df
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in names_in(text)})
 
