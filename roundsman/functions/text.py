@@ -124,9 +124,17 @@ def similarity_from_overlap(a: Column, b: Column, n_a: Column, n_b: Column, shar
 
 
 def street_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two comparable street names; for joins, count trigrams once per side instead."""
     a, b = text_or_empty(a), text_or_empty(b)
-    grams_a, grams_b = trigrams(a), trigrams(b)
-    return similarity_from_overlap(a, b, F.size(grams_a), F.size(grams_b), F.size(F.array_intersect(grams_a, grams_b)))
+
+    def shared(grams: Column) -> Column:
+        counts = F.struct(
+            F.size(grams[0]).alias("a"), F.size(grams[1]).alias("b"), F.size(F.array_intersect(grams[0], grams[1])).alias("both")
+        )
+        return F.transform(F.array(counts), lambda n: similarity_from_overlap(a, b, n["a"], n["b"], n["both"]))[0]
+
+    # a lambda over a one-element array evaluates its argument once
+    return F.transform(F.array(F.array(trigrams(a), trigrams(b))), shared)[0]
 
 
 def split_number_street(raw: Column) -> Column:

@@ -7,7 +7,7 @@ DataFrame round per hop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roundsman.session import cut_lineage, round_settings
@@ -49,7 +49,8 @@ def search_states(
         state = seeds.groupBy("source", "edge").agg(F.min("d").alias("d")).withColumn("hop", F.lit(0))
         state = cut_lineage(state.repartition(parts, "source", "edge"))
         hop = 0
-        while not state.where(F.col("hop") == hop).isEmpty():
+        improved = 1
+        while improved:
             front = state.where((F.col("hop") == hop) & (F.col("d") <= max_s)).select(
                 "source", F.col("edge").alias("e"), "d"
             )
@@ -70,9 +71,12 @@ def search_states(
                 F.min(F.when(old, F.col("hop"))).alias("old_hop"),
             )
             better = F.col("old_d").isNull() | (F.col("d") < F.col("old_d"))
+            changed = Observation()
             state = cut_lineage(
                 merged.select("source", "edge", "d", F.when(better, F.lit(hop)).otherwise(F.col("old_hop")).alias("hop"))
+                .observe(changed, F.count_if(F.col("hop") == hop).alias("n"))
             )
+            improved = changed.get["n"]
         return state
 
 
