@@ -122,12 +122,11 @@ def _facets(number: Column, city: Column) -> Column:
     )
 
 
-def _asked_facets() -> Column:
-    """Facets a query looks at. In a pool of one town the town splits nothing: the town
+def _useful_facets(number: Column, city: Column) -> Column:
+    """Facets worth looking at. In a pool of one town the town splits nothing: the town
     facets either equal the others or hold no address."""
-    number = F.concat(F.lit("n|"), F.col("q_number"))
-    both = _facets(F.col("q_number"), F.col("q_city"))
-    return F.when(F.col("one_town"), F.array(F.lit("*"), number)).otherwise(both)
+    few = F.array(F.lit("*"), F.concat(F.lit("n|"), number))
+    return F.when(F.col("one_town"), few).otherwise(_facets(number, city))
 
 
 def _street_shelf(addresses: DataFrame, pools: DataFrame, k: int) -> DataFrame:
@@ -140,22 +139,17 @@ def _street_shelf(addresses: DataFrame, pools: DataFrame, k: int) -> DataFrame:
     number, city = trim_blanks(text_or_empty(F.col("n"))), text_or_empty(F.col("cn"))
     # joined on the plain columns: joining on the pool would leave a hot pool in one task
     # for the ranking as well, which groups by pool
-    postcodes = pools.where(F.col("pool").startswith("p:")).select(F.substr("pool", F.lit(3)).alias("cp"))
-    towns = pools.where(F.col("pool").startswith("c:")).select(F.substr("pool", F.lit(3)).alias("cn"))
-    by_cp = addresses.join(postcodes, "cp", "left_semi").select(*ADDRESS_COLUMNS, _by_postcode(F.col("cp")).alias("pool"))
-    by_cn = addresses.join(towns, "cn", "left_semi").select(*ADDRESS_COLUMNS, _by_city(F.col("cn")).alias("pool"))
-    placed = by_cp.unionByName(by_cn)
-    faceted = placed.select(
-        "pool", F.explode(_facets(number, city)).alias("facet"), text_or_empty(F.col("rn")).alias("street"),
+    postcodes = pools.where(F.col("pool").startswith("p:")).select(F.substr("pool", F.lit(3)).alias("cp"), "one_town")
+    towns = pools.where(F.col("pool").startswith("c:")).select(F.substr("pool", F.lit(3)).alias("cn"), "one_town")
+    by_cp = addresses.join(postcodes, "cp").select(*ADDRESS_COLUMNS, "one_town", _by_postcode(F.col("cp")).alias("pool"))
+    by_cn = addresses.join(towns, "cn").select(*ADDRESS_COLUMNS, "one_town", _by_city(F.col("cn")).alias("pool"))
+    faceted = by_cp.unionByName(by_cn).select(
+        "pool", F.explode_outer(_useful_facets(number, city)).alias("facet"), text_or_empty(F.col("rn")).alias("street"),
         F.struct(*ADDRESS_COLUMNS).alias("address"),
     )
     w = Window.partitionBy("pool", "facet", "street").orderBy("address.id")
     low = faceted.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
-    return (
-        low.groupBy("pool", "facet", "street")
-        .agg(F.array_sort(F.collect_list("address")).alias("shelf"))
-        .withColumn("grams", trigram_codes(F.col("street")))
-    )
+    return low.groupBy("pool", "facet", "street").agg(F.array_sort(F.collect_list("address")).alias("shelf"))
 
 
 def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -166,36 +160,44 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
     and town agree. An address in the overall top ``k`` is therefore also in the top
     ``k`` by (similarity, id) of the group that shares its bonuses: all addresses,
     same number, same town, or both. Within a group only distinct streets are
-    compared, each standing for its ``k`` lowest ids. Equal queries are compared once;
-    their distinct list is written out once because three steps start from it.
-    A pool that is still too big for a task is split by AQE's skew join.
+    compared, each standing for its ``k`` lowest ids. Equal queries are compared once.
+    Both lists, of distinct queries and of streets, are written out once because several
+    steps start from them. A group that is still too big for a task is split by AQE's
+    skew join.
     """
     asked = cut_lineage(
         queries.select("pool", "one_town", "q_street", "q_city", "q_number").where(F.col("pool").isNotNull()).distinct()
     )
-    shelves = _street_shelf(addresses, asked.select("pool").distinct(), k)
-    wanted = asked.select(
-        "pool", "q_street", F.explode(_asked_facets()).alias("facet")
-    ).distinct().withColumn("q_grams", trigram_codes(F.col("q_street")))
-    best = Window.partitionBy("pool", "facet", "q_street").orderBy(F.col("similarity").desc(), F.col("shelf")[0]["id"])
-    streets = (
-        _with_similarity(wanted.join(shelves, ["pool", "facet"]), "street")
-        .select("pool", "facet", "q_street", "shelf", "similarity")
+    shelves = cut_lineage(_street_shelf(addresses, asked.select("pool", "one_town").distinct(), k))
+    looked_up = asked.select("*", F.explode_outer(_useful_facets(F.col("q_number"), F.col("q_city"))).alias("facet"))
+    wanted = looked_up.select("pool", "q_street", "facet").distinct().withColumn(
+        "q_grams", trigram_codes(F.col("q_street"))
+    )
+    streets = shelves.select(
+        "pool", "facet", "street", F.col("shelf")[0]["id"].alias("first_id"), trigram_codes(F.col("street")).alias("grams")
+    )
+    # only names and numbers go through the ranking; the addresses are fetched for its winners
+    best = Window.partitionBy("pool", "facet", "q_street").orderBy(F.col("similarity").desc(), "first_id")
+    winners = (
+        _with_similarity(wanted.join(streets, ["pool", "facet"]), "street")
+        .select("pool", "facet", "q_street", "street", "first_id", "similarity")
         .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= k)
     )
-    offered = streets.select("pool", "facet", "q_street", "similarity", F.explode("shelf").alias("address"))
+    offered = winners.join(shelves, ["pool", "facet", "street"]).select(
+        "pool", "facet", "q_street", "similarity", F.explode_outer("shelf").alias("address")
+    )
     score = score_columns(
         F.col("similarity"), F.col("q_number"), F.col("q_city"), F.col("address.n"), F.col("address.cn")
     )
-    scored = (
-        asked.select("*", F.explode(_asked_facets()).alias("facet"))
-        .join(offered, ["pool", "facet", "q_street"])
-        .select("pool", "q_street", "q_city", "q_number", "address", score.alias("score"))
-        .dropDuplicates(["pool", "q_street", "q_city", "q_number", "address"])
+    key = ["pool", "q_street", "q_city", "q_number"]
+    scored = looked_up.join(offered, ["pool", "facet", "q_street"]).select(*key, "address", score.alias("score"))
+    # the same address can come in by several facets, with the same score
+    once = scored.groupBy(*key, F.col("address.id").alias("_id")).agg(
+        F.first("address").alias("address"), F.first("score").alias("score")
     )
-    rank = Window.partitionBy("pool", "q_street", "q_city", "q_number").orderBy(F.col("score").desc(), "address.id")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    rank = Window.partitionBy(*key).orderBy(F.col("score").desc(), "_id")
+    return once.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("_id")
 
 
 def match_addresses(
