@@ -285,7 +285,8 @@ def search_addresses(queries: DataFrame, addresses: DataFrame, k: int = SEARCH_R
         .drop("_longest")
     )
     cells = asked.select("cp", "terms", "gram").distinct()
-    hay = addresses.select(*ADDRESS_COLUMNS, _haystack().alias("_hay"))
+    named = addresses.join(cells.select("cp").distinct(), "cp", "left_semi")
+    hay = named.select(*ADDRESS_COLUMNS, _haystack().alias("_hay"))
     keyed = cells.where(F.col("gram").isNotNull())
     starts = F.sequence(F.lit(1), F.length("_hay") - 2)
     listed = hay.where(F.length("_hay") >= 3).select(

@@ -229,13 +229,16 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFra
     out = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("out_n"))
     into = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("in_n"))
     per_node = nodes.select("node").join(out, "node", "left").join(into, "node", "left")
-    return per_node.agg(
+    by_node = per_node.agg(
         F.count("*").alias("nodes"),
         F.coalesce(F.max("out_n"), F.lit(0)).alias("max_out"),
         F.coalesce(F.max("in_n"), F.lit(0)).alias("max_in"),
         F.count_if(F.col("out_n").isNull()).alias("no_way_out"),
         F.count_if(F.col("in_n").isNull()).alias("no_way_in"),
-    ).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(turns.agg(F.count("*").alias("turns")))
+    )
+    parts = (by_node, edges.agg(F.count("*").alias("edges")), turns.agg(F.count("*").alias("turns")))
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def community_rollup(nodes: DataFrame) -> DataFrame:

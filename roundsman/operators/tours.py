@@ -195,18 +195,18 @@ def parcels_from_favourites(favourites: DataFrame, now: Column, new_id: Column |
     )
 
 
-def message_options(parcels: DataFrame, templates: DataFrame) -> DataFrame:
+def message_options(parcels: DataFrame, templates: Column) -> DataFrame:
     """Every message template filled for every parcel with a phone number: (id, index, label, body, href).
 
-    ``templates`` is one row with the array column ``templates`` of struct(label, body),
-    so each parcel carries a handful of templates and is spread over them in place.
+    ``templates`` is an array of struct(label, body), the handful of texts a driver keeps.
     """
     from roundsman.functions.links import sms_url
     from roundsman.functions.text import render_template, text_or_empty
 
-    filled = parcels.where(text_or_empty(F.col("tel")) != "").join(F.broadcast(templates.limit(1)))
-    rows = filled.select(
-        "id", "tel", "nom", "adresse", "minutes", F.posexplode("templates").alias("index", "t")
+    rows = parcels.where(text_or_empty(F.col("tel")) != "").select(
+        "id", "tel", "nom", "adresse", "minutes", F.posexplode(templates).alias("index", "t")
     ).withColumn("body", render_template(F.col("t.body"), F.col("nom"), F.col("minutes"), F.col("adresse")))
-    return rows.select("id", F.col("index").cast("bigint").alias("index"), F.col("t.label").alias("label"), "body",
-                       sms_url(F.col("tel"), F.col("body")).alias("href"))
+    return rows.select(
+        "id", F.col("index").cast("bigint").alias("index"), F.col("t.label").alias("label"), "body",
+        sms_url(F.col("tel"), F.col("body")).alias("href"),
+    )

@@ -188,8 +188,7 @@ def _(v):
     from roundsman.operators.tours import message_options
 
     stock = F.array(*[F.struct(lit(a).alias("label"), lit(b.format()).alias("body")) for a, b in _MESSAGES])
-    templates = v.spark.range(1).select(stock.alias("templates"))
-    return message_options(v.scan.select("id", "tel", "nom", _shown().alias("adresse"), col("quantite").alias("minutes")), templates)
+    return message_options(v.scan.select("id", "tel", "nom", _shown().alias("adresse"), col("quantite").alias("minutes")), stock)
 
 
 _POINT = r"regexp_replace(CAST(lat AS VARCHAR), '\.0$', '') || ',' || regexp_replace(CAST(lon AS VARCHAR), '\.0$', '')"

@@ -23,11 +23,16 @@ SETTINGS = {
 }
 
 
+#: Settings of the Spark context, which only a new session can take: the files of a
+#: checkpoint go once nothing refers to it, so a long loop keeps about two states on disk.
+CONTEXT_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
 def build_session(app: str = "roundsman", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **CONTEXT_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
