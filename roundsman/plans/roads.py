@@ -75,6 +75,20 @@ _WAY = f"""located AS (SELECT * FROM ({_PLACED}) x WHERE lat IS NOT NULL),
   place AS (SELECT tour_id, 0 AS pos, depot_lat AS lat, depot_lon AS lon, false AS done FROM {{tour}} UNION ALL SELECT * FROM placed UNION ALL SELECT * FROM back)"""
 
 
+_LEGS = (
+    _WAY,
+    _NEAREST.replace("{place}", "place"),
+    """spot AS (SELECT p.*, node FROM place p LEFT JOIN snapped s ON s.lat = p.lat AND s.lon = p.lon),
+      legs AS (SELECT x.tour_id, CAST(x.pos AS BIGINT) AS leg, y.done, x.lat, x.lon, y.lat AS lat2, y.lon AS lon2, x.node AS a, y.node AS b
+        FROM spot x JOIN spot y ON y.tour_id = x.tour_id AND y.pos = x.pos + 1)""",
+)
+
+
+def _segments(v):
+    points = R.route_points(v.tour, v.sql(_PLACED))
+    return R.route_segments(points, v.node, v.edge, v.turn, LIMIT)
+
+
 @query(
     "gr04_route_segments",
     _times(
@@ -82,24 +96,34 @@ _WAY = f"""located AS (SELECT * FROM ({_PLACED}) x WHERE lat IS NOT NULL),
           CASE WHEN road THEN n2.nlat ELSE lat2 END AS lat2, CASE WHEN road THEN n2.nlon ELSE lon2 END AS lon2
         FROM (SELECT l.*, t.seconds IS NOT NULL AND a <> b AS road FROM legs l LEFT JOIN times t ON t.source = a AND t.node = b) r
           LEFT JOIN nodes n1 ON n1.node = a LEFT JOIN nodes n2 ON n2.node = b""",
-        _WAY,
-        _NEAREST.replace("{place}", "place"),
-        """spot AS (SELECT p.*, node FROM place p LEFT JOIN snapped s ON s.lat = p.lat AND s.lon = p.lon),
-          legs AS (SELECT x.tour_id, CAST(x.pos AS BIGINT) AS leg, y.done, x.lat, x.lon, y.lat AS lat2, y.lon AS lon2, x.node AS a, y.node AS b
-            FROM spot x JOIN spot y ON y.tour_id = x.tour_id AND y.pos = x.pos + 1)""",
+        *_LEGS,
     ),
 )
 def _(v):
     """First and last point of every leg's line."""
-    points = R.route_points(v.tour, v.sql(_PLACED))
-    lines = R.route_segments(points, v.node, v.edge, v.turn, LIMIT)
     end = F.element_at("line", -1)
-    return lines.select(
+    return _segments(v).select(
         "tour_id", col("leg").cast("bigint").alias("leg"), "done", F.get("line", lit(0))["lat"].alias("lat1"),
         F.get("line", lit(0))["lon"].alias("lon1"), end["lat"].alias("lat2"), end["lon"].alias("lon2"),
     )
 
 
+@query(
+    "io07_route_features",
+    _times("SELECT tour_id, leg, CAST(done AS VARCHAR) AS done, 'LineString' AS kind, true AS drawn FROM legs", *_LEGS),
+)
+def _(v):
+    """The parts of every leg's GeoJSON text that do not depend on number formatting."""
+    from roundsman.sources.geojson import route_features
+
+    text = F.col("json")
+    return route_features(_segments(v)).select(
+        "tour_id", col("leg").cast("bigint").alias("leg"), F.get_json_object(text, "$.properties.done").alias("done"),
+        F.get_json_object(text, "$.geometry.type").alias("kind"),
+        F.get_json_object(text, "$.geometry.coordinates[1][1]").isNotNull().alias("drawn"),
+    )
+
+
 @query(
     "gr05_graph_stats",
     """SELECT COUNT(*) AS nodes, MAX(coalesce(o, 0)) AS max_out, MAX(coalesce(i, 0)) AS max_in,
