@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Distinct words a worker remembers.
 CACHE_WORDS = 400_000
@@ -189,37 +189,45 @@ class Tokenizer:
 _built: dict[str, Tokenizer] = {}
 
 
-def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """(id, ids binary, decoded) of every whole text; ``texts=False`` gives n_tokens and SHA-256 digests instead.
+def encode(
+    docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = True, decoded: bool = False, digests: bool = False,
+) -> DataFrame:
+    """``docs`` with n_tokens and, as asked for, ids, decoded, ids_sha256 and decoded_sha256 of every whole text.
 
-    ``vocabulary`` is the path of a tokenizer file on the driver; its content is broadcast
-    (a vocabulary is a fixed size). A null text is the empty one: no ids, an empty string.
+    ``ids`` are little-endian unsigned 32-bit integers. ``vocabulary`` is the path of a
+    tokenizer file on the driver; its content is broadcast (a vocabulary is a fixed size).
+    A null text is the empty one: no ids, an empty string. Columns of these names are replaced.
     """
     with open(vocabulary, encoding="utf-8") as file:
         content = file.read()
     shared = docs.sparkSession.sparkContext.broadcast(content)
     name = hashlib.sha256(content.encode()).hexdigest()
+    made: dict[str, T.DataType] = {"n_tokens": T.LongType()}
+    if ids:
+        made["ids"] = T.BinaryType()
+    if decoded:
+        made["decoded"] = T.StringType()
+    if digests:
+        made |= {"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    docs = docs.drop(*made)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _built:
             _built[name] = Tokenizer(json.loads(shared.value))
         tokenizer = _built[name]
         for batch in batches:
-            ids = tokenizer.encode_batch(batch.column(1).to_pylist())
-            decoded = [tokenizer.decode(i) for i in ids]
-            if texts:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded)], names=["id", "ids", "decoded"]
-                )
-            else:
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-                    pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
-                ], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
-    return rows.mapInArrow(
-        run, "id long, ids binary, decoded string" if texts
-        else "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            found = tokenizer.encode_batch(batch.column(at).to_pylist())
+            new = {"n_tokens": pa.array([len(i) // 4 for i in found], pa.int64())}
+            if ids:
+                new["ids"] = pa.array(found, pa.binary())
+            if decoded or digests:
+                texts = [tokenizer.decode(i) for i in found]
+            if decoded:
+                new["decoded"] = pa.array(texts, pa.string())
+            if digests:
+                new["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i in found], pa.string())
+                new["decoded_sha256"] = pa.array([hashlib.sha256(d.encode()).hexdigest() for d in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in made.items())]))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a window.
 WINDOW = 10
@@ -21,9 +22,6 @@ WINDOW = 10
 MAX_ITEM_BYTES = 4 << 20
 
 _SEPARATE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-_SCHEMA = (
-    "id long, n_words long, n_hit long, item_ids array<string>, starts array<int>, ends array<int>"
-)
 _built: dict[str, object] = {}
 
 
@@ -85,15 +83,16 @@ def _scan(text: str | None, automaton) -> tuple[int, np.ndarray, list[str], list
 
 
 def scan(
-    docs: DataFrame, items: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text",
     item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES,
 ) -> DataFrame:
-    """(id, n_words, n_hit, item_ids, starts, ends): hit words, their items, the hit runs of the original.
+    """``docs`` with n_words, n_hit, item_ids, starts, ends: hit words, their items, the hit runs of the original.
 
     A window is ``size`` consecutive words of an item, or the whole of a shorter one. Offsets
     count characters, end exclusive. Null texts and texts without words have no words and no
-    hits; items without words match nothing; repeated rows keep a row each. The items go to
-    every worker, so their bytes are counted first and more than ``max_item_bytes`` is refused.
+    hits; items without words or id match nothing; columns of the new names are replaced. The
+    items go to every worker, so their bytes are counted first and more than
+    ``max_item_bytes`` is refused. No shuffle: texts are scanned where they are read.
     """
     spark = docs.sparkSession
     weight = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
@@ -101,23 +100,28 @@ def scan(
         raise ValueError(f"{weight} bytes of items; the automaton is built for {max_item_bytes}: scan in parts")
     rows = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("string"), item_text).collect() if r[0] is not None]
     shared = spark.sparkContext.broadcast(rows)
+    made = {
+        "n_words": T.LongType(), "n_hit": T.LongType(), "item_ids": T.ArrayType(T.StringType()),
+        "starts": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()),
+    }
+    docs = docs.drop(*made)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = shared.value  # one list per worker and broadcast
         if _built.get("items") is not key or _built.get("size") != size:
             _built.update(items=key, size=size, automaton=_automaton(key, size))
         automaton = _built["automaton"]
+        ints = pa.list_(pa.int32())
         for batch in batches:
-            done = [_scan(t.as_py(), automaton) for t in batch.column(1)]
-            ints = pa.list_(pa.int32())
+            done = [_scan(t.as_py(), automaton) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0),
+                *batch.columns,
                 pa.array([d[0] for d in done], pa.int64()),
                 pa.array([len(d[1]) for d in done], pa.int64()),
                 pa.array([d[2] for d in done], pa.list_(pa.string())),
                 pa.array([[s for s, _ in d[3]] for d in done], ints),
                 pa.array([[e for _, e in d[3]] for d in done], ints),
-            ], names=["id", "n_words", "n_hit", "item_ids", "starts", "ends"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(run, _SCHEMA)
+            ], names=[*batch.schema.names, *made])
 
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in made.items())]))

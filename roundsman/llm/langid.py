@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roundsman.session import cut_lineage
 
@@ -120,7 +121,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = words_of(text)
-        if not counts or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
         rows = np.array([self.word(w) for w in counts])
         sums = np.fromiter(counts.values(), np.float64, len(counts)) @ rows
@@ -129,12 +130,15 @@ class Scorer:
         return self.langs[best], float(min(1.0, share[best] / share.sum()))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, lang_pred, score 0 to 1) of every whole text, one row per input row.
+def predict(docs: DataFrame, model: tuple[list[str], dict], text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score (0 to 1) of every whole text; columns of these names are replaced.
 
-    A null text, one without letters, or a model without languages gives ``und`` and 0.
+    A null text, one without letters, or a model without languages gives ``und`` and 0. No
+    shuffle: the languages are found where the texts are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
@@ -142,10 +146,11 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], doc_id: str = "doc_i
             _built.update(model=value, scorer=Scorer(*value))
         scorer = _built["scorer"]
         for batch in batches:
-            out = [scorer.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.float64()),
-            ], names=["id", "lang_pred", "score"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double")
+            out = [scorer.predict(t.as_py()) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
+                names=[*batch.schema.names, "lang_pred", "score"],
+            )
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)

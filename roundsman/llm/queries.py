@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundsman.llm import bpe, decontaminate, langid, secrets, url_filter
+from roundsman.llm import bpe, decontaminate, jaccard_join, langid, secrets, url_filter
 from roundsman.llm.common import crc_mod, table
 
 #: Folder of the public tokenizer files.
@@ -20,10 +20,17 @@ URL_RULES = [
 ]
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, folder, "benchmark"))
     return found.select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
@@ -31,13 +38,14 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
-    return langid.predict(docs, model).select(
-        F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 3) == 1).alias("held_out"), "lang_pred", "score"
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
     )
 
 
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode(table(spark, folder, "documents"), VOCABULARY, texts=False).withColumnRenamed("id", "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode(docs, VOCABULARY, ids=False, digests=True).drop("text")
 
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +71,6 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op4_benchmark_decontamination, op5_language_id, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
+        op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
     )
 }

@@ -84,35 +84,36 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def scan(
+def findings(
     docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES,
     doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """(id, blob, found: array of (start, kind's rank, end, kind)) for every row of ``docs``.
+) -> tuple[DataFrame, DataFrame]:
+    """Scan what the ledger does not hold; (paths(id, blob), findings(blob, found)).
 
-    ``ledger`` is a Parquet folder that outlives the run; without one a new folder below the
-    shared folder serves this run only. A null text is the empty one. Rows of one id keep
-    their own findings; repeated texts are scanned once. An empty input gives no rows.
+    ``found`` is an array of (start, rank of the rule, end, kind), one row per blob that has
+    any. ``ledger`` is a Parquet folder that outlives the run; without one a new folder below
+    the shared folder serves this run only. A null text is the empty one. A repeated text is
+    scanned once. An empty input gives no rows.
     """
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
     versions_at = scratch_path(spark, "versions")
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    # one row per version and path: what a later step needs to know of a text but its content
+    # a path and the content it had: all that later steps need to know of a version
     source.select("id", blob_of(F.col("body")).alias("blob")).write.parquet(versions_at)
     versions = spark.read.parquet(versions_at)
     known = open_ledger(spark, ledger).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     wanted = F.array(*[F.lit(r.name) for r in rules])
     unseen = (
-        versions.groupBy("blob").agg(F.min("id").alias("id"))
+        versions.groupBy("blob").agg(F.min("id").alias("of"))
         .join(known, "blob", "left")
         .withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
         .where(F.size("todo") > 0)
-        .select("id", F.col("blob").alias("todo_blob"), "todo")
+        .select("of", "blob", "todo")
     )
     # texts stream past the small hash table of what is to be scanned; they are not sorted
-    work = source.join(unseen.hint("shuffle_hash"), source["id"].eqNullSafe(unseen["id"])).drop(unseen["id"])
-    work = work.where(blob_of(F.col("body")) == F.col("todo_blob"))
+    work = source.join(unseen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")))
+    work = work.where(blob_of(F.col("body")) == F.col("blob"))
     rows = F.array(*[
         F.when(
             F.array_contains("todo", r.name),
@@ -120,7 +121,7 @@ def scan(
         )
         for r in rules
     ])
-    work.select(F.col("todo_blob").alias("blob"), F.inline(F.array_compact(rows))).write.mode("append").parquet(ledger)
+    work.select("blob", F.inline(F.array_compact(rows))).write.mode("append").parquet(ledger)
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     spans = (
@@ -131,10 +132,25 @@ def scan(
         )).alias("spans"))
         .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
     )
+    return versions, spans
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """(id, blob, found) of every row of ``docs``; options as of :func:`findings`."""
+    versions, spans = findings(docs, **options)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return versions.join(spans, "blob", "left").withColumn("found", F.coalesce("found", none)).select("id", "blob", "found")
 
 
+def redacted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` with every found span of the text replaced by a mark; a null text stays null."""
+    _, spans = findings(docs, text=text, **options)
+    spans = spans.select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
+    joined = docs.join(spans.hint("shuffle_hash"), blob_of(F.col(text)) == F.col("_blob"), "left")
+    clean = F.when(F.col("_found").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_found")))
+    return joined.withColumn(text, clean).select(*docs.columns)
+
+
 def listing(found: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

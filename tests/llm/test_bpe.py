@@ -69,8 +69,8 @@ def test_frame(spark):
     docs = spark.createDataFrame(
         [(1, "Hello hello", "x"), (2, None, "y"), (2, "", None), (None, "a", "z")], "doc_id long, text string, ids string"
     )
-    rows = {(r.id, r.n_tokens) for r in bpe.encode(docs, VOCABULARY, texts=False).collect()}
-    assert rows == {(1, 2), (2, 0), (None, 1)}
-    full = {r.id: r.decoded for r in bpe.encode(docs.where("doc_id = 1"), VOCABULARY).collect()}
-    assert full == {1: "hello</w> hello</w>"}
+    rows = bpe.encode(docs, VOCABULARY, digests=True, decoded=True)
+    assert rows.columns[:3] == ["doc_id", "text", "n_tokens"]
+    got = {(r.doc_id, r.n_tokens, r.decoded) for r in rows.collect()}
+    assert got == {(1, 2, "hello</w> hello</w>"), (2, 0, ""), (None, 1, "a</w>")}
     assert bpe.encode(docs.limit(0), VOCABULARY).count() == 0
