@@ -31,7 +31,11 @@ FRAGMENT_GRAMS = 2_000_000
 #: Pairs sent to the fragments as one packed row.
 PAIRS_PER_CHUNK = 32_768
 #: Growth of the number of pivots from round to round.
-PIVOT_GROWTH = 8
+PIVOT_GROWTH = 16
+#: of a cell: n-grams of the set, those from the cell on in the global order, prefix n-grams in it
+_CELL = np.dtype([("n", "<u4"), ("rest", "<u4"), ("take", "<u4")])
+#: of a prefix n-gram: n-grams of its set, those from it on in the global order
+_PLACE = np.dtype([("n", "<u4"), ("rest", "<u4")])
 _PARTS = "kind int, key long, a binary, b binary, c binary, d binary"
 
 
@@ -155,7 +159,7 @@ def _count(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _cut(percent: int, key: tuple, table: pa.Table) -> pa.Table:
-    """The cells (fragment, rarity) of each set that can link, with those of its prefix marked; by fragment."""
+    """The cells (fragment, rarity) of each set that can link, and how far its prefix reaches; by fragment."""
     name, size, pair, at = _read(
         table, a=np.int64, b=np.uint32, c=np.dtype([("f0", "u1"), ("f1", "<u4")]), d=np.dtype([("f", "<i8"), ("n", "<i8")])
     )
@@ -171,12 +175,13 @@ def _cut(percent: int, key: tuple, table: pa.Table) -> pa.Table:
     least = -(-percent * size // 100)  # a partner shares at least so many
     need = size - least + 1 - (size - shared)  # of the prefix, what the unshared ones leave
     keep = shared >= least
-    mark = (before < need)[keep]
-    name, size, kind, fragment = name[keep], size[keep], kind[keep], fragment[keep]
+    cells = np.zeros(len(name), _CELL)
+    cells["n"], cells["rest"], cells["take"] = size, shared - before, np.clip(need - before, 0, per)
+    name, cells, kind, fragment = name[keep], cells[keep], kind[keep], fragment[keep]
     out = []
     for f in np.unique(fragment).tolist():
         x = fragment == f
-        out.append((0, f, *_pack(name[x], size[x].astype(np.uint32), kind[x], mark[x])))
+        out.append((0, f, *_pack(name[x], cells[x], kind[x], np.zeros(0))))
     return _rows(out)
 
 
@@ -186,7 +191,7 @@ def _prefix(key: tuple, pieces: pa.Table, cells: pa.Table) -> pa.Table:
         return _rows([])
     fragment = pieces.column("key")[0].as_py()
     name, kind, per, gram = _read(pieces, a=np.int64, b=np.uint8, c=np.uint32, d=np.uint64)
-    wanted, size, wanted_kind, mark = _read(cells, a=np.int64, b=np.uint32, c=np.uint8, d=bool)
+    wanted, cell, wanted_kind = _read(cells, a=np.int64, b=_CELL, c=np.uint8)
     mine, theirs = _code(name, kind), _code(wanted, wanted_kind)
     order = np.argsort(theirs)
     match = order[np.minimum(np.searchsorted(theirs, mine, sorter=order), len(theirs) - 1)]
@@ -194,12 +199,16 @@ def _prefix(key: tuple, pieces: pa.Table, cells: pa.Table) -> pa.Table:
     match = match[ok]
     each = np.repeat(ok, per)
     name, kind, per, gram = name[ok], kind[ok], per[ok], gram[each]
-    size, mark = size[match], mark[match]
-    long = np.repeat(mark, per)
-    out = [(0, fragment, *_pack(name, size, per, gram))]
-    if long.any():
+    cell = cell[match]
+    out = [(0, fragment, *_pack(name, cell["n"], per, gram))]
+    inside = np.arange(len(gram)) - np.repeat(np.cumsum(per) - per, per)  # cells hold their n-grams in order
+    first = inside < np.repeat(cell["take"], per)
+    if first.any():
+        place = np.zeros(first.sum(), _PLACE)
+        place["n"] = np.repeat(cell["n"], per)[first]
+        place["rest"] = np.repeat(cell["rest"], per)[first] - inside[first]
         out.append((1, fragment, *_pack(
-            np.repeat(name, per)[long], np.repeat(size, per)[long], gram[long] | np.uint64(fragment) << np.uint64(40), np.zeros(0)
+            np.repeat(name, per)[first], place, gram[first] | np.uint64(fragment) << np.uint64(40), np.zeros(0)
         )))
     return _rows(out)
 
@@ -282,31 +291,39 @@ def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, n, gram = _read(pa.Table.from_batches([batch]), a=np.int64, b=np.uint32, c=np.uint64)
+            name, size, gram = _read(pa.Table.from_batches([batch]), a=np.int64, b=_PLACE, c=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(name), pa.array(n.astype(np.int64))], names=["gram", "same", "n"]
+                [pa.array(gram.view(np.int64)), pa.array(name), *(pa.array(size[c].astype(np.int64)) for c in ("n", "rest"))],
+                names=["gram", "same", "n", "rest"],
             )
 
-    met = cut_lineage(kept.where("kind = 1").select("a", "b", "c").mapInArrow(meet, "gram long, same long, n long"))
+    met = cut_lineage(kept.where("kind = 1").select("a", "b", "c").mapInArrow(meet, "gram long, same long, n long, rest long"))
     met = met.join(met.groupBy("gram").count().where("count > 1").select("gram"), "gram")
     links = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "id long, component long")
     pivots = 1
     while True:
         here = met.join(found, met["same"] == found["id"], "left").select(
-            "gram", "same", "n", F.coalesce("component", "same").alias("component")
+            "gram", "same", "n", "rest", F.coalesce("component", "same").alias("component")
         )
         places = here.groupBy("gram").agg(
             F.count("*").alias("members"), F.min("same").alias("first"),
             F.min("component").alias("least"), F.max("component").alias("most"),
         ).where((F.col("least") != F.col("most")) & (F.col("members") > pivots))
         here = cut_lineage(here.join(places, "gram"))
-        chosen = F.pmod(F.xxhash64("same", F.lit(pivots)), F.col("members")) < pivots
-        # few members: everyone is a pivot
-        pivot = here.where((F.col("same") == F.col("first")) | chosen | (F.col("members") <= pivots * PIVOT_GROWTH)).select(
-            "gram", F.col("same").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc")
+        # meeting places of the same sets choose the same pivots; of few members, everyone is one
+        lot = F.pmod(F.xxhash64("same"), F.lit(1 << 30)) * F.col("members")
+        chosen = (lot < pivots << 30) | (F.col("members") <= pivots * PIVOT_GROWTH)
+        if pivots == 1:
+            chosen |= F.col("same") == F.col("first")
+        else:  # earlier pivots have met everyone
+            chosen &= (lot >= pivots // PIVOT_GROWTH << 30) & (F.col("same") != F.col("first"))
+        pivot = here.where(chosen).select(
+            "gram", F.col("same").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("pr"), F.col("component").alias("pc")
         )
-        alike = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("component") != F.col("pc"))
+        # sets that first meet here share nothing before; if they met before, they were seen there
+        most = F.least("rest", "pr")
+        alike = (100 * most >= percent * (F.col("n") + F.col("pn") - most)) & (F.col("component") != F.col("pc"))
         small = F.col("same") < F.col("p")
         pairs = cut_lineage(
             here.join(pivot, "gram").where(alike)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundsman.llm import bpe, decontaminate, jaccard_join, langid, secrets, url_filter
+from roundsman.llm import bpe, decontaminate, embed_dedup, jaccard_join, langid, secrets, url_filter
 from roundsman.llm.common import crc_mod, table
 
 #: Folder of the public tokenizer files.
@@ -20,6 +20,13 @@ URL_RULES = [
 ]
 
 
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.links(table(spark, folder, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
@@ -63,7 +70,7 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, verdict)")
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
@@ -71,6 +78,6 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
+        op1_embedding_near_dedup, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
     )
 }
