@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundsman.llm import bpe, decontaminate, embed_dedup, jaccard_join, langid, secrets, url_filter
+from roundsman.llm import bpe, decontaminate, embed_dedup, jaccard_join, langid, secrets, substring_dedup, suffix_dedup, url_filter
 from roundsman.llm.common import crc_mod, table
 
 #: Folder of the public tokenizer files.
@@ -50,6 +50,10 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.encode(docs, VOCABULARY, ids=False, digests=True).drop("text")
@@ -75,9 +79,14 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_embedding_near_dedup, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
+        op1_embedding_near_dedup, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op6_suffix_array_dedup, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
+        op10_substring_dedup,
     )
 }
