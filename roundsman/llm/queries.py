@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundsman.llm import bpe, decontaminate, embed_dedup, jaccard_join, langid, secrets, substring_dedup, suffix_dedup, url_filter
+from roundsman.llm import bpe, decontaminate, embed_dedup, jaccard_join, langid, lm_score, secrets, substring_dedup, suffix_dedup, url_filter
 from roundsman.llm.common import crc_mod, table
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
@@ -27,6 +28,11 @@ def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lm_score.scores(docs, RANKS, crc_mod(F.col("doc_id"), 7) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
@@ -86,7 +92,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_embedding_near_dedup, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op6_suffix_array_dedup, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
+        op1_embedding_near_dedup, op2_lm_scoring, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op6_suffix_array_dedup, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
         op10_substring_dedup,
     )
 }
