@@ -7,7 +7,10 @@ group's next place, following the same previous-smaller pointers. No step rename
 recurses. In the finished array, equal windows are neighbours.
 
 Only text that can repeat is sorted: runs of windows meet in the bucket of their minimiser,
-equal runs count as copies, and windows with a part that occurs once drop out before.
+equal runs count as copies, and windows with a part that occurs once drop out before. The
+letters of the array are blocks of eight bytes. Equal windows hold their minimiser at the same
+offset, so blocks counted from it lie alike in both; the array finds the equal whole blocks,
+and the bytes left and right of them, seven and one up to none and eight, decide the window.
 """
 
 from __future__ import annotations
@@ -24,27 +27,26 @@ from roundsman.llm.superkmers import Units, byte_grams, encode, joined_ranges, k
 
 #: Bytes minimisers are chosen from, and bytes of the parts that must repeat; powers of two.
 GRAM, PART = 64, 32
+#: Bytes of a block.
+BLOCK = 8
 #: Bytes sorted at once; a minimiser's strings stay together.
-SORTED_BYTES = 1 << 18
-#: Stands between strings; no byte of UTF-8.
-_END = b"\xff"
+SORTED_BYTES = 1 << 20
 
 
-def suffix_array(text: bytes) -> list[int]:
-    n = len(text)
-    data = np.frombuffer(text, np.uint8)
+def suffix_array(letters: np.ndarray) -> list[int]:
+    """Starts of the suffixes of a sequence of integers, in order."""
+    n = len(letters)
+    _, data, sizes = np.unique(letters, return_inverse=True, return_counts=True)
     member = np.argsort(data, kind="stable")
-    sizes = np.bincount(data, minlength=256)
     starts = np.cumsum(sizes) - sizes
-    group = starts[data].tolist()  # a group is named by its first place, so names are in order
+    group = starts[data].tolist() if n else []  # a group is named by its first place, so names are in order
     order = member.tolist()
     place = np.empty(n, np.int64)
     place[member] = np.arange(n)
     place = place.tolist()
     size = [0] * n
     for s, k in zip(starts.tolist(), sizes.tolist()):
-        if k:
-            size[s] = k
+        size[s] = k
     prev = [-1] * n
     high = n
     while high:
@@ -103,20 +105,51 @@ def suffix_array(text: bytes) -> list[int]:
         i += 1
 
 
-def _equal_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, start) of the windows of ``strings`` that are equal to another one of them."""
-    text = _END.join(strings)
-    begin = np.cumsum([0] + [len(s) + 1 for s in strings])
-    inside = np.zeros(len(text), bool)
-    for b, s in zip(begin.tolist(), strings):
-        inside[b : b + len(s) - window + 1] = True
-    whole = np.array(suffix_array(text), np.int64)
-    whole = whole[inside[whole]].tolist()
-    same = [a for a, b in zip(whole, whole[1:]) if text[a : a + window] == text[b : b + window]]
-    same += [b for a, b in zip(whole, whole[1:]) if text[a : a + window] == text[b : b + window]]
-    found = np.unique(np.array(same, np.int64))
-    string = np.searchsorted(begin, found, side="right") - 1
-    return string, found - begin[string]
+def _equal_windows(pieces: list[bytes], value: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, start) of the windows that are equal to another one at the same minimiser."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(pieces) + bytes(2 * BLOCK), np.uint8)
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    gram = byte_grams(data[: len(owner)], GRAM)
+    at = np.flatnonzero(gram == value.view(np.uint64)[owner[: len(gram)]])
+    at = at[owner[at] == owner[at + GRAM - 1]]
+    # a sequence of blocks for each piece and each offset its minimisers have to a block's edge
+    lane = np.unique(owner[at] * BLOCK + (at - begin[owner[at]]) % BLOCK)
+    piece, phase = lane // BLOCK, lane % BLOCK
+    blocks = (sizes[piece] - phase) // BLOCK
+    end = np.cumsum(blocks + 1)  # one letter more stands between sequences
+    of = np.repeat(np.arange(len(lane)), blocks + 1)
+    k = np.arange(len(of)) - np.repeat(end - blocks - 1, blocks + 1)
+    start = (begin[piece] + phase)[of] + k * BLOCK
+    last = k == blocks[of]
+    raw = np.lib.stride_tricks.sliding_window_view(data, BLOCK)[np.where(last, 0, start)]
+    _, letters = np.unique(np.ascontiguousarray(raw).view(np.uint64).ravel(), return_inverse=True)
+    letters[last] = len(letters) + of[last]
+    whole = (window - BLOCK + 1) // BLOCK  # blocks in every window, wherever it starts
+    inside = whole * BLOCK
+    order = np.array(suffix_array(letters), np.int64)
+    order = order[k[order] + whole <= blocks[of[order]]]
+    same = np.ones(max(0, len(order) - 1), bool)
+    for i in range(whole):
+        same &= letters[order[1:] + i] == letters[order[:-1] + i]
+    kind = np.concatenate(([0], np.cumsum(~same)))[: len(order)]
+    found = []
+    rest = window - inside  # bytes of a window besides its whole blocks, left and right
+    for left in range(min(BLOCK, rest + 1)):
+        first = start[order] - left
+        ok = (first >= begin[piece[of[order]]]) & (first + window <= (begin + sizes)[piece[of[order]]])
+        first, group = first[ok], kind[ok]
+        edge = np.concatenate((np.arange(left), np.arange(left + inside, window)))
+        key = np.zeros((len(first), 2 * BLOCK), np.uint8)
+        key[:, : len(edge)] = data[first[:, None] + edge]
+        key = key.view(np.uint64)
+        by = np.lexsort((key[:, 1], key[:, 0], group))
+        equal = (group[by][1:] == group[by][:-1]) & (key[by][1:] == key[by][:-1]).all(axis=1)
+        twin = np.concatenate((equal, [False])) | np.concatenate(([False], equal))
+        found.append(first[by][twin[: len(by)]])
+    found = np.unique(np.concatenate(found))
+    return owner[found], found - begin[owner[found]]
 
 
 def _candidates(strings: list[bytes], value: np.ndarray, copies: np.ndarray, window: int) -> list[tuple[int, int, int]]:
@@ -171,7 +204,8 @@ def _sort(strings: list[bytes], value: np.ndarray, copies: np.ndarray, names: np
     ]
     texts = list(pieces)
     if texts:
-        for k, start in zip(*(x.tolist() for x in _equal_windows(texts, window)), strict=True):
+        of = value[[pieces[t][0][0] for t in texts]]
+        for k, start in zip(*(x.tolist() for x in _equal_windows(texts, of, window)), strict=True):
             found += [(int(names[i]), a + start, a + start + window) for i, a in pieces[texts[k]]]
     return found
 
