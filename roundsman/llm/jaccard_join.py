@@ -8,7 +8,7 @@ similarity.
 
 Only n-grams of more than one set can count. A set links only if enough of its n-grams are
 shared at all, and two linked sets share one of the rarest (their prefixes). Sets that meet
-there are candidates. They are compared with a growing number of pivots of each meeting
+there are candidates, unless their spread over the order already rules a link out. They are compared with a growing number of pivots of each meeting
 place, and sets already in one component are not compared again, so a large group of near
 copies costs a few comparisons per member instead of one per pair.
 """
@@ -28,8 +28,12 @@ from roundsman.session import cut_lineage, scratch_path
 
 #: N-grams of one fragment, all documents together.
 FRAGMENT_GRAMS = 2_000_000
+#: Most buckets of a table (Spark's own limit); beyond it a bucket holds several fragments.
+MAX_BUCKETS = 100_000
 #: Pairs sent to the fragments as one packed row.
 PAIRS_PER_CHUNK = 32_768
+#: Bins that bound the overlap of two sets from above.
+BINS = 64
 #: Growth of the number of pivots from round to round.
 PIVOT_GROWTH = 16
 #: of a cell: n-grams of the set, those from the cell on in the global order, prefix n-grams in it
@@ -82,6 +86,18 @@ def _read(table: pa.Table, **kinds) -> list[np.ndarray]:
     ]
 
 
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Small numbers as 32-bit integers, compressed."""
+    raw = b"".join(a.astype("<u4").tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _loosen(column: pa.ChunkedArray, parts: int) -> list[np.ndarray]:
+    """The arrays of all rows of a squeezed column, joined."""
+    rows = [np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True), "<u4") for x in column.to_pylist()]
+    return [np.concatenate([r.reshape(parts, -1)[k] for r in rows]) for k in range(parts)]
+
+
 def _fragment_of(found: np.ndarray, fragments: int) -> np.ndarray:
     return ((found >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
@@ -109,34 +125,45 @@ def _pieces(docs: DataFrame, size: int, fragments: int, doc_id: str, text: str)
                     a, b = cut[f], cut[f + 1]
                     if a < b:
                         rows, per = np.unique(owner[a:b], return_counts=True)
-                        head = np.zeros(len(rows), [("same", "<i8"), ("n", "<u4"), ("per", "<u4")])
-                        head["same"], head["n"], head["per"] = same[rows], counts[rows], per
                         low = found[a:b]
-                        sent[f].append((head, low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8)))
-            out = [
-                (0, f, *_pack(*(np.concatenate(x) for x in zip(*parts, strict=True))), b"")
-                for f, parts in enumerate(sent) if parts
-            ]
+                        sent[f].append((
+                            same[rows], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), counts[rows], per
+                        ))
+            out = []
+            for f, parts in enumerate(sent):
+                if parts:
+                    names, low, high, n, per = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    out.append((0, f, *_pack(names, low, high), _squeeze(n, per)))
             yield from _rows(out).to_batches()
 
     rows = docs.select(F.col(text).alias("body"))
     return rows.mapInArrow(run, _PARTS)
 
 
+def _sorted_pairs(gram: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (n-gram, set) pairs in order."""
+    if owners < 1 << 24:  # both in one word: 40 bits and 24
+        code = np.unique(gram << np.uint64(24) | owner.astype(np.uint64))
+        return code >> np.uint64(24), (code & np.uint64((1 << 24) - 1)).astype(np.int64)
+    order = np.lexsort((owner, gram))
+    gram, owner = gram[order], owner[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+    return gram[new], owner[new]
+
+
 def _count(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
     """A fragment's shared n-grams (kind 0), and how many of each rarity a set has (kind 1, by set)."""
     fragment = table.column("key")[0].as_py()
-    head, low, high = _read(table, a=np.dtype([("same", "<i8"), ("n", "<u4"), ("per", "<u4")]), b=np.uint32, c=np.uint8)
+    same, low, high = _read(table, a=np.int64, b=np.uint32, c=np.uint8)
+    n, per = _loosen(table.column("d"), 2)
     gram = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    names, which = np.unique(head["same"], return_inverse=True)
+    names, which = np.unique(same, return_inverse=True)
     sizes = np.zeros(len(names), np.uint32)
-    sizes[which] = head["n"]
-    owner = np.repeat(which, head["per"])
-    order = np.lexsort((owner, gram))
-    gram, owner = gram[order], owner[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    gram, owner = gram[new], owner[new]
+    sizes[which] = n
+    owner = np.repeat(which, per)
+    del same, low, high
+    gram, owner = _sorted_pairs(gram, owner, len(names))
     start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     common = np.diff(np.concatenate((start, [len(gram)])))
     common = np.repeat(common, common)
@@ -154,16 +181,20 @@ def _count(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
     bucket = mix(name.view(np.uint64)) % np.uint64(buckets)
     for b in np.unique(bucket).tolist():
         x = bucket == b
-        out.append((1, b, *_pack(name[x], sizes[owner[cell[x]]], np.rec.fromarrays([kind[x], per[x]]), np.array([fragment, x.sum()], np.int64))))
+        own, cells_of = np.unique(owner[cell[x]], return_counts=True)
+        out.append((
+            1, b, names[own].tobytes(), _squeeze(sizes[own], cells_of), _squeeze(kind[x], per[x]),
+            np.array([fragment, x.sum()], np.int64).tobytes(),
+        ))
     return _rows(out)
 
 
 def _cut(percent: int, key: tuple, table: pa.Table) -> pa.Table:
     """The cells (fragment, rarity) of each set that can link, and how far its prefix reaches; by fragment."""
-    name, size, pair, at = _read(
-        table, a=np.int64, b=np.uint32, c=np.dtype([("f0", "u1"), ("f1", "<u4")]), d=np.dtype([("f", "<i8"), ("n", "<i8")])
-    )
-    kind, per = pair["f0"], pair["f1"].astype(np.int64)
+    same, at = _read(table, a=np.int64, d=np.dtype([("f", "<i8"), ("n", "<i8")]))
+    (n, cells), (kind, per) = _loosen(table.column("b"), 2), _loosen(table.column("c"), 2)
+    name, size = np.repeat(same, cells), np.repeat(n, cells)
+    kind, per = kind.astype(np.uint8), per.astype(np.int64)
     fragment = np.repeat(at["f"], at["n"])
     order = np.lexsort((fragment, kind, name))
     name, size, kind, per, fragment = name[order], size[order].astype(np.int64), kind[order], per[order], fragment[order]
@@ -185,8 +216,8 @@ def _cut(percent: int, key: tuple, table: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _prefix(key: tuple, pieces: pa.Table, cells: pa.Table) -> pa.Table:
-    """Of a fragment: the pieces of the sets that can link (kind 0), their prefix n-grams (kind 1)."""
+def _prefix(fragments: int, key: tuple, pieces: pa.Table, cells: pa.Table) -> pa.Table:
+    """Of a fragment: the pieces of the sets that can link (0), their prefix n-grams (1), their spread (2)."""
     if not pieces.num_rows or not cells.num_rows:
         return _rows([])
     fragment = pieces.column("key")[0].as_py()
@@ -210,9 +241,27 @@ def _prefix(key: tuple, pieces: pa.Table, cells: pa.Table) -> pa.Table:
         out.append((1, fragment, *_pack(
             np.repeat(name, per)[first], place, gram[first] | np.uint64(fragment) << np.uint64(40), np.zeros(0)
         )))
+    # how the set's shared n-grams spread over fixed bins
+    low, bits = np.repeat(name, per), max(1, BINS // fragments)
+    spot = (np.uint64(fragment * bits) + gram % np.uint64(bits)) % np.uint64(BINS)
+    code, count = np.unique(np.rec.fromarrays([low, spot.astype(np.uint8)], names="name,bin"), return_counts=True)
+    bucket = mix(code["name"].view(np.uint64)) % np.uint64(fragments)
+    for b in np.unique(bucket).tolist():
+        x = bucket == b
+        out.append((2, b, *_pack(code["name"][x], code["bin"][x], count[x].astype(np.uint32), np.zeros(0))))
     return _rows(out)
 
 
+def _spread(key: tuple, table: pa.Table) -> pa.Table:
+    """The summed bins of each set."""
+    name, spot, count = _read(table, a=np.int64, b=np.uint8, c=np.uint32)
+    names, which = np.unique(name, return_inverse=True)
+    bins = np.bincount(which * BINS + spot, count, len(names) * BINS).astype(np.int32)
+    return pa.table({
+        "of": names, "bins": pa.ListArray.from_arrays(np.arange(0, len(bins) + 1, BINS, dtype=np.int32), pa.array(bins))
+    })
+
+
 def _code(name: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return mix(name.view(np.uint64) + mix(kind.astype(np.uint64) + np.uint64(11)))
 
@@ -267,27 +316,34 @@ def _chunked(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb").mapInArrow(run, _PARTS).withColumn("key", F.monotonically_increasing_id())
 
 
+def _kept(parts: DataFrame, fragments: int) -> DataFrame:
+    """Write packed rows as a table with a bucket per fragment, which later steps read without a shuffle."""
+    spark = parts.sparkSession
+    at = scratch_path(spark, "fragments")
+    name = at.rsplit("/", 1)[1].replace("-", "_")
+    (
+        parts.write.partitionBy("kind").bucketBy(min(fragments, MAX_BUCKETS), "key")
+        .option("path", at).format("parquet").saveAsTable(name)
+    )
+    return spark.table(name)
+
+
 def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """(id, component) of the sets (by identity) that link with another one."""
     spark = docs.sparkSession
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(1, -(-total // FRAGMENT_GRAMS))
-    at = scratch_path(spark, "fragments")
-    (
+    counted = _kept(
         _pieces(docs, size, fragments, doc_id, text).groupBy("key")
-        .applyInArrow(lambda key, t: _count(fragments, key, t), _PARTS)
-        .write.partitionBy("kind").parquet(at)
+        .applyInArrow(lambda key, t: _count(fragments, key, t), _PARTS), fragments
     )
-    counted = spark.read.schema(_PARTS).parquet(at)
     cells = (
         counted.where("kind = 1").groupBy("key").applyInArrow(lambda key, t: _cut(percent, key, t), _PARTS)
     )
-    prefix_at = scratch_path(spark, "prefixes")
-    (
+    kept = _kept(
         counted.where("kind = 0").groupBy("key").cogroup(cells.groupBy("key"))
-        .applyInArrow(_prefix, _PARTS).write.partitionBy("kind").parquet(prefix_at)
+        .applyInArrow(lambda key, p, c: _prefix(fragments, key, p, c), _PARTS), fragments
     )
-    kept = spark.read.schema(_PARTS).parquet(prefix_at)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,6 +355,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id:
 
     met = cut_lineage(kept.where("kind = 1").select("a", "b", "c").mapInArrow(meet, "gram long, same long, n long, rest long"))
     met = met.join(met.groupBy("gram").count().where("count > 1").select("gram"), "gram")
+    spread = cut_lineage(kept.where("kind = 2").groupBy("key").applyInArrow(_spread, "of long, bins array<int>"))
     links = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "id long, component long")
     pivots = 1
@@ -325,7 +382,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id:
         most = F.least("rest", "pr")
         alike = (100 * most >= percent * (F.col("n") + F.col("pn") - most)) & (F.col("component") != F.col("pc"))
         small = F.col("same") < F.col("p")
-        pairs = cut_lineage(
+        pairs = (
             here.join(pivot, "gram").where(alike)
             .select(
                 F.least("same", "p").alias("a"), F.greatest("same", "p").alias("b"),
@@ -333,6 +390,15 @@ def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id:
                 F.when(small, F.col("pn")).otherwise(F.col("n")).alias("nb"),
             ).distinct()
         )
+        # no bin can share more than the smaller count
+        bound = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+        pairs = cut_lineage(
+            pairs.join(spread.select(F.col("of").alias("a"), F.col("bins").alias("x")), "a")
+            .join(spread.select(F.col("of").alias("b"), F.col("bins").alias("y")), "b")
+            .withColumn("most", bound)
+            .where(100 * F.col("most") >= percent * (F.col("na") + F.col("nb") - F.col("most")))
+            .select("a", "b", "na", "nb")
+        )
         if not pairs.isEmpty():
             packed = cut_lineage(_chunked(pairs))
             asked = packed.select(

@@ -27,7 +27,7 @@ LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SMOOTH = 0.5
-_CACHE = 200_000
+_CACHE = 50_000
 _built: dict[str, object] = {}
 
 
