@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from roundsman.llm.common import kept_state
+
 #: Distinct words a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPACE = regex.compile(r"\s+")
 
@@ -186,9 +188,6 @@ class Tokenizer:
         return " ".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_built: dict[str, Tokenizer] = {}
-
-
 def encode(
     docs: DataFrame, vocabulary: str, text: str = "text", ids: bool = True, decoded: bool = False, digests: bool = False,
 ) -> DataFrame:
@@ -201,7 +200,6 @@ def encode(
     with open(vocabulary, encoding="utf-8") as file:
         content = file.read()
     shared = docs.sparkSession.sparkContext.broadcast(content)
-    name = hashlib.sha256(content.encode()).hexdigest()
     made: dict[str, T.DataType] = {"n_tokens": T.LongType()}
     if ids:
         made["ids"] = T.BinaryType()
@@ -213,9 +211,8 @@ def encode(
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:
-            _built[name] = Tokenizer(json.loads(shared.value))
-        tokenizer = _built[name]
+        value = shared.value
+        tokenizer = kept_state("bpe", value, lambda: Tokenizer(json.loads(value)))
         for batch in batches:
             found = tokenizer.encode_batch(batch.column(at).to_pylist())
             new = {"n_tokens": pa.array([len(i) // 4 for i in found], pa.int64())}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_worker: dict[str, object] = {}
+
+
+def kept_state(owner: str, key: object, build: Callable[[], object]) -> object:
+    """What a Python worker has built for ``key``; another owner's or key's state is let go first.
+
+    Workers live through many stages, so only the stage at work holds a model or automaton.
+    """
+    if _worker.get("owner") != owner or _worker.get("key") is not key:
+        _worker.clear()
+        _worker.update(owner=owner, key=key, state=build())
+    return _worker["state"]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

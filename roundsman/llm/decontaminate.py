@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roundsman.llm.common import kept_state
+
 #: Words of a window.
 WINDOW = 10
 #: Most bytes of all items together: a benchmark is a fixed test set. The automaton takes
@@ -22,7 +24,6 @@ WINDOW = 10
 MAX_ITEM_BYTES = 4 << 20
 
 _SEPARATE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-_built: dict[str, object] = {}
 
 
 def normalise(text: str | None) -> bytes:
@@ -109,9 +110,7 @@ def scan(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = shared.value  # one list per worker and broadcast
-        if _built.get("items") is not key or _built.get("size") != size:
-            _built.update(items=key, size=size, automaton=_automaton(key, size))
-        automaton = _built["automaton"]
+        automaton = kept_state(f"decontaminate {size}", key, lambda: _automaton(key, size))
         ints = pa.list_(pa.int32())
         for batch in batches:
             done = [_scan(t.as_py(), automaton) for t in batch.column(at)]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roundsman.llm.common import kept_state
 from roundsman.session import cut_lineage
 
 #: Most labelled rows the tables are fitted on (a hash of the id picks them).
@@ -28,7 +29,6 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SMOOTH = 0.5
 _CACHE = 50_000
-_built: dict[str, object] = {}
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -142,9 +142,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
-        if _built.get("model") is not value:
-            _built.update(model=value, scorer=Scorer(*value))
-        scorer = _built["scorer"]
+        scorer = kept_state("langid", value, lambda: Scorer(*value))
         for batch in batches:
             out = [scorer.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
