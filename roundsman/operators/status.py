@@ -65,8 +65,8 @@ def fold_events(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .groupBy("tour_id", "ordre")
         .agg(
             F.max_by(F.when(is_failed, F.lit("echec")).otherwise(F.lit("livre")), order).alias("statut"),
-            F.max(F.when(~is_failed, F.col("ts"))).alias("heure_livraison"),
-            F.max(F.when(is_failed, F.col("ts"))).alias("heure_echec"),
+            F.max(F.when(~is_failed, F.col("ts"))).alias("delivered_at"),
+            F.max(F.when(is_failed, F.col("ts"))).alias("failed_at"),
             F.max_by("raison", F.when(is_failed, order)).alias("raison_echec"),
         )
     )
@@ -77,8 +77,8 @@ def daily_stats(tours: DataFrame, stops: DataFrame) -> DataFrame:
     """One row per UTC day: delivered, failed, estimated seconds, tours computed."""
     done = stops.select(
         F.explode(F.array(
-            F.struct(F.to_date("heure_livraison").alias("day"), (F.col("statut") == "livre").alias("hit"), F.lit("l").alias("k")),
-            F.struct(F.to_date("heure_echec").alias("day"), (F.col("statut") == "echec").alias("hit"), F.lit("e").alias("k")),
+            F.struct(F.to_date("delivered_at").alias("day"), (F.col("statut") == "livre").alias("hit"), F.lit("l").alias("k")),
+            F.struct(F.to_date("failed_at").alias("day"), (F.col("statut") == "echec").alias("hit"), F.lit("e").alias("k")),
         )).alias("x")
     ).where(F.col("x.hit") & F.col("x.day").isNotNull())
     by_event = done.groupBy(F.col("x.day").alias("day")).agg(
@@ -93,7 +93,7 @@ def daily_stats(tours: DataFrame, stops: DataFrame) -> DataFrame:
 
 def _anchors(tours: DataFrame, stops: DataFrame) -> DataFrame:
     """(tour_id, anchor_ordre, anchor): last treated stop with a time, else the tour's start."""
-    when = F.coalesce("heure_livraison", "heure_echec")
+    when = F.coalesce("delivered_at", "failed_at")
     last = stops.where(treated() & when.isNotNull()).groupBy("tour_id").agg(
         F.max(F.struct("ordre", when.alias("t"))).alias("a")
     )

@@ -57,7 +57,7 @@ def build_tours(orders: DataFrame, matrix: DataFrame, points: DataFrame) -> tupl
     ).withColumn("statut", F.lit("en_cours"))
     stops = timed.where(~F.col("fixed_end")).select(
         "tour_id", "colis_id", (F.col("pos") + 1).alias("ordre"), F.lit("a_livrer").alias("statut"),
-        F.lit(None).cast("timestamp_ntz").alias("heure_livraison"), F.col("seconds").alias("leg_s"),
+        F.lit(None).cast("timestamp_ntz").alias("delivered_at"), F.col("seconds").alias("leg_s"),
     )
     return tours, stops
 

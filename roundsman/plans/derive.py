@@ -75,8 +75,8 @@ PORTABLE: dict[str, str] = {
           CASE WHEN l_partkey % 17 = 0 THEN 'gone' ELSE '' END || CAST(l_orderkey * 100 + ordre AS STRING) AS colis_id,
           CASE WHEN l_linestatus = 'O' THEN 'a_livrer' WHEN l_returnflag = 'R' THEN 'echec' ELSE 'livre' END AS statut,
           CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'R' AND l_partkey % 7 <> 0
-            THEN l_shipdate + ordre * INTERVAL '13' MINUTE END AS heure_livraison,
-          CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN l_shipdate + ordre * INTERVAL '17' MINUTE END AS heure_echec,
+            THEN l_shipdate + ordre * INTERVAL '13' MINUTE END AS delivered_at,
+          CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN l_shipdate + ordre * INTERVAL '17' MINUTE END AS failed_at,
           CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE l_quantity * 30 END AS leg_s
         FROM {lines}""",
     "parcel": f"""

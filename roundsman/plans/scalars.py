@@ -219,13 +219,13 @@ def _(v):
 
 @query(
     "sc19_minutes_remaining",
-    """SELECT tour_id, ordre, greatest(0, CAST(floor((epoch_us(heure_livraison) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 60000000
-          + 0.5) AS BIGINT)) AS minutes FROM {stop} WHERE heure_livraison IS NOT NULL""",
+    """SELECT tour_id, ordre, greatest(0, CAST(floor((epoch_us(delivered_at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 60000000
+          + 0.5) AS BIGINT)) AS minutes FROM {stop} WHERE delivered_at IS NOT NULL""",
 )
 def _(v):
     now = lit("1998-06-01 12:00:00").cast("timestamp_ntz")
-    return v.stop.where(col("heure_livraison").isNotNull()).select(
-        "tour_id", "ordre", geo.minutes_remaining(col("heure_livraison"), now).alias("minutes")
+    return v.stop.where(col("delivered_at").isNotNull()).select(
+        "tour_id", "ordre", geo.minutes_remaining(col("delivered_at"), now).alias("minutes")
     )
 
 

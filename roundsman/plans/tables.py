@@ -130,7 +130,17 @@ def _(v):
 _ADDRESS = "SELECT id, n, rep, r, rn, cp, c, cn, lat, lon FROM {address}"
 
 
-@query("io01_read_addresses", _ADDRESS)
+@query("io01_read_addresses", _ADDRESS.replace("id, ", "", 1))
+def _(v):
+    # an extract file per postcode, each one JSON document
+    path = scratch_path(v.spark, "addresses")
+    entry = F.struct("n", "rep", "r", "rn", "cp", "c", "cn", "lat", "lon")
+    extracts = v.address.groupBy(col("cp").alias("zone")).agg(F.collect_list(entry).alias("entries"))
+    extracts.write.partitionBy("zone").option("compression", "gzip").json(path)
+    return files.read_addresses(v.spark, path).drop("id")
+
+
+@query("io01_read_address_lines", _ADDRESS)
 def _(v):
     path = scratch_path(v.spark, "addresses")
     v.address.write.option("compression", "gzip").json(path)

@@ -134,7 +134,7 @@ def _(v):
     f"WITH {_TIMED} SELECT tour_id, colis_id, pos + 1 AS ordre, 'a_livrer' AS statut, seconds AS leg_s FROM timed WHERE NOT fixed_end",
 )
 def _(v):
-    return T.build_tours(v.torder, v.matrix, v.tpoint)[1].drop("heure_livraison")
+    return T.build_tours(v.torder, v.matrix, v.tpoint)[1].drop("delivered_at")
 
 
 @query(
@@ -226,13 +226,13 @@ def _(v):
       lagged AS (SELECT *, lag(kind) OVER (PARTITION BY tour_id, ordre ORDER BY ts, seq) AS p FROM touch),
       eff AS (SELECT * FROM lagged WHERE kind <> 'direct' OR p IS NULL OR p = 'failed')
       SELECT tour_id, ordre, arg_max(CASE WHEN kind = 'failed' THEN 'echec' ELSE 'livre' END, (ts, seq)) AS statut,
-        CAST(floor(epoch(MAX(ts) FILTER (WHERE kind <> 'failed'))) AS BIGINT) AS livraison, CAST(floor(epoch(MAX(ts) FILTER (WHERE kind = 'failed'))) AS BIGINT) AS echec,
+        CAST(floor(epoch(MAX(ts) FILTER (WHERE kind <> 'failed'))) AS BIGINT) AS delivered_s, CAST(floor(epoch(MAX(ts) FILTER (WHERE kind = 'failed'))) AS BIGINT) AS failed_s,
         arg_max(raison, (ts, seq)) FILTER (WHERE kind = 'failed') AS raison FROM eff GROUP BY tour_id, ordre""",
 )
 def _(v):
     stops = S.fold_events(v.event)[1]
-    return stops.select("tour_id", "ordre", "statut", _seconds(col("heure_livraison")).alias("livraison"),
-                        _seconds(col("heure_echec")).alias("echec"), col("raison_echec").alias("raison"))
+    return stops.select("tour_id", "ordre", "statut", _seconds(col("delivered_at")).alias("delivered_s"),
+                        _seconds(col("failed_at")).alias("failed_s"), col("raison_echec").alias("raison"))
 
 
 @query("ag01_tour_states", "SELECT tour_id, CASE WHEN bool_or(kind = 'archive') THEN 'archivee' ELSE 'en_cours' END AS statut FROM {event} GROUP BY tour_id")
@@ -242,8 +242,8 @@ def _(v):
 
 @query(
     "ag02_daily_stats",
-    """WITH ev AS (SELECT CAST(heure_livraison AS DATE) AS day, 1 AS l, 0 AS e FROM {stop} WHERE statut = 'livre' AND heure_livraison IS NOT NULL
-        UNION ALL SELECT CAST(heure_echec AS DATE), 0, 1 FROM {stop} WHERE statut = 'echec' AND heure_echec IS NOT NULL),
+    """WITH ev AS (SELECT CAST(delivered_at AS DATE) AS day, 1 AS l, 0 AS e FROM {stop} WHERE statut = 'livre' AND delivered_at IS NOT NULL
+        UNION ALL SELECT CAST(failed_at AS DATE), 0, 1 FROM {stop} WHERE statut = 'echec' AND failed_at IS NOT NULL),
       d AS (SELECT day, CAST(SUM(l) AS BIGINT) AS livres, CAST(SUM(e) AS BIGINT) AS echecs FROM ev GROUP BY day),
       t AS (SELECT CAST(date_creation AS DATE) AS day, SUM(total_s) AS duree_s, COUNT(*) AS tours FROM {tour} GROUP BY 1)
       SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(livres, 0) AS livres, coalesce(echecs, 0) AS echecs, coalesce(duree_s, 0) AS duree_s,
@@ -253,8 +253,8 @@ def _(v):
     return S.daily_stats(v.tour, v.stop).withColumn("day", col("day").cast("string"))
 
 
-_ANCHOR = """anchor AS (SELECT t.tour_id, arg_max(ordre, ordre) AS o, coalesce(arg_max(coalesce(heure_livraison, heure_echec), ordre), MIN(date_creation)) AS a
-      FROM {tour} t LEFT JOIN (SELECT * FROM {stop} WHERE statut <> 'a_livrer' AND coalesce(heure_livraison, heure_echec) IS NOT NULL) s ON s.tour_id = t.tour_id GROUP BY t.tour_id),
+_ANCHOR = """anchor AS (SELECT t.tour_id, arg_max(ordre, ordre) AS o, coalesce(arg_max(coalesce(delivered_at, failed_at), ordre), MIN(date_creation)) AS a
+      FROM {tour} t LEFT JOIN (SELECT * FROM {stop} WHERE statut <> 'a_livrer' AND coalesce(delivered_at, failed_at) IS NOT NULL) s ON s.tour_id = t.tour_id GROUP BY t.tour_id),
   ahead AS (SELECT s.*, a FROM {stop} s JOIN anchor ON anchor.tour_id = s.tour_id WHERE o IS NULL OR ordre > o)"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 _TEXT = ("n", "rep", "r", "rn", "cp", "c", "cn")
 
@@ -31,8 +32,13 @@ def read_addresses(spark: SparkSession, path: str) -> DataFrame:
     in the low ones, so that no global numbering pass is needed.
     """
     docs = spark.read.schema(ADDRESS_FILE).option("multiLine", True).json(path)
-    rows = docs.select(F.monotonically_increasing_id().alias("_file"), F.posexplode("entries").alias("_at", "e"))
-    return rows.select((F.col("_file") * F.lit(1 << 30) + F.col("_at")).alias("id"), "e.*")
+    docs = docs.select(F.col("_metadata.file_path").alias("_path"), "entries")
+    # one row per file, so the ranking stays small whatever the files hold
+    files = docs.select("_path").distinct().select(
+        F.col("_path"), (F.row_number().over(W.orderBy("_path")) - 1).cast("long").alias("_file")
+    )
+    rows = docs.join(files, "_path").select("_file", F.posexplode("entries").alias("_at", "e"))
+    return rows.select((F.col("_file") * F.lit(1 << 31) + F.col("_at")).alias("id"), "e.*")
 
 
 def read_address_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -51,12 +51,12 @@ def test_fold_equals_replay(spark):
     parcels, stops, tour_states = status.fold_events(df)
     want_parcels, want_stops, closed = replay(events)
     assert {r["colis_id"]: r["statut"] for r in parcels.collect()} == want_parcels
-    got = {(r["tour_id"], r["ordre"]): (r["statut"], r["heure_livraison"], r["heure_echec"], r["raison_echec"]) for r in stops.collect()}
+    got = {(r["tour_id"], r["ordre"]): (r["statut"], r["delivered_at"], r["failed_at"], r["raison_echec"]) for r in stops.collect()}
     assert got == want_stops
     assert {r["tour_id"] for r in tour_states.collect() if r["statut"] == "archivee"} == closed
 
 
-STOPS = "tour_id int, ordre int, colis_id string, statut string, heure_livraison timestamp_ntz, heure_echec timestamp_ntz, leg_s double"
+STOPS = "tour_id int, ordre int, colis_id string, statut string, delivered_at timestamp_ntz, failed_at timestamp_ntz, leg_s double"
 
 
 def test_etas_follow_the_last_treated_stop(spark):

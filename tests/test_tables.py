@@ -1,6 +1,7 @@
 """Table maintenance and imports on small tables."""
 
 import datetime as dt
+import gzip
 import json
 
 from pyspark.sql import functions as F
@@ -94,6 +95,18 @@ def test_read_whole_files(spark, tmp_path):
     assert rows(edges, "e", "u", "v") == [(0, 0, 1)] and turns.isEmpty()
 
 
+def test_addresses_of_many_files(spark, tmp_path):
+    for k in range(3):
+        text = json.dumps({"entries": [{"n": f"{k}{i}", "cp": "54200", "lat": 48.5, "lon": 5.5} for i in range(2)]})
+        if k == 1:
+            with gzip.open(tmp_path / "part1.json.gz", "wt") as f:
+                f.write(text)
+        else:
+            (tmp_path / f"part{k}.json").write_text(text)
+    df = files.read_addresses(spark, str(tmp_path))
+    assert rows(df, "id", "n") == [((k << 31) + i, f"{k}{i}") for k in range(3) for i in range(2)]
+
+
 def test_features_leave_absent_order_out(spark):
     df = spark.createDataFrame([("a", "pret", None, 48.0, 5.5), ("b", "livre", 2, 48.0, 5.5)], "colis_id string, statut string, ordre int, lat double, lon double")
     got = {r["colis_id"]: json.loads(r["json"]) for r in geojson.stop_features(df).collect()}
