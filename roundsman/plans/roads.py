@@ -10,12 +10,11 @@ from roundsman.plans.registry import query
 
 col, lit = F.col, F.lit
 
-#: Travel cut-off of the registered searches, in seconds.
-LIMIT = 60.0
-
 _REACH = f"""step AS (SELECT t.e, t.f, CAST(b.w AS DOUBLE) AS w FROM {{turn}} t JOIN {{edge}} b ON b.e = t.f),
-  reach(source, edge, d) AS (SELECT u, e, CAST(w AS DOUBLE) FROM {{edge}} WHERE w <= {LIMIT}
-    UNION SELECT source, f, d + s.w FROM reach JOIN step s ON s.e = reach.edge WHERE d + s.w <= {LIMIT}),
+  reach(source, edge, d) USING KEY (source, edge) AS (SELECT u, e, CAST(w AS DOUBLE) FROM {{edge}} WHERE w <= {R.MAX_SECONDS}
+    UNION SELECT n.source, s.f, MIN(n.d + s.w) FROM reach n JOIN step s ON s.e = n.edge
+      LEFT JOIN recurring.reach o ON o.source = n.source AND o.edge = s.f
+      WHERE n.d + s.w <= {R.MAX_SECONDS} AND (o.d IS NULL OR n.d + s.w < o.d) GROUP BY n.source, s.f),
   times AS (SELECT source, node, MIN(d) AS seconds FROM (SELECT source, v AS node, d FROM reach JOIN {{edge}} x ON x.e = reach.edge
     UNION ALL SELECT node, node, 0 FROM {{node}}) z GROUP BY source, node)"""
 
@@ -26,7 +25,7 @@ def _times(body: str, *more: str) -> str:
 
 @query("gr01_shortest_times", _times("SELECT source, node, seconds FROM times"))
 def _(v):
-    return R.shortest_times(v.node.select(col("node").alias("source")), v.edge, v.turn, LIMIT)
+    return R.shortest_times(v.node.select(col("node").alias("source")), v.edge, v.turn)
 
 
 @query(
@@ -36,7 +35,7 @@ def _(v):
 )
 def _(v):
     points = v.lines.select(col("l_orderkey").alias("tour_id"), col("ordre").cast("bigint").alias("i"), col("l_suppkey").alias("node"))
-    return R.time_matrix(points, v.edge, v.turn, LIMIT)
+    return R.time_matrix(points, v.edge, v.turn)
 
 
 _PAIRS = """SELECT DISTINCT a.l_suppkey AS source, b.l_suppkey AS target FROM {lines} a JOIN {lines} b
@@ -53,7 +52,7 @@ _PAIRS = """SELECT DISTINCT a.l_suppkey AS source, b.l_suppkey AS target FROM {l
 )
 def _(v):
     """Path ends and the driving time added up along the returned nodes."""
-    paths = R.shortest_paths(v.sql(_PAIRS), v.edge, v.turn, LIMIT)
+    paths = R.shortest_paths(v.sql(_PAIRS), v.edge, v.turn)
     hops = paths.where(F.size("nodes") > 1).select("source", "target", F.posexplode("nodes").alias("p", "u"), "nodes").select(
         "source", "target", "u", F.get("nodes", col("p") + 1).alias("v")
     )
@@ -86,7 +85,7 @@ _LEGS = (
 
 def _segments(v):
     points = R.route_points(v.tour, v.sql(_PLACED))
-    return R.route_segments(points, v.node, v.edge, v.turn, LIMIT)
+    return R.route_segments(points, v.node, v.edge, v.turn)
 
 
 @query(
