@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from roundsman.llm.common import kept_state
+from roundsman.llm.hashing import chunks
 
 #: Distinct words a worker remembers.
 CACHE_WORDS = 200_000
@@ -213,18 +215,22 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
         tokenizer = kept_state("bpe", value, lambda: Tokenizer(json.loads(value)))
-        for batch in batches:
-            found = tokenizer.encode_batch(batch.column(at).to_pylist())
-            new = {"n_tokens": pa.array([len(i) // 4 for i in found], pa.int64())}
-            if ids:
-                new["ids"] = pa.array(found, pa.binary())
-            if decoded or digests:
-                texts = [tokenizer.decode(i) for i in found]
-            if decoded:
-                new["decoded"] = pa.array(texts, pa.string())
-            if digests:
-                new["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i in found], pa.string())
-                new["decoded_sha256"] = pa.array([hashlib.sha256(d.encode()).hexdigest() for d in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
+        for whole in batches:
+            # the words of a text take many times its bytes, so few texts are at work at once
+            sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_pylist()
+            for start, stop in chunks(sizes):
+                batch = whole.slice(start, stop - start)
+                found = tokenizer.encode_batch(batch.column(at).to_pylist())
+                new = {"n_tokens": pa.array([len(i) // 4 for i in found], pa.int64())}
+                if ids:
+                    new["ids"] = pa.array(found, pa.binary())
+                if decoded or digests:
+                    texts = [tokenizer.decode(i) for i in found]
+                if decoded:
+                    new["decoded"] = pa.array(texts, pa.string())
+                if digests:
+                    new["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i in found], pa.string())
+                    new["decoded_sha256"] = pa.array([hashlib.sha256(d.encode()).hexdigest() for d in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in made.items())]))
