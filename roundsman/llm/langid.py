@@ -97,34 +97,45 @@ def fit(
 
 
 class Scorer:
+    """The tables of a worker: units lead to rows of one matrix per size, which takes less memory than a row each."""
+
     def __init__(self, langs: list[str], model: dict):
         self.langs = langs
-        self.rows = {size: dict(zip(units, logs, strict=True)) for size, (units, logs) in model.items()}
+        self.places = {size: {unit: i for i, unit in enumerate(units)} for size, (units, _) in model.items()}
+        self.logs = {size: logs for size, (_, logs) in model.items()}
         self.unseen: dict[str, np.ndarray] = {}
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies by language of a word, from itself or from its longest known n-grams."""
-        known = self.rows[0].get(word)
-        if known is None:
-            known = self.unseen.get(word)
-        if known is None:
-            known = np.zeros(len(self.langs), np.float32)
+    def back_off(self, word: str) -> np.ndarray:
+        """Log frequencies by language of an unseen word, from its longest known n-grams."""
+        found = self.unseen.get(word)
+        if found is None:
+            found = np.zeros(len(self.langs), np.float32)
             for size in LENGTHS:
-                hits = [v for g in _grams(word, size) if (v := self.rows[size].get(g)) is not None]
+                places = self.places[size]
+                hits = [i for g in _grams(word, size) if (i := places.get(g)) is not None]
                 if hits:
-                    known = np.mean(hits, axis=0)
+                    found = self.logs[size][hits].mean(axis=0)
                     break
             if len(self.unseen) >= _CACHE:
                 self.unseen.clear()
-            self.unseen[word] = known
-        return known
+            self.unseen[word] = found
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = words_of(text)
         if not self.langs or not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
-        rows = np.array([self.word(w) for w in counts])
-        sums = np.fromiter(counts.values(), np.float64, len(counts)) @ rows
+        places, times = [], []
+        sums = np.zeros(len(self.langs))
+        known = self.places[0]
+        for word, n in counts.items():
+            if (i := known.get(word)) is not None:
+                places.append(i)
+                times.append(n)
+            else:
+                sums += n * self.back_off(word).astype(np.float64)
+        if places:
+            sums += np.array(times, np.float64) @ self.logs[0][places]
         share = np.exp(sums - sums.max())
         best = int(np.argmax(share))  # ties go to the first name
         return self.langs[best], float(min(1.0, share[best] / share.sum()))
