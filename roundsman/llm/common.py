@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _worker: dict[str, object] = {}
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, which allocators otherwise keep for the worker's next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU C library has it
+        pass
+
+
 def kept_state(owner: str, key: object, build: Callable[[], object]) -> object:
     """What a Python worker has built for ``key``; another owner's or key's state is let go first.
 
@@ -39,7 +52,9 @@ def kept_state(owner: str, key: object, build: Callable[[], object]) -> object:
     """
     if _worker.get("owner") != owner or _worker.get("key") is not key:
         _worker.clear()
+        release_memory()
         _worker.update(owner=owner, key=key, state=build())
+        release_memory()
     return _worker["state"]
 
 

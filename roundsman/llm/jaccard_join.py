@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundsman.llm.common import components
+from roundsman.llm.common import components, kept_state
 from roundsman.llm.hashing import chunks, mix, shingle_sets
 from roundsman.session import cut_lineage, scratch_path
 
@@ -58,6 +58,7 @@ def shingled(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "te
     """(id, same: identity of the n-gram set, n: its size) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_state("jaccard_join", None, lambda: None)  # lets go what an earlier operator has left
         for batch in batches:
             for rows, _, counts, same in _sets(batch, size):
                 yield pa.RecordBatch.from_arrays(
