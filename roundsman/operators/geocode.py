@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from roundsman.functions.text import (
     canonical_address,
@@ -46,6 +47,12 @@ def _by_city(cn: Column) -> Column:
     return F.concat(F.lit("c:"), cn)
 
 
+def _no_key(rows: DataFrame) -> Column:
+    """A key for rows that look nothing up: it matches nothing, but spreads them over all tasks."""
+    plain = [f.name for f in rows.schema if isinstance(f.dataType, AtomicType)]
+    return F.concat(F.lit("\x00"), F.xxhash64(*plain).cast("string"))
+
+
 def candidate_pool(queries: DataFrame, addresses: DataFrame) -> DataFrame:
     """Names the pool of addresses each query is compared with, its size, and whether all
     of it lies in one town.
@@ -54,14 +61,13 @@ def candidate_pool(queries: DataFrame, addresses: DataFrame) -> DataFrame:
     given, the pool is the town. Pools are named, not spelled out: pairing every
     query with every address of a hot postcode would be quadratic.
     """
-    by_cp = addresses.groupBy("cp").agg(
+    by_cp = addresses.where(F.col("cp").isNotNull()).groupBy(F.col("cp").alias("_post")).agg(
         F.count("*").alias("_n_cp"), (F.min("cn") == F.max("cn")).alias("_one")
     )
     by_cn = addresses.groupBy(F.col("cn").alias("_town")).agg(F.count("*").alias("_n_cn"))
-    tagged = queries.join(by_cp, "cp", "left")
+    spread = _no_key(queries)
+    tagged = queries.withColumn("_post", F.coalesce(F.col("cp"), spread)).join(by_cp, "_post", "left")
     city = F.col("q_city") if "q_city" in queries.columns else normalize_city(F.col("ville"))
-    # rows that need no town get keys that match nothing but still spread over all tasks
-    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("cp", "q_city"), F.lit(65536)).cast("string"))
     tagged = tagged.withColumn("q_city", city).withColumn(
         "_town", F.when(F.col("_n_cp").isNull() & (F.col("q_city") != ""), F.col("q_city")).otherwise(spread)
     )
@@ -214,7 +220,8 @@ def match_addresses(
         ).alias("candidates")
     )
     first = F.get(F.col("candidates"), F.lit(0))
-    return pooled.join(lists, key, "left").select(
+    keyed = pooled.withColumn("pool", F.coalesce(F.col("pool"), _no_key(pooled)))
+    return keyed.join(lists, key, "left").select(
         *queries.columns,
         F.when(first["score"] >= threshold, first).alias("best"),
         "candidates",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roundsman.functions.geo import haversine_m
 from roundsman.functions.text import none_if_empty, text_or_empty
-from roundsman.operators.tables import favourite_order
+from roundsman.operators.tables import favourite_order, join_known
 
 # Grid step in degrees, widest ring, snapping and favourite distances in metres.
 CELL_DEG = 0.005
@@ -95,7 +95,7 @@ def nearest_node(
         .groupBy("lat", "lon")
         .agg(F.min(F.struct(distance.alias("d"), F.col("node").alias("node"))).alias("hit"))
     )
-    return points.join(best, ["lat", "lon"], "left").select(
+    return join_known(points, best, ["lat", "lon"]).select(
         *points.columns, F.col("hit.node").alias("node"), F.col("hit.d").alias("distance_m")
     )
 
@@ -161,7 +161,7 @@ def nearest_favourite(points: DataFrame, favourites: DataFrame, radius_m: float
     best = keys.groupBy("lat", "lon").agg(
         F.min_by(F.struct("favori", "d"), F.struct("d", "_k0", "_k1", "favori.id")).alias("hit")
     )
-    return points.join(best, ["lat", "lon"], "left").select(
+    return join_known(points, best, ["lat", "lon"]).select(
         *points.columns, F.col("hit.favori").alias("favori"), F.col("hit.d").alias("favori_m")
     )
 

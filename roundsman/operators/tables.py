@@ -22,6 +22,17 @@ def latest(changes: DataFrame, key: str, order_by: str) -> DataFrame:
     return changes.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def join_known(rows: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of ``found`` on the columns ``on``. Rows with a null key match nothing, so they
+    pass by the join instead of meeting in one of its tasks."""
+    missing = F.lit(False)
+    for key in on:
+        missing = missing | F.col(key).isNull()
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in on]
+    passed = rows.where(missing).select("*", *added)
+    return rows.where(~missing).join(found, list(on), "left").unionByName(passed)
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str, order_by: str) -> DataFrame:
     """Replace whole records by key and add new ones."""
     last = latest(changes, key, order_by)

@@ -146,3 +146,29 @@ def test_favourites_within_radius_and_across_the_date_line(spark):
         assert (r["favori"]["id"] if r["favori"] else None) == (near[1] if near else None)
         if near:
             assert r["favori_m"] == pytest.approx(near[0], abs=1e-6)
+
+
+def test_rows_without_a_key_pass_by_the_joins(spark):
+    """Points without a position and queries without a postcode keep their rows, with no null-keyed outer join."""
+    nodes = spark.createDataFrame([(0, 48.0, 6.0)], "node int, lat float, lon float")
+    points = spark.createDataFrame([(1, 48.0, 6.0), (2, None, None), (2, None, None), (3, 48.0, None), (4, None, 6.0)], "id int, lat double, lon double")
+    near = P.nearest_node(points, nodes)
+    assert sorted((r["id"], r["node"]) for r in near.collect()) == [(1, 0), (2, None), (2, None), (3, None), (4, None)]
+    favs = spark.createDataFrame([("f", "r", "v", 48.0, 6.0, "n")], "id string, rue string, ville string, lat double, lon double, note string")
+    alike = P.nearest_favourite(points, favs)
+    assert sorted((r["id"], r["favori"] is not None) for r in alike.collect()) == [(1, True), (2, False), (2, False), (3, False), (4, False)]
+    for found in (near, alike):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        outer = plan[plan.index("Join LeftOuter") :]
+        filters = outer[: outer.index("Aggregate")]
+        assert "isnotnull(lat" in filters and "isnotnull(lon" in filters, plan
+
+    rows = [(1, "6", "", "Rue du Puits", "54470", "Aville", 48.0, 6.0), (2, "6", "", "Rue du Puits", None, "Aville", 48.0, 6.0)]
+    asked = [(1, "Rue du Puits", "54470", "Aville", "6"), (2, None, None, None, None), (3, None, None, None, None), (4, "Rue du Puits", None, "Aville", "6"), (5, "Rue du Puits", None, "Nowhere", "6")]
+    q = spark.createDataFrame(asked, "qid int, rue string, cp string, ville string, numero string")
+    pools = G.candidate_pool(G.prepare_queries(q), addresses(spark, rows))
+    assert {r["qid"]: (r["pool"], r["pool_size"]) for r in pools.collect()} == {
+        1: ("p:54470", 1), 2: (None, 0), 3: (None, 0), 4: ("c:aville", 2), 5: (None, 0),
+    }
+    best = {r["qid"]: r["best"] and r["best"]["address"]["id"] for r in G.match_addresses(q, addresses(spark, rows)).collect()}
+    assert best == {1: 1, 2: None, 3: None, 4: 1, 5: None}
