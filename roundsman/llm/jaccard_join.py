@@ -376,15 +376,17 @@ def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id:
             chosen |= F.col("same") == F.col("first")
         else:  # earlier pivots have met everyone
             chosen &= (lot >= pivots // PIVOT_GROWTH << 30) & (F.col("same") != F.col("first"))
-        pivot = here.where(chosen).select(
+        here = here.withColumn("pivot", chosen)
+        pivot = here.where("pivot").select(
             "gram", F.col("same").alias("p"), F.col("n").alias("pn"), F.col("rest").alias("pr"), F.col("component").alias("pc")
         )
         # sets that first meet here share nothing before; if they met before, they were seen there
         most = F.least("rest", "pr")
         alike = (100 * most >= percent * (F.col("n") + F.col("pn") - most)) & (F.col("component") != F.col("pc"))
         small = F.col("same") < F.col("p")
+        # two pivots meet from both sides; once is enough
         pairs = (
-            here.join(pivot, "gram").where(alike)
+            here.join(pivot, "gram").where(alike & (small | ~F.col("pivot")))
             .select(
                 F.least("same", "p").alias("a"), F.greatest("same", "p").alias("b"),
                 F.when(small, F.col("n")).otherwise(F.col("pn")).alias("na"),
