@@ -25,11 +25,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links by n-gram Jaccard: the one with the smallest id."""
+    """One document of each group that links by n-gram Jaccard: the one with the smallest id.
+
+    A document is an id with its text, so a reused id stays only with the text that was chosen;
+    in a group of null ids only, one text stays. Rows that repeat both id and text stay
+    together. A row without words or text is in no group and stays.
+    """
     session_ready(spark)
-    found = jaccard_join.join(docs, size=5, percent=80)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = jaccard_join.kept(docs, size=5, percent=80).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,19 +55,19 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
 
 
 def shingled(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, same: identity of the n-gram set, n: its size) of every row."""
+    """(id, mark: hash of the text, same: identity of the n-gram set, n: its size) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_state("jaccard_join", None, lambda: None)  # lets go what an earlier operator has left
         for batch in batches:
             for rows, _, counts, same in _sets(batch, size):
+                own = [batch.column(c).take(pa.array(rows)) for c in ("id", "mark")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(same), pa.array(counts.astype(np.int64))],
-                    names=["id", "same", "n"],
+                    [*own, pa.array(same), pa.array(counts.astype(np.int64))], names=["id", "mark", "same", "n"]
                 )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, "id long, same long, n long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("body"))
+    return rows.mapInArrow(run, "id long, mark long, same long, n long")
 
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
@@ -422,6 +422,27 @@ def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id:
         pivots *= PIVOT_GROWTH
 
 
+def _classes(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, n, class) of the rows with a set, and (id, mark, n) of those without."""
+    sets = cut_lineage(shingled(docs, size, doc_id, text))
+    found = link_sets(docs, sets, size, percent, doc_id, text)
+    full = sets.where("n > 0").join(found.withColumnRenamed("id", "same"), "same", "left").select(
+        "id", "mark", "n", F.coalesce("component", "same").alias("class")
+    )
+    return full, sets.where("n = 0").select("id", "mark", "n")
+
+
+def kept(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, mark) of the documents that stay: of each class the one with the smallest id, and all without a set.
+
+    The mark is the xxhash64 of the text. A null id comes after all others; of several texts
+    with the smallest id the smallest mark stays.
+    """
+    full, alone = _classes(docs, size, percent, doc_id, text)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
+    return full.groupBy("class").agg(first).select("first.id", "first.mark").unionByName(alone.select("id", "mark").distinct())
+
+
 def join(
     docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -432,12 +453,8 @@ def join(
     text a document has no set and stays alone. Rows of equal sets are one class throughout.
     N-grams are told apart by 64 bits, inside a fragment by 40 and the fragment itself.
     """
-    sets = cut_lineage(shingled(docs, size, doc_id, text))
-    found = link_sets(docs, sets, size, percent, doc_id, text)
-    full = sets.where("n > 0").join(found.withColumnRenamed("id", "same"), "same", "left").select(
-        "id", "n", F.coalesce("component", "same").alias("class")
-    )
+    full, alone = _classes(docs, size, percent, doc_id, text)
     least = full.groupBy("class").agg(F.min("id").alias("component"))
     return full.join(least, "class").select("id", "n", "component").unionByName(
-        sets.where("n = 0").select("id", "n", F.col("id").alias("component"))
+        alone.select("id", "n", F.col("id").alias("component"))
     )

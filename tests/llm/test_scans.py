@@ -141,3 +141,16 @@ def test_pipeline_stages(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ids_do_not_decide_for_other_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [
+        (0, b), (1, b), (1, a), (3, a), (1, a + " more"), (None, a), (None, c), (None, c + " more"), (None, c.upper()),
+        (None, None), (None, None), (None, ""), (5, ""), (5, " "), (6, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    grouped = sorted((t[0].lower(), i) for i, t in got if (t or "").strip())
+    assert grouped == [("a", 1), ("b", 0), ("c", None)]
+    assert sorted(map(str, (r for r in got if not (r[1] or "").strip()))) == sorted(map(str, rows[9:]))
