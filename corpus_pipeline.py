@@ -18,10 +18,13 @@ from roundsman.session import scratch_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: a text that is null or has no letters is rejected, and nothing else."""
+    """Documents in a language: a text that is null or has no letters is rejected, and nothing else.
+
+    This holds without labels to learn from as well.
+    """
     session_ready(spark)
     model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.predict(docs, model).where("has_letters").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

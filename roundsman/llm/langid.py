@@ -121,10 +121,11 @@ class Scorer:
             self.unseen[word] = found
         return found
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
         counts = words_of(text)
-        if not self.langs or not any(c.isalpha() for w in counts for c in w):
-            return UNKNOWN, 0.0
+        letters = any(c.isalpha() for w in counts for c in w)
+        if not self.langs or not letters:
+            return UNKNOWN, 0.0, letters
         places, times = [], []
         sums = np.zeros(len(self.langs))
         known = self.places[0]
@@ -138,17 +139,18 @@ class Scorer:
             sums += np.array(times, np.float64) @ self.logs[0][places]
         share = np.exp(sums - sums.max())
         best = int(np.argmax(share))  # ties go to the first name
-        return self.langs[best], float(min(1.0, share[best] / share.sum()))
+        return self.langs[best], float(min(1.0, share[best] / share.sum())), True
 
 
 def predict(docs: DataFrame, model: tuple[list[str], dict], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) of every whole text; columns of these names are replaced.
+    """``docs`` with lang_pred, score (0 to 1) and has_letters of every whole text; columns of these names are replaced.
 
-    A null text, one without letters, or a model without languages gives ``und`` and 0. No
-    shuffle: the languages are found where the texts are read.
+    A null text, one without letters, or a model without languages gives ``und`` and 0; of
+    these only the last has letters. No shuffle: the languages are found where the texts are
+    read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "has_letters")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +159,12 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], text: str = "text")
         for batch in batches:
             out = [scorer.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))],
+                names=[*batch.schema.names, "lang_pred", "score", "has_letters"],
             )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([
+        *docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("has_letters", T.BooleanType()),
+    ])
     return docs.mapInArrow(run, schema)

@@ -154,3 +154,11 @@ def test_ids_do_not_decide_for_other_groups(spark):
     grouped = sorted((t[0].lower(), i) for i, t in got if (t or "").strip())
     assert grouped == [("a", 1), ("b", 0), ("c", None)]
     assert sorted(map(str, (r for r in got if not (r[1] or "").strip()))) == sorted(map(str, rows[9:]))
+
+
+def test_missing_labels_reject_no_document(spark):
+    rows = [(1, "some text", None), (2, "12 !", None), (3, None, None), (4, "", None), (None, "Ünder", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, "some text"), (None, "Ünder")}
