@@ -92,8 +92,75 @@ WITH rules(rule_host, rule_path, says) AS (
 SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM part LEFT JOIN fit USING (r)
 """
 
+OP11 = rf"""
+WITH RECURSIVE piece AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), run AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM piece, (VALUES (1), (2), (3)) size(m) WHERE len(w) >= m) GROUP BY ALL
+), total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM run WHERE m = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM run WHERE f >= 10),
+cover AS (
+  SELECT lang, phrase, max(f) AS around FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM often WHERE m = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM often WHERE m = 3) GROUP BY ALL
+), cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : m], ' ') AS rp
+  FROM (SELECT lang, phrase, m, w, f AS a, unnest(range(1, m)) AS k FROM often LEFT JOIN cover USING (lang, phrase)
+    WHERE m > 1 AND (around IS NULL OR 100 * around < 50 * f))
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+    CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cut c JOIN run x ON x.lang = c.lang AND x.phrase = lp JOIN run y ON y.lang = c.lang AND y.phrase = rp
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best QUALIFY rank <= 2000
+), edge AS (
+  SELECT lang, phrase, f, array_to_string(w[1:2], ' ') AS a2, array_to_string(w[2:3], ' ') AS b2 FROM often WHERE m = 3
+), inner_node AS (
+  SELECT DISTINCT o.lang, o.phrase FROM often o JOIN edge i ON i.lang = o.lang AND i.b2 = o.phrase AND i.f = o.f
+    JOIN edge u ON u.lang = o.lang AND u.a2 = o.phrase AND u.f = o.f WHERE o.m = 2
+), walk AS (
+  SELECT e.lang, e.phrase AS head, e.phrase, e.b2, 3 AS words FROM edge e
+  WHERE NOT EXISTS (SELECT 1 FROM inner_node i WHERE i.lang = e.lang AND i.phrase = e.a2)
+  UNION ALL SELECT k.lang, k.head, e.phrase, e.b2, k.words + 1 FROM walk k
+    JOIN inner_node i ON i.lang = k.lang AND i.phrase = k.b2 JOIN edge e ON e.lang = k.lang AND e.a2 = k.b2
+    JOIN often o ON o.lang = k.lang AND o.phrase = k.b2 AND o.f = e.f
+), passage AS (
+  SELECT lang, phrase, max(words) OVER (PARTITION BY lang, head) AS path_words FROM walk
+)
+SELECT lang, rank, phrase, a, l, r, n, score, CAST(coalesce(path_words, len(string_split(phrase, ' '))) AS BIGINT) AS path_words
+FROM ranked JOIN total USING (lang) LEFT JOIN passage USING (lang, phrase)
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_TERM}') AS w FROM documents
+), size AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM doc WHERE len(w) > 0
+), posting AS (
+  SELECT d, len, term, count(*) AS tf FROM (SELECT d, len(w) AS len, unnest(w) AS term FROM doc) GROUP BY ALL
+), item AS (
+  SELECT q, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '{_TERM}')) AS term FROM benchmark)
+  GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, size GROUP BY term, nd
+), scored AS (
+  SELECT q, item_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len * nd) // nt)))) AS BIGINT) AS score
+  FROM item JOIN weight USING (term) JOIN posting USING (term), size GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN doc USING (d) WHERE score > 0 QUALIFY rank <= 10
+"""
+
 CHECKS = {
     "op4_benchmark_decontamination": OP4,
     "op8_secret_scan": OP8,
     "op9_url_filter": OP9,
+    "op11_phrase_collocations": OP11,
+    "op13_ranked_search": OP13,
 }

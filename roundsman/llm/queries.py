@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundsman.llm import bpe, decontaminate, embed_dedup, jaccard_join, langid, lm_score, secrets, substring_dedup, suffix_dedup, url_filter
+from roundsman.llm import (
+    bpe, collocations, decontaminate, embed_dedup, jaccard_join, langid, lm_score, main_text, ranked_search, secrets, substring_dedup,
+    suffix_dedup, url_filter,
+)
 from roundsman.llm.common import crc_mod, table
 
 #: Folder of the public tokenizer files.
@@ -89,10 +92,22 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removed(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_lm_scoring, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_language_id, op6_suffix_array_dedup, op7_bpe_round_trip, op8_secret_scan, op9_url_filter,
-        op10_substring_dedup,
+        op10_substring_dedup, op11_phrase_collocations, op12_html_extraction, op13_ranked_search,
     )
 }
