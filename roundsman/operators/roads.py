@@ -1,94 +1,39 @@
 """Travel times and paths on a road graph with turn restrictions.
 
 The state of a search is a directed edge: ``edges(e, u, v, w)`` are road pieces and
-``turns(e, f)`` lists which edge may follow which. All sources advance together, one
-DataFrame round per hop.
+``turns(e, f)`` lists which edge may follow which. All sources advance together; the rounds
+are those of ``roundsman.operators.regions``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundsman.session import cut_lineage, round_settings
+from roundsman.operators.regions import Search
+from roundsman.session import cut_lineage, prepare
 
 # Fixed value: longest travel time looked for, in seconds.
 MAX_SECONDS = 3600.0
 
-#: A turn table up to this many rows (24 bytes each) is sent to every executor.
-BROADCAST_TURNS = 2_000_000
-
-#: Path steps walked back between two lineage cuts.
-_WALK = 16
-
-
-def _weighted_turns(edges: DataFrame, turns: DataFrame) -> DataFrame:
-    cost = edges.select(F.col("e").alias("f"), F.col("w").cast("double").alias("w"))
-    return turns.select("e", "f").join(cost, "f")
-
-
-def search_states(
-    sources: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS, cap_seeds: bool = True
-) -> DataFrame:
-    """Cheapest arrival on every edge: (source, edge, d, hop).
-
-    ``hop`` is the round that set the final value, so a predecessor always has a
-    smaller one. The carried state is hash-partitioned on (source, edge) once; each
-    round shuffles only the offers made from edges improved in the round before, and
-    those are combined before they move.
-    """
-    spark = edges.sparkSession
-    sources = sources.select("source").distinct()
-    with round_settings(spark, sources.count() * edges.count()) as parts:
-        steps = cut_lineage(_weighted_turns(edges, turns).repartition(parts, "e"))
-        small = steps.count() <= BROADCAST_TURNS
-        ways = edges.select(F.col("u").alias("source"), F.col("e").alias("edge"), F.col("w").cast("double").alias("d"))
-        seeds = sources.join(ways, "source")
-        if cap_seeds:
-            seeds = seeds.where(F.col("d") <= max_s)
-        state = seeds.groupBy("source", "edge").agg(F.min("d").alias("d")).withColumn("hop", F.lit(0))
-        state = cut_lineage(state.repartition(parts, "source", "edge"))
-        hop = 0
-        improved = 1
-        while improved:
-            front = state.where((F.col("hop") == hop) & (F.col("d") <= max_s)).select(
-                "source", F.col("edge").alias("e"), "d"
-            )
-            hop += 1
-            reached = F.col("d") + F.col("w")
-            offers = (
-                front.join(F.broadcast(steps) if small else steps, "e")
-                .where(reached <= max_s)
-                .select("source", F.col("f").alias("edge"), reached.alias("d"))
-                .groupBy("source", "edge")
-                .agg(F.min("d").alias("d"))
-                .withColumn("hop", F.lit(hop))
-            )
-            old = F.col("hop") < hop
-            merged = state.unionByName(offers).groupBy("source", "edge").agg(
-                F.min("d").alias("d"),
-                F.min(F.when(old, F.col("d"))).alias("old_d"),
-                F.min(F.when(old, F.col("hop"))).alias("old_hop"),
-            )
-            better = F.col("old_d").isNull() | (F.col("d") < F.col("old_d"))
-            changed = Observation()
-            state = cut_lineage(
-                merged.select("source", "edge", "d", F.when(better, F.lit(hop)).otherwise(F.col("old_hop")).alias("hop"))
-                .observe(changed, F.count_if(F.col("hop") == hop).alias("n"))
-            )
-            improved = changed.get["n"]
-        return state
-
 
 def shortest_times(
-    sources: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS
+    sources: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS, targets: DataFrame | None = None
 ) -> DataFrame:
     """(source, node, seconds) for every node reached within ``max_s``; the source itself
-    is at 0. A pair without a row is unreachable."""
-    state = search_states(sources, edges, turns, max_s)
-    ends = edges.select(F.col("e").alias("edge"), F.col("v").alias("node"))
-    arrived = state.join(ends, "edge").groupBy("source", "node").agg(F.min("d").alias("seconds"))
-    own = sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("seconds"))
+    is at 0. A pair without a row is unreachable.
+
+    With ``targets(source, target)`` only those pairs come back, and a source is searched no
+    farther than its farthest target. Null sources have no row.
+    """
+    prepare(edges.sparkSession)
+    kind = sources.schema["source"].dataType
+    far = None if targets is None else targets.where("source <> target")
+    arrived = Search(sources, edges, turns, max_s, targets=far).arrivals().select(
+        F.col("source").cast(kind).alias("source"), F.col("node").cast(kind).alias("node"), "seconds"
+    )
+    own = sources.where("source IS NOT NULL") if targets is None else targets.where("source = target")
+    own = own.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("seconds"))
     return arrived.where(F.col("source") != F.col("node")).unionByName(own)
 
 
@@ -99,68 +44,58 @@ def time_matrix(
 
     The result is each tour's full matrix, the input every ordering step needs;
     unreachable pairs hold infinity. Searches run once per distinct node of the
-    whole fleet, however many tours stop there.
+    whole fleet, however many tours stop there, and look only for the nodes that share a
+    tour with it.
     """
     spots = points.select("tour_id", "i", "node")
-    times = shortest_times(spots.select(F.col("node").alias("source")), edges, turns, max_s)
-    times = times.withColumnRenamed("source", "a").withColumnRenamed("node", "b")
     left = spots.withColumnRenamed("node", "a")
     right = spots.select("tour_id", F.col("i").alias("j"), F.col("node").alias("b"))
+    # nodes of a tour once each before they are paired
+    stops = spots.select("tour_id", "node").where("node IS NOT NULL").distinct()
+    pairs = stops.withColumnRenamed("node", "source").join(stops.withColumnRenamed("node", "target"), "tour_id")
+    pairs = cut_lineage(pairs.select("source", "target").distinct())
+    times = shortest_times(pairs.select("source"), edges, turns, max_s, pairs)
+    times = times.withColumnRenamed("source", "a").withColumnRenamed("node", "b")
     return left.join(right, "tour_id").join(times, ["a", "b"], "left").select(
         "tour_id", "i", "j", F.coalesce("seconds", F.lit(float("inf"))).alias("seconds")
     )
 
 
+def path_pieces(pairs: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS) -> DataFrame:
+    """(source, target, seconds, pieces): the ways to all reached targets, see ``shortest_paths``.
+
+    ``pieces`` are the node lists of the regions driven through, in driving order and without
+    the source.
+    """
+    prepare(edges.sparkSession)
+    wanted = cut_lineage(pairs.select("source", "target").where("source <> target").distinct())
+    search = Search(wanted.select("source"), edges, turns, max_s, cap_seeds=False, targets=wanted)
+    ends = cut_lineage(search.arrivals().withColumnRenamed("node", "target"))
+    ways = search.walks(ends).groupBy("source", "target").agg(
+        F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("piece", "nodes"))), lambda x: x["nodes"])).alias("pieces")
+    )
+    return ends.select("source", "target", "seconds").join(ways, ["source", "target"])
+
+
 def shortest_paths(
     pairs: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS
 ) -> DataFrame:
-    """Pairs (source, target) with ``nodes``, the node sequence of a fastest path.
+    """Pairs (source, target) with ``nodes``, the node sequence of a fastest path, and its ``seconds``.
 
-    ``nodes`` is the single node for a pair of equal ends and null without a path.
-    Among equally fast paths the one through the lowest edge ids wins.
+    ``nodes`` is the single node for a pair of equal ends and null without a path, as
+    ``seconds`` is. Among equally fast paths the one through the lowest edge ids wins, looked
+    at from the target back to the source.
     """
-    wanted = cut_lineage(pairs.select("source", "target").distinct().where(F.col("source") != F.col("target")))
-    state = search_states(wanted.select("source"), edges, turns, max_s, cap_seeds=False)
-    road = edges.select(F.col("e").alias("edge"), "u", "v", F.col("w").cast("double").alias("w"))
-    with round_settings(edges.sparkSession, state.count()) as parts:
-        # the edge driven before each reached edge; times add up exactly as in the search
-        steps = _weighted_turns(edges, turns).select(F.col("e").alias("prev"), F.col("f").alias("edge"), "w")
-        prior = state.select("source", F.col("edge").alias("prev"), F.col("d").alias("pd"), F.col("hop").alias("ph"))
-        before = (
-            prior.join(steps, "prev")
-            .join(state, ["source", "edge"])
-            .where((F.col("pd") + F.col("w") == F.col("d")) & (F.col("ph") < F.col("hop")))
-            .groupBy("source", "edge")
-            .agg(F.min("prev").alias("prev"))
-        )
-        before = cut_lineage(before.repartition(parts, "source", "edge"))
-        walk = cut_lineage(
-            wanted.join(road.select("edge", F.col("v").alias("target")), "target")
-            .join(state, ["source", "edge"])
-            .groupBy("source", "target")
-            .agg(F.min(F.struct("d", "edge", "hop")).alias("s"))
-            .select("source", "target", "s.edge", "s.hop", F.array("s.edge").alias("chain"))
-        )
-        longest = walk.agg(F.max("hop")).first()[0] or 0
-        for done in range(1, longest + 1):
-            # a first edge has none before it and stays as it is
-            there = F.col("prev").isNotNull()
-            walk = walk.join(before, ["source", "edge"], "left").select(
-                "source", "target", F.coalesce("prev", "edge").alias("edge"),
-                F.when(there, F.concat(F.array("prev"), "chain")).otherwise(F.col("chain")).alias("chain"),
-            )
-            if done % _WALK == 0 or done == longest:
-                walk = cut_lineage(walk)
-    # edge chain to node chain: the start of the first edge, then the end of each edge
-    ends = (
-        walk.select("source", "target", F.posexplode("chain").alias("pos", "edge"))
-        .join(road.select("edge", "v"), "edge")
-        .groupBy("source", "target")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("ends"))
-        .select("source", "target", F.concat(F.array("source"), "ends").alias("nodes"))
+    kind = pairs.schema["source"].dataType
+    found = path_pieces(pairs, edges, turns, max_s).select(
+        F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"), F.col("seconds").alias("way_s"),
+        F.transform(F.concat(F.array("source"), F.flatten("pieces")), lambda n: n.cast(kind)).alias("way"),
+    )
+    same = F.col("source") == F.col("target")
+    return pairs.join(found, ["source", "target"], "left").select(
+        *pairs.columns, F.coalesce("way", F.when(same, F.array("source"))).alias("nodes"),
+        F.coalesce("way_s", F.when(same, F.lit(0.0))).alias("seconds"),
     )
-    own = F.when(F.col("source") == F.col("target"), F.array("source"))
-    return pairs.join(ends, ["source", "target"], "left").select(*pairs.columns, F.coalesce("nodes", own).alias("nodes"))
 
 
 def route_points(tours: DataFrame, stops: DataFrame) -> DataFrame:

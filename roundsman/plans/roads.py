@@ -42,27 +42,31 @@ _PAIRS = """SELECT DISTINCT a.l_suppkey AS source, b.l_suppkey AS target FROM {l
     ON a.l_orderkey = b.l_orderkey AND b.ordre = a.ordre + 1"""
 
 
+# ways back from each target by the lowest edge before, then node lists in driving order
+_BACK = """prior AS (SELECT r.source, r.edge, MIN(n.edge) AS p FROM reach r JOIN step s ON s.f = r.edge
+      JOIN reach n ON n.source = r.source AND n.edge = s.e AND n.d + s.w = r.d GROUP BY r.source, r.edge),
+  ends AS (SELECT p.source, p.target, arg_min(r.edge, (r.d, r.edge)) AS edge FROM pairs p
+      JOIN {edge} x ON x.v = p.target JOIN reach r ON r.source = p.source AND r.edge = x.e WHERE p.source <> p.target GROUP BY p.source, p.target),
+  behind(source, target, edge, k) AS (SELECT source, target, edge, 0 FROM ends
+    UNION ALL SELECT b.source, b.target, q.p, b.k + 1 FROM behind b JOIN prior q ON q.source = b.source AND q.edge = b.edge),
+  way AS (SELECT source, target, k, v AS node FROM behind JOIN {edge} x ON x.e = edge
+    UNION ALL SELECT source, target, MAX(k) + 1, source FROM behind GROUP BY source, target)"""
+
+
 @query(
     "gr03_shortest_paths",
     _times(
-        """SELECT p.source, p.target, seconds IS NOT NULL AS found, seconds, CASE WHEN seconds IS NOT NULL THEN p.source END AS first,
-        CASE WHEN seconds IS NOT NULL THEN p.target END AS last FROM pairs p LEFT JOIN times t ON t.source = p.source AND t.node = p.target""",
-        f"pairs AS ({_PAIRS})",
+        """SELECT p.source, p.target, seconds, CASE WHEN p.source = p.target THEN CAST(p.source AS VARCHAR) ELSE path END AS path
+        FROM pairs p LEFT JOIN times t ON t.source = p.source AND t.node = p.target LEFT JOIN (
+          SELECT source, target, string_agg(CAST(node AS VARCHAR), '>' ORDER BY k DESC) AS path FROM way GROUP BY source, target) w
+        ON w.source = p.source AND w.target = p.target""",
+        f"pairs AS ({_PAIRS})", _BACK,
     ),
 )
 def _(v):
-    """Path ends and the driving time added up along the returned nodes."""
-    paths = R.shortest_paths(v.sql(_PAIRS), v.edge, v.turn)
-    hops = paths.where(F.size("nodes") > 1).select("source", "target", F.posexplode("nodes").alias("p", "u"), "nodes").select(
-        "source", "target", "u", F.get("nodes", col("p") + 1).alias("v")
-    )
-    driven = hops.join(v.edge.select("u", "v", "w"), ["u", "v"]).groupBy("source", "target").agg(
-        F.sum(col("w").cast("double")).alias("driven")
-    )
-    found = col("nodes").isNotNull()
-    return paths.join(driven, ["source", "target"], "left").select(
-        "source", "target", found.alias("found"), F.when(found, F.coalesce("driven", lit(0.0))).alias("seconds"),
-        F.get("nodes", lit(0)).alias("first"), F.get("nodes", F.size("nodes") - 1).alias("last"),
+    """The whole node list and the driving time of every pair."""
+    return R.shortest_paths(v.sql(_PAIRS), v.edge, v.turn).select(
+        "source", "target", "seconds", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("path")
     )
 
 
@@ -88,38 +92,47 @@ def _segments(v):
     return R.route_segments(points, v.node, v.edge, v.turn)
 
 
-@query(
-    "gr04_route_segments",
-    _times(
-        """SELECT tour_id, leg, done, CASE WHEN road THEN n1.nlat ELSE lat END AS lat1, CASE WHEN road THEN n1.nlon ELSE lon END AS lon1,
-          CASE WHEN road THEN n2.nlat ELSE lat2 END AS lat2, CASE WHEN road THEN n2.nlon ELSE lon2 END AS lon2
-        FROM (SELECT l.*, t.seconds IS NOT NULL AND a <> b AS road FROM legs l LEFT JOIN times t ON t.source = a AND t.node = b) r
-          LEFT JOIN nodes n1 ON n1.node = a LEFT JOIN nodes n2 ON n2.node = b""",
-        *_LEGS,
-    ),
+def _micro_sql(x: str) -> str:
+    return f"CAST(CAST(floor({x} * 1000000 + 0.5) AS BIGINT) AS VARCHAR)"
+
+
+def _micro(x):
+    return F.floor(x * 1000000 + 0.5).cast("long").cast("string")
+
+
+_POINT = _micro_sql("lat") + " || ',' || " + _micro_sql("lon")
+_LINES = (
+    *_LEGS, "pairs AS (SELECT DISTINCT a AS source, b AS target FROM legs WHERE a IS NOT NULL AND b IS NOT NULL)", _BACK,
+    f"""road AS (SELECT source, target, string_agg({_POINT.replace("lat", "nlat").replace("lon", "nlon")}, ' ' ORDER BY k DESC) AS line
+      FROM way JOIN nodes n ON n.node = way.node GROUP BY source, target)""",
+    f"""drawn AS (SELECT tour_id, leg, done, coalesce(line, {_POINT} || ' ' || {_POINT.replace("lat", "lat2").replace("lon", "lon2")}) AS line
+      FROM legs LEFT JOIN road ON source = a AND target = b)""",
 )
+
+
+@query("gr04_route_segments", _times("SELECT tour_id, leg, done, line FROM drawn", *_LINES))
 def _(v):
-    """First and last point of every leg's line."""
-    end = F.element_at("line", -1)
+    """Every leg's whole line in millionths of a degree."""
     return _segments(v).select(
-        "tour_id", col("leg").cast("bigint").alias("leg"), "done", F.get("line", lit(0))["lat"].alias("lat1"),
-        F.get("line", lit(0))["lon"].alias("lon1"), end["lat"].alias("lat2"), end["lon"].alias("lon2"),
+        "tour_id", col("leg").cast("bigint").alias("leg"), "done",
+        F.array_join(F.transform("line", lambda p: F.concat(_micro(p["lat"]), lit(","), _micro(p["lon"]))), " ").alias("line"),
     )
 
 
 @query(
     "io07_route_features",
-    _times("SELECT tour_id, leg, CAST(done AS VARCHAR) AS done, 'LineString' AS kind, true AS drawn FROM legs", *_LEGS),
+    _times("SELECT tour_id, leg, CAST(done AS VARCHAR) AS done, 'LineString' AS kind, line FROM drawn", *_LINES),
 )
 def _(v):
-    """The parts of every leg's GeoJSON text that do not depend on number formatting."""
+    """Every leg's GeoJSON text read again: all coordinates, in millionths of a degree."""
     from roundsman.sources.geojson import route_features
 
     text = F.col("json")
+    spots = F.from_json(F.get_json_object(text, "$.geometry.coordinates"), "array<array<double>>")
     return route_features(_segments(v)).select(
         "tour_id", col("leg").cast("bigint").alias("leg"), F.get_json_object(text, "$.properties.done").alias("done"),
         F.get_json_object(text, "$.geometry.type").alias("kind"),
-        F.get_json_object(text, "$.geometry.coordinates[1][1]").isNotNull().alias("drawn"),
+        F.array_join(F.transform(spots, lambda p: F.concat(_micro(p[1]), lit(","), _micro(p[0]))), " ").alias("line"),
     )
 
 

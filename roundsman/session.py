@@ -20,6 +20,8 @@ SETTINGS = {
     # only matters for small inputs: lets a compute-heavy join on little data use every
     # core; at scale the advisory partition size decides
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
+    # rows of road regions hold whole arrays, so bytes bound an Arrow batch, not rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

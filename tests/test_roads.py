@@ -95,6 +95,99 @@ def test_paths_are_drivable_and_fastest(spark, town):
         assert all((a[0], b[0]) in allowed for a, b in zip(hops, hops[1:]))
 
 
+@pytest.fixture(params=["one region", "split", "compacted"])
+def cut(request, monkeypatch):
+    """The same search with the graph and the sources cut in other ways."""
+    from roundsman.operators import regions as G
+
+    sizes = {
+        "split": {"REGION_NODES": 5, "REGION_EDGES": 4}, "compacted": {"REGION_NODES": 3, "_COMPACT": 2, "SOURCES_PER_PART": 2, "_BLOCK": 2},
+    }
+    for name, value in sizes.get(request.param, {}).items():
+        monkeypatch.setattr(G, name, value)
+    return request.param
+
+
+def ways(edges, turns, source, limit):
+    """Times by edge and the lowest edge before each; first edges are not held to the limit."""
+    best, follow, w = {}, {}, {e[0]: e[3] for e in edges}
+    for a, b in turns:
+        follow.setdefault(a, []).append(b)
+    heap = [(e[3], e[0]) for e in edges if e[1] == source]
+    heapq.heapify(heap)
+    while heap:
+        d, e = heapq.heappop(heap)
+        if e in best:
+            continue
+        best[e] = d
+        for f in follow.get(e, []):
+            if d + w[f] <= limit:
+                heapq.heappush(heap, (d + w[f], f))
+    before = {}
+    for a, b in sorted(turns, reverse=True):
+        if a in best and b in best and best[a] + w[b] == best[b] and best[b] <= limit:
+            before[b] = a
+    return best, before
+
+
+def test_regions_change_nothing(spark, town, cut):
+    edges, turns = town
+    e = spark.createDataFrame(edges, "e int, u int, v int, w float")
+    t = spark.createDataFrame(turns, "e int, f int")
+    rng = random.Random(2)
+    pairs = [(a, b) for a in range(15) for b in range(15) if rng.random() < 0.3] + [(3, 99), (None, 2), (2, None), (99, 99)]
+    found = R.shortest_paths(spark.createDataFrame(pairs, "source int, target int"), e, t, 18.0).collect()
+    assert len(found) == len(pairs)
+    by_id = {x[0]: x for x in edges}
+    for r in found:
+        if r.source == r.target:
+            assert (r.nodes, r.seconds) == (([r.source], 0.0) if r.source is not None else (None, None))
+            continue
+        best, before = ways(edges, turns, r.source, 18.0)
+        ends = [(d, x) for x, d in best.items() if by_id[x][2] == r.target]
+        if not ends:
+            assert r.nodes is None and r.seconds is None
+            continue
+        d, at = min(ends)
+        way = [by_id[at][2]]
+        while at in before:
+            at = before[at]
+            way.append(by_id[at][2])
+        assert (r.nodes, r.seconds) == ([r.source, *way[::-1]], d)
+    times = R.shortest_times(spark.createDataFrame([(i,) for i in (*range(14), None)], "source int"), e, t, 20.0).collect()
+    assert {(r.source, r.node): r.seconds for r in times} == {
+        (s, n): d for s in range(14) for n, d in search(edges, turns, s, 20.0).items()
+    }
+
+
+def test_ways_without_length(spark):
+    """Edges of no length tie with the ones before them; the way back still ends."""
+    edges = [(0, 0, 1, 2.0), (1, 1, 2, 0.0), (2, 2, 1, 0.0), (3, 2, 3, 1.0), (4, 1, 2, 0.0)]
+    turns = [(a[0], b[0]) for a in edges for b in edges if a[2] == b[1]]
+    got = R.shortest_paths(
+        spark.createDataFrame([(0, 3), (0, 2), (0, 1), (3, 0)], "source long, target long"),
+        spark.createDataFrame(edges, "e int, u int, v int, w float"), spark.createDataFrame(turns, "e int, f int"),
+    ).collect()
+    assert {r.target: (r.nodes, r.seconds) for r in got} == {3: ([0, 1, 2, 3], 3.0), 2: ([0, 1, 2], 2.0), 1: ([0, 1], 2.0), 0: (None, None)}
+
+
+def test_a_source_stops_at_its_farthest_target(spark, monkeypatch):
+    """A long road in many regions: rounds follow the target's distance, not the road's length."""
+    from roundsman.operators import regions as G
+
+    monkeypatch.setattr(G, "REGION_NODES", 10)
+    n = 200
+    edges = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(n)], "e int, u int, v int, w float")
+    turns = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "e int, f int")
+    near = spark.createDataFrame([(0, 5), (0, 25)], "source int, target int")
+    search = G.Search(near.select("source"), edges, turns, 3600.0, targets=near)
+    # three regions, and a last round that the bound leaves empty
+    assert search.rounds == 4
+    assert {(r.node, r.seconds) for r in search.arrivals().collect()} == {(5, 5.0), (25, 25.0)}
+    # every round writes the rows of one region only
+    assert search.state.count() == 3
+
+
 def test_route_segments(spark, mini):
     nodes, edges, turns = mini
     tours = spark.createDataFrame(
