@@ -16,6 +16,10 @@ import pyarrow.compute as pc
 #: Rows gathered before a stretch is solved, and array cells solved together.
 _ROWS, _CELLS = 200_000, 1_000_000
 
+#: Tours with more stops are improved one at a time, a row of reversals after the other; the
+#: shorter ones together, with all reversals of a tour at once.
+LONG = 256
+
 
 def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float, min_movable: int, max_rounds: int | None):
     """Partition function for ``mapInArrow``; see ``ordering._small_tours`` for its rows."""
@@ -79,7 +83,13 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
         order = np.zeros((len(pos), max(int(lengths.max()), 1)), dtype=np.int64)
         t, p = np.nonzero(pos >= 0)
         order[t, pos[t, p]] = p
-        if improve:
+        if improve and order.shape[1] > LONG:
+            for k in range(len(order)):
+                limit = int(movable[k].sum())
+                order[k, : lengths[k]] = improve_one(
+                    cost[k], order[k, : lengths[k]], limit, given["avant12h"][k], penalty_s, min_gain, min_movable, max_rounds
+                )
+        elif improve:
             two_opt(cost, order, lengths, movable.sum(axis=1), given["avant12h"], penalty_s, min_gain, min_movable, max_rounds)
         before = np.concatenate([np.zeros((len(order), 1), dtype=np.int64), order[:, :-1]], axis=1)
         t, k = np.nonzero(np.arange(order.shape[1])[None, :] < lengths[:, None])
@@ -186,3 +196,55 @@ def two_opt(cost, order, lengths, limits, noon, penalty_s, min_gain, min_movable
         turned = np.where(inside, (a + b)[:, None] - place[None, :], place[None, :])
         order[going] = np.take_along_axis(order[going], turned, axis=1)
         cursor[going] = move
+
+
+def improve_one(cost, order, limit, noon, penalty_s, min_gain, min_movable, max_rounds) -> np.ndarray:
+    """``two_opt`` of one order by the same rule, holding one row of reversals instead of all of them."""
+    order, n = order.copy(), len(order)
+    if limit < min_movable:
+        return order
+    place = np.arange(n, dtype=float)
+    row, last = 0, -1
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
+        prev = np.concatenate([[0], order[:-1]])
+
+        def split(x):
+            bad = np.isinf(x)
+            return [np.concatenate([[0.0], v.cumsum()]) for v in (np.where(bad, 0.0, x), bad.astype(float))]
+
+        fwd, fwd_inf = split(cost[prev, order])
+        against = cost[order, prev]
+        against[0] = 0.0  # the link between start and first stop is never driven backwards
+        back, back_inf = split(against)
+        late = noon[order].astype(float)
+        late_n = np.concatenate([[0.0], late.cumsum()])
+        late_pos = np.concatenate([[0.0], (late * place).cumsum()])
+        total_inf = fwd_inf[-1]
+        found = None
+        # once round all rows, the part of the first row up to the last reversal at the end
+        for step in range(limit + 1):
+            a = (row + step) % limit
+            low = last + 1 if step == 0 else a + 1
+            low, high = max(low, a + 1), min(last + 1, limit) if step == limit else limit
+            if low >= high:
+                continue
+            b = np.arange(low, high)
+            into = cost[prev[a], order[b]]
+            out = np.where(b + 1 < n, cost[order[a], order[np.minimum(b + 1, n - 1)]], 0.0)
+            end = np.minimum(b + 2, n)
+            gain = np.where(np.isinf(into), 0.0, into) + np.where(np.isinf(out), 0.0, out)
+            gain = gain + ((back[b + 1] - back[a + 1]) - (fwd[end] - fwd[a]))
+            gain += penalty_s * ((a + b) * (late_n[b + 1] - late_n[a]) - 2 * (late_pos[b + 1] - late_pos[a]))
+            gain_inf = np.isinf(into).astype(float) + np.isinf(out)
+            gain_inf = gain_inf + ((back_inf[b + 1] - back_inf[a + 1]) - (fwd_inf[end] - fwd_inf[a]))
+            better = (total_inf + gain_inf == 0) & ((total_inf > 0) | (gain < -min_gain))
+            if better.any():
+                found = a, int(b[better.argmax()])
+                break
+        if found is None:
+            break
+        row, last = found
+        order[row : last + 1] = order[row : last + 1][::-1].copy()
+    return order

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
@@ -17,8 +18,12 @@ from roundsman.functions.text import (
     trigram_codes,
     trim_blanks,
 )
+from roundsman.operators import street_match
 from roundsman.session import cut_lineage
 
+# the code travels with the task, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(street_match)
+
 # Score parts and limits of the match.
 NUMBER_BONUS = 0.15
 CITY_BONUS = 0.35
@@ -26,6 +31,9 @@ ACCEPT_FROM = 0.72
 CANDIDATES = 5
 SEARCH_RESULTS = 8
 
+#: Streets of a pool in one block of the comparison.
+BLOCK_STREETS = 256
+
 ADDRESS_COLUMNS = ("id", "n", "rep", "r", "rn", "cp", "c", "cn", "lat", "lon")
 
 
@@ -158,6 +166,33 @@ def _street_shelf(addresses: DataFrame, pools: DataFrame, k: int) -> DataFrame:
     return low.groupBy("pool", "facet", "street").agg(F.array_sort(F.collect_list("address")).alias("shelf"))
 
 
+def _blocks(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with ``block``: those of a (pool, facet) in blocks of about ``BLOCK_STREETS``, by a column's hash."""
+    n = rows.groupBy("pool", "facet").agg(F.ceil(F.count("*") / BLOCK_STREETS).cast("int").alias("_blocks"))
+    return rows.join(n, ["pool", "facet"]).withColumn("block", F.pmod(F.hash(by), F.col("_blocks"))).drop("_blocks")
+
+
+def best_streets(wanted: DataFrame, shelves: DataFrame, k: int) -> DataFrame:
+    """(pool, facet, q_street, street, first_id, similarity, edits): the streets that can be among
+    the ``k`` most similar of each query street, with their exact similarity.
+
+    Blocks of query streets meet blocks of streets of their (pool, facet), so a row of the join
+    stands for thousands of pairs; ``street_match`` compares them. ``edits`` adds up to the
+    number of edit distances worked out.
+    """
+    asked = _blocks(wanted.select("pool", "facet", "q_street"), "q_street").groupBy("pool", "facet", "block").agg(
+        F.collect_list("q_street").alias("queries")
+    )
+    streets = shelves.select("pool", "facet", "street", F.col("shelf")[0]["id"].alias("first_id"))
+    kind = streets.schema["first_id"].dataType.simpleString()
+    offered = _blocks(streets, "street").groupBy("pool", "facet", "block").agg(F.collect_list(F.struct("street", "first_id")).alias("s"))
+    blocks = asked.drop("block").join(offered.select("pool", "facet", "s"), ["pool", "facet"]).select(
+        "pool", "facet", "queries", F.col("s.street").alias("streets"), F.col("s.first_id").alias("first_ids")
+    )
+    schema = f"pool string, facet string, q_street string, street string, first_id {kind}, similarity double, edits long"
+    return blocks.mapInArrow(street_match.best_rows(k, [c.split(" ")[0] for c in schema.split(", ")]), schema)
+
+
 def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The ``k`` best addresses of each distinct query, exactly, without pairing
     queries and addresses one by one.
@@ -166,7 +201,8 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
     and town agree. An address in the overall top ``k`` is therefore also in the top
     ``k`` by (similarity, id) of the group that shares its bonuses: all addresses,
     same number, same town, or both. Within a group only distinct streets are
-    compared, each standing for its ``k`` lowest ids. Equal queries are compared once.
+    compared, each standing for its ``k`` lowest ids, and edit distances are worked out only
+    where ``best_streets`` finds that they can matter. Equal queries are compared once.
     Both lists, of distinct queries and of streets, are written out once because several
     steps start from them. A group that is still too big for a task is split by AQE's
     skew join.
@@ -176,17 +212,12 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
     )
     shelves = cut_lineage(_street_shelf(addresses, asked.select("pool", "one_town").distinct(), k))
     looked_up = asked.select("*", F.explode_outer(_useful_facets(F.col("q_number"), F.col("q_city"))).alias("facet"))
-    wanted = looked_up.select("pool", "q_street", "facet").distinct().withColumn(
-        "q_grams", trigram_codes(F.col("q_street"))
-    )
-    streets = shelves.select(
-        "pool", "facet", "street", F.col("shelf")[0]["id"].alias("first_id"), trigram_codes(F.col("street")).alias("grams")
-    )
+    wanted = looked_up.select("pool", "q_street", "facet").distinct()
     # only names and numbers go through the ranking; the addresses are fetched for its winners
     best = Window.partitionBy("pool", "facet", "q_street").orderBy(F.col("similarity").desc(), "first_id")
     winners = (
-        _with_similarity(wanted.join(streets, ["pool", "facet"]), "street")
-        .select("pool", "facet", "q_street", "street", "first_id", "similarity")
+        best_streets(wanted, shelves, k)
+        .drop("edits")
         .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= k)
     )

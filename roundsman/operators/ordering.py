@@ -25,9 +25,9 @@ cloudpickle.register_pickle_by_value(batch_order)
 MIN_GAIN = 1e-9
 MIN_MOVABLE = 4
 
-#: Tours up to this many points are ordered inside a task (a matrix of half a megabyte);
-#: bigger ones go through one DataFrame round per step, with the same result.
-SMALL_TOUR = 256
+#: Tours up to this many points are ordered inside a task (a matrix of 8 megabytes, from about
+#: 50 megabytes of rows); bigger ones go through one DataFrame round per step, by the same rule.
+SMALL_TOUR = 1024
 
 
 def _finite(seconds: Column) -> Column:

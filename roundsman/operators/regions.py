@@ -10,15 +10,20 @@ of the last round counts.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roundsman.session import cut_lineage
 
+# the code travels with the task, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Nodes of one region; neighbouring node numbers are taken to be neighbours on the map.
 REGION_NODES = 1024
 #: Edges of one region at most; a node range with more is cut by edge number.

@@ -135,6 +135,19 @@ PORTABLE: dict[str, str] = {
             WHEN (a.i * 7 + b.i * 3 + a.tour_id) % 23 = 0 THEN CAST('Infinity' AS DOUBLE)
             ELSE CAST(30 + (a.i * 37 + b.i * 91 + a.tour_id * 13) % 600 AS DOUBLE) END AS seconds
         FROM {tpoint} a JOIN {tpoint} b ON a.tour_id = b.tour_id""",
+    # tours by order, but for some runs of orders whose lines make one long tour each
+    "long_point": """
+        SELECT tour_id, row_number() OVER (PARTITION BY tour_id ORDER BY l_orderkey, ordre) AS i, noon
+        FROM (SELECT CASE WHEN l_orderkey % 3000 < 72 THEN -1 - CAST((l_orderkey - l_orderkey % 3000) / 3000 AS BIGINT) ELSE l_orderkey END AS tour_id,
+          l_orderkey, ordre, l_linenumber % 7 = 1 AS noon FROM {lines}) x""",
+    "long_tpoint": """
+        SELECT tour_id, CAST(0 AS BIGINT) AS i, false AS avant12h, false AS fixed_end FROM {long_point} GROUP BY tour_id
+        UNION ALL SELECT tour_id, CAST(i AS BIGINT), noon, false FROM {long_point}
+        UNION ALL SELECT tour_id, COUNT(*) + 1, false, tour_id % 2 = 0 FROM {long_point} GROUP BY tour_id""",
+    "long_matrix": """
+        SELECT a.tour_id, a.i, b.i AS j, CASE WHEN a.i = b.i THEN CAST(0 AS DOUBLE)
+            ELSE CAST(30 + (a.i * 3701 + b.i * 9103 + a.i * b.i * 17 + a.tour_id * 13) % 601 AS DOUBLE) END AS seconds
+        FROM {long_tpoint} a JOIN {long_tpoint} b ON a.tour_id = b.tour_id""",
     "torder": "SELECT tour_id, i - 1 AS pos, i, avant12h FROM {tpoint} WHERE i > 0",
     "level": "SELECT event_id, event_type AS grp, CAST(floor(value) AS BIGINT) % 256 AS level FROM {events}",
     "favourite": f"""

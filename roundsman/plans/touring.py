@@ -116,6 +116,18 @@ def _(v):
     return O.optimize(v.tpoint, v.matrix, PENALTY)
 
 
+@query("tr04_nearest_neighbor_long", "WITH RECURSIVE " + _WALK.replace("{tpoint}", "{long_tpoint}").replace("{matrix}", "{long_matrix}") + " SELECT tour_id, pos, i FROM nn")
+def _(v):
+    """Tours by order beside tours of some 290 points."""
+    return O.nearest_neighbor(v.long_tpoint, v.long_matrix)
+
+
+@query("tr06_optimize_long", None)
+def _(v):
+    """As above, improved; re-pricing every reversal of a long tour is too slow in SQL, so tests compare with a plain scan."""
+    return O.optimize(v.long_tpoint, v.long_matrix, 60.0)
+
+
 _TIMED = f"""timed AS (SELECT o.tour_id, o.pos, o.i, {_leg('prev', 'o.i').replace('tour_id', 'o.tour_id')} AS seconds, p.colis_id, fixed_end
     FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY tour_id ORDER BY pos), 0) AS prev FROM {{torder}}) o JOIN {{tpoint}} p ON p.tour_id = o.tour_id AND p.i = o.i)"""
 

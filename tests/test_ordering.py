@@ -116,3 +116,60 @@ def test_cost(spark, tours, tables):
     plain = points.where("i > 0").selectExpr("tour_id", "i - 1 AS pos", "i", "avant12h")
     got = {r["tour_id"]: r["cost"] for r in O.tour_cost(plain, matrix, 60.0).collect()}
     assert got == {t: cost(range(1, len(m)), m, noon, 60.0) for t, (m, noon, _) in tours.items()}
+
+
+def test_long_tours_one_at_a_time(tours, tables, monkeypatch):
+    """Same orders by the row-wise way that long tours take."""
+    from roundsman.operators import batch_order
+
+    monkeypatch.setattr(batch_order, "LONG", 0)
+    expected = {
+        t: improve(walk(m, range(len(m)), end), m, noon, 60.0, 0 if end is None else 1) for t, (m, noon, end) in tours.items()
+    }
+    assert orders(O.optimize(*tables, 60.0)) == expected
+
+
+@pytest.mark.parametrize("share, lock, most", [(0.0, 0, None), (0.05, 1, None), (0.0, 1, 7), (0.3, 0, None)])
+def test_row_wise_scan(share, lock, most):
+    """Forty stops against re-pricing every reversal, and as many as it takes against all reversals at once."""
+    import numpy as np
+
+    from roundsman.operators import batch_order
+
+    rng = random.Random(4)
+    for n in (41, 12, 4):
+        m = [[0 if a == b else (X if rng.random() < share else rng.randint(1, 500)) for b in range(n)] for a in range(n)]
+        noon = {p for p in range(1, n) if rng.random() < 0.2}
+        first = walk(m, range(n), n - 1 if lock else None)
+        flags, cost_of = np.array([p in noon for p in range(n)]), np.array(m, float)
+        got = batch_order.improve_one(cost_of, np.array(first), n - 1 - lock, flags, 60.0, 1e-9, 4, most)
+        together = np.array([first])
+        batch_order.two_opt(cost_of[None], together, np.array([n - 1]), np.array([n - 1 - lock]), flags[None], 60.0, 1e-9, 4, most)
+        assert got.tolist() == together[0].tolist()
+        if most is None:
+            assert got.tolist() == improve(first, m, noon, 60.0, lock)
+
+
+def test_a_tour_above_the_boundary(spark):
+    """Three hundred stops through the operator: a permutation no reversal improves."""
+    import numpy as np
+
+    n = 301
+    points = spark.range(n).selectExpr("1L AS tour_id", "id AS i", "id % 9 = 1 AS avant12h", "id = 300 AS fixed_end")
+    cost_of = lambda a, b: 0.0 if a == b else float(30 + (a * 3701 + b * 9103 + a * b * 17) % 601)
+    matrix = spark.range(n).crossJoin(spark.range(n).withColumnRenamed("id", "j")).selectExpr(
+        "1L AS tour_id", "id AS i", "j", "CASE WHEN id = j THEN 0D ELSE CAST(30 + (id * 3701 + j * 9103 + id * j * 17) % 601 AS DOUBLE) END AS seconds"
+    )
+    order = orders(O.optimize(points, matrix, 60.0))[1]
+    assert sorted(order) == list(range(1, n)) and order[-1] == 300
+    start = orders(O.nearest_neighbor(points, matrix))[1]
+    m = [[cost_of(a, b) for b in range(n)] for a in range(n)]
+    noon = {p for p in range(n) if p % 9 == 1}
+    assert cost(order, m, noon, 60.0) < cost(start, m, noon, 60.0)
+    from roundsman.operators import batch_order
+
+    together = np.array([start])
+    flags = np.array([p in noon for p in range(n)])
+    batch_order.two_opt(np.array(m)[None], together, np.array([n - 1]), np.array([n - 2]), flags[None], 60.0, 1e-9, 4, 40)
+    one = batch_order.improve_one(np.array(m), np.array(start), n - 2, flags, 60.0, 1e-9, 4, 40)
+    assert one.tolist() == together[0].tolist()
