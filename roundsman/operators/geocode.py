@@ -306,9 +306,10 @@ def _haystack() -> Column:
 def search_addresses(queries: DataFrame, addresses: DataFrame, k: int = SEARCH_RESULTS) -> DataFrame:
     """Free-text search: a 5-digit postcode is required, every other word must occur.
 
-    A word of three letters or more also has its first three letters occur, so such
-    queries meet only the addresses of their postcode listed under that letter group
-    of their longest word. Queries with shorter words only meet the whole postcode.
+    A word of three letters or more also has its first three letters occur. Addresses are listed
+    under their letter groups as (postcode, group, id) only; a query takes the ids that all
+    groups of its words list and fetches those addresses. Queries of shorter words meet the
+    whole postcode.
     """
     text = F.coalesce(F.col("query"), F.lit(""))
     cp = none_if_empty(F.regexp_extract(text, r"\b(\d{5})\b", 1))
@@ -318,21 +319,29 @@ def search_addresses(queries: DataFrame, addresses: DataFrame, k: int = SEARCH_R
         queries.withColumn("cp", cp)
         .where(F.col("cp").isNotNull() & (F.length(text) >= 4))
         .withColumn("terms", F.filter(F.split(rest, r"\s+"), lambda t: t != ""))
-        .withColumn("_longest", F.array_max(F.transform("terms", lambda t: F.struct(F.length(t), t.alias("t"))))["t"])
-        .withColumn("gram", F.when(F.length("_longest") >= 3, F.substring("_longest", 1, 3)))
-        .drop("_longest")
     )
-    cells = asked.select("cp", "terms", "gram").distinct()
+    heads = F.array_distinct(F.transform(F.filter("terms", lambda t: F.length(t) >= 3), lambda t: F.substring(t, 1, 3)))
+    cells = cut_lineage(asked.select("cp", "terms", heads.alias("grams")).distinct())
     named = addresses.join(cells.select("cp").distinct(), "cp", "left_semi")
-    hay = named.select(*ADDRESS_COLUMNS, _haystack().alias("_hay"))
-    keyed = cells.where(F.col("gram").isNotNull())
+    hay = named.select("cp", "id", _haystack().alias("_hay"))
     starts = F.sequence(F.lit(1), F.length("_hay") - 2)
-    listed = hay.where(F.length("_hay") >= 3).select(
-        "*", F.explode_outer(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_hay"), i, F.lit(3))))).alias("gram")
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_hay"), i, F.lit(3))))
+    postings = hay.where(F.length("_hay") >= 3).select("cp", "id", F.explode(grams).alias("gram"))
+    keyed = cells.where(F.size("grams") > 0).select("*", F.explode("grams").alias("gram"))
+    listed = (
+        keyed.join(postings, ["cp", "gram"])
+        .groupBy("cp", "terms", "id")
+        # a row per word group; an id may be listed twice under one
+        .agg(F.size(F.collect_set("gram")).alias("_n"), F.first(F.size("grams")).alias("_all"))
+        .where(F.col("_n") == F.col("_all"))
+        .select("cp", "terms", F.col("id").alias("_id"))
+    )
+    whole = named.select(*ADDRESS_COLUMNS, _haystack().alias("_hay"))
+    by_gram = listed.join(whole.withColumnRenamed("cp", "_cp"), (F.col("cp") == F.col("_cp")) & F.col("_id").eqNullSafe(F.col("id")))
+    by_cp = cells.where(F.size("grams") == 0).join(whole, "cp")
+    hits = by_gram.select("cp", "terms", *[c for c in whole.columns if c != "cp"]).unionByName(by_cp.drop("grams")).where(
+        F.forall("terms", lambda t: F.contains(F.col("_hay"), t))
     )
-    by_gram = keyed.join(listed, ["cp", "gram"])
-    by_cp = cells.where(F.col("gram").isNull()).join(hay, "cp").select(*by_gram.columns)
-    hits = by_gram.unionByName(by_cp).where(F.forall("terms", lambda t: F.contains(F.col("_hay"), t)))
     w = Window.partitionBy("cp", "terms").orderBy("id")
     top = (
         hits.withColumn("rank", F.row_number().over(w))
@@ -345,7 +354,7 @@ def search_addresses(queries: DataFrame, addresses: DataFrame, k: int = SEARCH_R
             canonical_address(F.col("n"), F.col("rep"), F.col("r"), F.col("cp"), F.col("c")).alias("address"),
         )
     )
-    return asked.drop("gram").join(top, ["cp", "terms"]).select(*queries.columns, "rank", "id", "address")
+    return asked.join(top, ["cp", "terms"]).select(*queries.columns, "rank", "id", "address")
 
 
 def suggest_cities(prefixes: DataFrame, addresses: DataFrame, k: int = 6) -> DataFrame:

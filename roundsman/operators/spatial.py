@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roundsman.functions.geo import haversine_m
 from roundsman.functions.text import none_if_empty, text_or_empty
 from roundsman.operators.tables import favourite_order, join_known
+from roundsman.session import cut_lineage
 
 # Grid step in degrees, widest ring, snapping and favourite distances in metres.
 CELL_DEG = 0.005
@@ -17,8 +18,6 @@ MAX_RING = 80
 SNAP_LIMIT_M = 2000.0
 FAVOURITE_RADIUS_M = 60.0
 
-_COARSE = 16
-
 
 def _cell(col: Column, step: float) -> Column:
     return F.floor(col / step).cast("bigint")
@@ -32,37 +31,55 @@ def _offsets(reach: int) -> Column:
     return F.sequence(F.lit(-reach).cast("bigint"), F.lit(reach).cast("bigint"))
 
 
-def cell_targets(point_cells: DataFrame, node_cells: DataFrame, max_ring: int = MAX_RING) -> DataFrame:
-    """For each point cell, the occupied node cells of its first non-empty ring and the next one.
+def met_cells(point_cells: DataFrame, node_cells: DataFrame, reach: int) -> DataFrame:
+    """(cx, cy, tx, ty, ring): occupied node cells (tx, ty) up to ``reach`` rings around each point cell.
 
-    Works on distinct cells, not on points or nodes. Cells with a node of their own
-    need the nine cells around; the rest look at all occupied cells within
-    ``max_ring``, met through a coarser grid.
+    Both sides meet in squares as wide as the reach, of which a cell looks at nine.
     """
-    at_home = point_cells.join(node_cells, ["cx", "cy"], "left_semi")
-    near = (
-        at_home.select("cx", "cy", F.explode(_offsets(1)).alias("dx"))
-        .select("cx", "cy", "dx", F.explode(_offsets(1)).alias("dy"))
-        .select("cx", "cy", (F.col("cx") + F.col("dx")).alias("tx"), (F.col("cy") + F.col("dy")).alias("ty"))
-        .join(node_cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")), ["tx", "ty"], "left_semi")
-    )
+    wide = max(reach, 1)
 
-    def coarse(col: Column) -> Column:
-        return F.floor(col / _COARSE).cast("bigint")
+    def square(col: Column) -> Column:
+        return F.floor(col / wide).cast("bigint")
 
     def span(col: Column) -> Column:
-        return F.explode(F.sequence(coarse(col - max_ring), coarse(col + max_ring)))
+        return F.explode(F.sequence(square(col - reach), square(col + reach)))
 
-    away = point_cells.join(node_cells, ["cx", "cy"], "left_anti")
-    reach = away.select("cx", "cy", span(F.col("cx")).alias("gx")).select("*", span(F.col("cy")).alias("gy"))
-    placed = node_cells.select(
-        F.col("cx").alias("tx"), F.col("cy").alias("ty"), coarse(F.col("cx")).alias("gx"), coarse(F.col("cy")).alias("gy")
-    )
+    around = point_cells.select("cx", "cy", span(F.col("cx")).alias("gx")).select("*", span(F.col("cy")).alias("gy"))
+    placed = node_cells.select("tx", "ty", square(F.col("tx")).alias("gx"), square(F.col("ty")).alias("gy"))
     ring = _ring(F.col("tx") - F.col("cx"), F.col("ty") - F.col("cy"))
-    met = reach.join(placed, ["gx", "gy"]).withColumn("ring", ring).where(F.col("ring") <= max_ring)
-    first = met.groupBy("cx", "cy").agg(F.min("ring").alias("first"))
-    far = met.join(first, ["cx", "cy"]).where(F.col("ring") <= F.col("first") + 1).select("cx", "cy", "tx", "ty")
-    return near.select("cx", "cy", "tx", "ty").unionByName(far)
+    return around.join(placed, ["gx", "gy"]).withColumn("ring", ring).where(F.col("ring") <= reach).drop("gx", "gy")
+
+
+def cell_targets(point_cells: DataFrame, node_cells: DataFrame, max_ring: int = MAX_RING) -> DataFrame:
+    """For each point cell, the occupied node cells of its first non-empty ring and the next one.
+
+    Works on distinct cells, not on points or nodes. The reach doubles from one ring to
+    ``max_ring``; a cell is settled once its first ring lies inside the reach by one, so that
+    the next ring has been seen too, and only cells still open go on. A cell thus meets no
+    more than about four times the cells of the rings it needs.
+    """
+    nodes = cut_lineage(node_cells.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")))
+    open_cells = cut_lineage(point_cells.select("cx", "cy"))
+    found = []
+    reach = min(1, max_ring)
+    while True:
+        met = met_cells(open_cells, nodes, reach)
+        first = met.groupBy("cx", "cy").agg(F.min("ring").alias("first"))
+        settled = first if reach >= max_ring else first.where(F.col("first") < reach)
+        level = cut_lineage(
+            met.join(settled, ["cx", "cy"]).where(F.col("ring") <= F.col("first") + 1).select("cx", "cy", "tx", "ty")
+        )
+        found.append(level)
+        if reach >= max_ring:
+            break
+        open_cells = cut_lineage(open_cells.join(level.select("cx", "cy").distinct(), ["cx", "cy"], "left_anti"))
+        if open_cells.isEmpty():
+            break
+        reach = min(2 * reach, max_ring)
+    every = found[0]
+    for level in found[1:]:
+        every = every.unionByName(level)
+    return every
 
 
 def nearest_node(
@@ -129,16 +146,16 @@ def nearest_favourite(points: DataFrame, favourites: DataFrame, radius_m: float
     ``radius_m``, inclusive; ties go to the first of the favourites list.
 
     Favourites are entered in the nine cells around them; longitude cells follow the
-    latitude band and wrap at the date line, so no pair within the radius is missed.
+    latitude band and wrap at the date line, so no pair within the radius is missed. Only
+    ids and coordinates go into the cells; records are fetched for the closest ones.
     """
     step, band = _bands(radius_m)
     lists = favourites.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    record = F.struct(*favourites.columns).alias("favori")
     around = (
-        lists.select(record, "lat", "lon", F.explode(F.transform(_offsets(1), lambda o: band + o)).alias("band"))
+        lists.select("id", "lat", "lon", F.explode(F.transform(_offsets(1), lambda o: band + o)).alias("band"))
         .withColumn("_count", _columns_in_band(F.col("band"), step))
         .select(
-            "favori",
+            "id",
             F.col("lat").alias("flat"),
             F.col("lon").alias("flon"),
             "band",
@@ -154,11 +171,15 @@ def nearest_favourite(points: DataFrame, favourites: DataFrame, radius_m: float
     spots = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
     placed = spots.withColumn("band", band).withColumn("col", _column_of(F.col("lon"), _columns_in_band(band, step)))
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("flat"), F.col("flon"))
-    near = placed.join(around, ["band", "col"]).withColumn("d", distance).where(F.col("d") <= radius_m)
-    keys = near.select(
-        "lat", "lon", "favori", "d", *[key.alias(f"_k{i}") for i, key in enumerate(favourite_order("favori."))]
+    near = placed.join(around, ["band", "col"]).select("lat", "lon", "id", distance.alias("d")).where(F.col("d") <= radius_m)
+    least = near.groupBy("lat", "lon").agg(F.min("d").alias("d"))
+    # favourites as close as the closest: one, but for ties, which go by the order of the list
+    closest = near.join(least, ["lat", "lon", "d"]).withColumnRenamed("id", "_id")
+    records = lists.select(
+        F.col("id").alias("_fid"), F.struct(*favourites.columns).alias("favori"),
+        *[key.alias(f"_k{i}") for i, key in enumerate(favourite_order())],
     )
-    best = keys.groupBy("lat", "lon").agg(
+    best = closest.join(records, F.col("_id").eqNullSafe(F.col("_fid"))).groupBy("lat", "lon").agg(
         F.min_by(F.struct("favori", "d"), F.struct("d", "_k0", "_k1", "favori.id")).alias("hit")
     )
     return join_known(points, best, ["lat", "lon"]).select(

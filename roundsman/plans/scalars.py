@@ -205,12 +205,13 @@ _POINT = r"regexp_replace(CAST(lat AS VARCHAR), '\.0$', '') || ',' || regexp_rep
           'https://www.google.com/maps/search/?api=1&query=' || {D.uri("rue || ' ' || cp || ' ' || ville")} AS search
         FROM (SELECT id, nom, rue, cp, ville, lat, lon, coalesce(adresse_affichage, '') AS a,
           CASE quantite WHEN 1 THEN 'waze' WHEN 2 THEN 'google' ELSE 'apple' END AS app
-          FROM {{parcel}} WHERE lat IS NOT NULL) p""",
+          FROM {{parcel}}) p""",
 )
 def _(v):
+    """All parcels; one with neither address nor coordinates has no link."""
     app = F.when(col("quantite") == 1, "waze").when(col("quantite") == 2, "google").otherwise("apple")
     raw = F.concat_ws(" ", "adresse_raw.rue", "adresse_raw.cp", "adresse_raw.ville")
-    return v.scan.where(col("lat").isNotNull()).select(
+    return v.scan.select(
         "id",
         links.nav_url(app, col("lat"), col("lon"), col("nom"), col("adresse_affichage")).alias("url"),
         links.search_url(raw).alias("search"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roundsman.operators import status as S
@@ -100,15 +101,36 @@ def _(v):
     return T.purge_tours(v.tour, 6, lit("1998-08-31 10:00:00").cast("timestamp_ntz")).select("tour_id", "statut")
 
 
-@query("tb08_list_parcels", "SELECT id, CAST(epoch(date_scan) AS BIGINT) AS scanned FROM {parcel}")
+def _places(listed):
+    """Rows of a sorted listing with their place in it: the sort's ranges follow each other."""
+    spark, part = listed.sparkSession, F.spark_partition_id().alias("_part")
+    path = scratch_path(spark, "listing")
+    numbered = listed.select("*", part, F.monotonically_increasing_id().alias("_row"))
+    numbered.write.parquet(path)
+    held = spark.read.parquet(path)
+    sizes = held.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), lit(0))
+    starts = sizes.select("_part", "_first", before.alias("_before"))  # one row per range
+    return held.join(F.broadcast(starts), "_part").select(
+        *listed.columns, (col("_before") + col("_row") - col("_first") + 1).alias("place")
+    )
+
+
+@query(
+    "tb08_list_parcels",
+    "SELECT id, CAST(epoch(date_scan) AS BIGINT) AS scanned, row_number() OVER (ORDER BY date_scan NULLS FIRST, id) AS place FROM {parcel}",
+)
 def _(v):
-    listed = T.list_parcels(v.parcel.select("id", "date_scan"))
-    return listed.select("id", F.unix_seconds(col("date_scan").cast("timestamp")).alias("scanned"))
+    listed = _places(T.list_parcels(v.parcel.select("id", "date_scan")))
+    return listed.select("id", F.unix_seconds(col("date_scan").cast("timestamp")).alias("scanned"), "place")
 
 
-@query("tb08_list_favourites", "SELECT id, ville, rue FROM {favourite}")
+@query(
+    "tb08_list_favourites",
+    "SELECT id, ville, rue, row_number() OVER (ORDER BY strip_accents(ville), strip_accents(lower(rue)), strip_accents(rue) DESC, id) AS place FROM {favourite}",
+)
 def _(v):
-    return T.list_favourites(v.favourite.select("id", "ville", "rue"))
+    return _places(T.list_favourites(v.favourite.select("id", "ville", "rue")))
 
 
 @query(
@@ -130,14 +152,32 @@ def _(v):
 _ADDRESS = "SELECT id, n, rep, r, rn, cp, c, cn, lat, lon FROM {address}"
 
 
-@query("io01_read_addresses", _ADDRESS.replace("id, ", "", 1))
+#: Addresses of one extract document.
+_ENTRIES = 1000
+
+
+@query("io01_read_addresses", _ADDRESS.replace("id, ", "1 AS id_rows, ", 1))
 def _(v):
-    # an extract file per postcode, each one JSON document
+    """Extract files of bounded size, one JSON document each, and how many rows share an id."""
     path = scratch_path(v.spark, "addresses")
     entry = F.struct("n", "rep", "r", "rn", "cp", "c", "cn", "lat", "lon")
-    extracts = v.address.groupBy(col("cp").alias("zone")).agg(F.collect_list(entry).alias("entries"))
+    parts = v.address.groupBy("cp").agg(F.ceil(F.count("*") / _ENTRIES).cast("int").alias("_parts"))
+    zone = F.concat_ws("-", "cp", F.pmod(F.hash("id"), col("_parts")).cast("string"))
+    extracts = v.address.join(parts, "cp").groupBy(zone.alias("zone")).agg(F.collect_list(entry).alias("entries"))
     extracts.write.partitionBy("zone").option("compression", "gzip").json(path)
-    return files.read_addresses(v.spark, path).drop("id")
+    found = files.read_addresses(v.spark, path)
+    return found.withColumn("id_rows", F.count("*").over(Window.partitionBy("id")).cast("int")).drop("id")
+
+
+_ASKED = "SELECT DISTINCT cp FROM {query} WHERE query_id % 3 = 0"
+
+
+@query("io01_address_table", f"SELECT a.* FROM ({_ADDRESS}) a WHERE cp IN ({_ASKED})")
+def _(v):
+    """The layout by postcode digits, read for the postcodes of some queries."""
+    path = scratch_path(v.spark, "address_table")
+    files.write_addresses(v.address, path)
+    return files.read_address_table(v.spark, path, v.sql(_ASKED))
 
 
 @query("io01_read_address_lines", _ADDRESS)
@@ -172,6 +212,38 @@ def _(v):
     )
 
 
+@query(
+    "io02_read_graph_files",
+    """WITH placed AS (SELECT CAST((node - node % 10) / 10 AS BIGINT) AS g, lat, lon,
+          row_number() OVER (PARTITION BY CAST((node - node % 10) / 10 AS BIGINT) ORDER BY node) - 1 AS k FROM {node}),
+        sizes AS (SELECT g, COUNT(*) AS m FROM placed GROUP BY g),
+        hops AS (SELECT g, m, unnest(range(0, 2 * (m - 1))) AS k FROM sizes)
+      SELECT 'row-' || g AS region, 'node' AS kind, k AS a, NULL AS b, CAST(lat AS DOUBLE) AS x, CAST(lon AS DOUBLE) AS y, k AS u FROM placed
+      UNION ALL SELECT 'row-' || g, 'edge', k, CASE WHEN k % 2 = 0 THEN (k - k % 2) // 2 + 1 ELSE (k - k % 2) // 2 END, CAST(5 + (g * 31 + k * 17) % 20 AS DOUBLE), NULL,
+        CASE WHEN k % 2 = 0 THEN (k - k % 2) // 2 ELSE (k - k % 2) // 2 + 1 END FROM hops
+      UNION ALL SELECT 'row-' || g, 'turn', k, CASE WHEN k % 2 = 0 THEN k + 2 ELSE k - 2 END, NULL, NULL, k FROM hops
+        WHERE CASE WHEN k % 2 = 0 THEN k + 2 < 2 * (m - 1) ELSE k >= 2 END""",
+)
+def _(v):
+    """A file per document, and all rows of its nodes, edges and turns."""
+    path = scratch_path(v.spark, "graph")
+    _graph_documents(v).repartition("name").write.partitionBy("name").json(path)
+    nodes, edges, turns = files.read_graph(v.spark, path)
+    none, big = lit(None), "bigint"
+
+    def rows(df, kind, a, b, x, y, u):
+        return df.select(
+            "region", lit(kind).alias("kind"), a.cast(big).alias("a"), b.cast(big).alias("b"), x.cast("double").alias("x"),
+            y.cast("double").alias("y"), u.cast(big).alias("u"),
+        )
+
+    return (
+        rows(nodes, "node", col("node"), none, col("lat"), col("lon"), col("node"))
+        .unionByName(rows(edges, "edge", col("e"), col("v"), col("w"), none, col("u")))
+        .unionByName(rows(turns, "turn", col("e"), col("f"), none, none, col("e")))
+    )
+
+
 def _graph_documents(v):
     """Road graph documents, one per grid row; a row never has more than ten nodes."""
     row = ((col("node") - col("node") % 10) / 10).cast("bigint")
@@ -203,11 +275,54 @@ def _(v):
     return files.dataset_meta(v.address)
 
 
-@query("io04_content_version", "SELECT doc_id, substr(sha1(text), 1, 16) AS version FROM {documents}")
+_LINE = "CAST(id AS {text}) || ';' || n || ';' || cp || ';' || r"
+
+
+def _line_files(v, path, lines):
+    """A text file per postcode, lines in id order."""
+    ordered = lines.repartition("cp").sortWithinPartitions("cp", "id")
+    ordered.select("cp", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cp").text(path)
+
+
+@query(
+    "io04_content_version",
+    f"""SELECT cp AS name, substr(sha1(string_agg({_LINE.replace("{text}", "VARCHAR")}, chr(10) ORDER BY id) || chr(10)), 1, 16) AS version
+        FROM {{address}} GROUP BY cp""",
+)
+def _(v):
+    """Versions of files on disk."""
+    path = scratch_path(v.spark, "lines")
+    _line_files(v, path, v.address.select("cp", "id", F.expr(_LINE.replace("{text}", "string")).alias("line")))
+    return files.content_version(v.spark, path).select(files.folder_name(col("path")).alias("name"), "version")
+
+
+@query("io04_version_of", "SELECT doc_id, substr(sha1(text), 1, 16) AS version FROM {documents}")
 def _(v):
     return v.documents.select("doc_id", files.version_of(F.encode("text", "utf-8")).alias("version"))
 
 
+@query(
+    "io05_refresh",
+    """SELECT id, CASE WHEN cp = '10010' THEN n || 'x' ELSE n END AS n, r, cp AS name, CASE WHEN cp = '10010' THEN 2 ELSE 1 END AS load
+        FROM {address}""",
+)
+def _(v):
+    """Files are loaded, one of them changes, and the second refresh loads that one only."""
+    source, table, manifest = (scratch_path(v.spark, x) for x in ("lines", "table", "manifest"))
+    lines = v.address.select("cp", "id", F.expr(_LINE.replace("{text}", "string")).alias("line"))
+
+    def parse(rows):
+        part = F.split("value", ";")
+        return rows.select(part[0].cast("long").alias("id"), part[1].alias("n"), part[3].alias("r"), "name")
+
+    _line_files(v, source, lines)
+    files.refresh(v.spark, source, table, manifest, parse)
+    changed = v.address.where("cp = '10010'").withColumn("n", F.concat("n", lit("x")))
+    _line_files(v, source, changed.select("cp", "id", F.expr(_LINE.replace("{text}", "string")).alias("line")))
+    files.refresh(v.spark, source, table, manifest, parse)
+    return files.read_refreshed(v.spark, table, manifest).select("id", "n", "r", "name", "load")
+
+
 _HELD = "SELECT doc_id AS name, CASE WHEN doc_id % 4 = 0 THEN substr(sha1(text || ' '), 1, 16) ELSE substr(sha1(text), 1, 16) END AS version FROM {documents} WHERE lang <> 'fr'"
 
 
