@@ -21,7 +21,7 @@ HEADLINE = [
     "sc07_street_similarity", "ex06_extract_labels", "ex09_correction_log", "ex11_otsu_threshold", "tb01_upsert",
     "tb05_flag_duplicates", "jn03_match_addresses", "jn04_geocode_parcels", "jn05_search_addresses", "jn06_nearest_node",
     "jn07_snap_points", "jn08_nearest_favourite", "jn11_stops_with_parcels", "jn13_node_link_report", "gr01_shortest_times",
-    "gr02_time_matrix", "gr03_shortest_paths", "tr03_tour_cost", "tr04_nearest_neighbor", "tr06_optimize",
+    "gr02_time_matrix", "gr03_shortest_paths", "gr04_route_segments", "pl01_compute_tours", "tr03_tour_cost", "tr04_nearest_neighbor", "tr06_optimize",
     "tr08_cheapest_gap", "tr09_apply_insertion", "ag01_stop_states", "ag02_daily_stats", "ag03_etas", "ag10_extent",
     "io07_stop_features",
 ]

@@ -82,6 +82,16 @@ def _(v):
     return v.matrix.select("tour_id", "i", "j", geo.format_duration(col("seconds") * 10).alias("label"))
 
 
+@query(
+    "sc09_leg_labels",
+    """SELECT colis_id, CASE WHEN leg_s IS NULL THEN '—' WHEN m < 60 THEN m || ' min' WHEN m % 60 = 0 THEN (m // 60) || ' h'
+          ELSE (m // 60) || ' h ' || (m % 60) END AS label
+        FROM (SELECT colis_id, leg_s, CAST(floor(CAST(leg_s AS DOUBLE) * 7 / 60 + 0.5) AS BIGINT) AS m FROM {stop}) a""",
+)
+def _(v):
+    return v.stop.select("colis_id", geo.format_duration(col("leg_s").cast("double") * 7).alias("label"))
+
+
 _STREETTEXT = """CASE query_id % 4 WHEN 0 THEN n || ' ' || rue WHEN 1 THEN rue || ' ' || n
     WHEN 2 THEN ' ' || n || ' BIS ' || rue ELSE rue END"""
 

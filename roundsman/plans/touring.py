@@ -77,9 +77,9 @@ def _(v):
     return O.nearest_neighbor(v.tpoint, v.matrix)
 
 
-def _improved(start: str) -> str:
+def _improved(start: str, leg=_leg) -> str:
     """Scan-order 2-opt by full re-pricing of every reversal, over ``start(tour_id, ord, flags, lim)``."""
-    price = f"""list_sum(list_transform(range(1, len(o) + 1), lambda p: {_leg('(CASE WHEN p = 1 THEN 0 ELSE o[p - 1] END)', 'o[p]')}
+    price = f"""list_sum(list_transform(range(1, len(o) + 1), lambda p: {leg('(CASE WHEN p = 1 THEN 0 ELSE o[p - 1] END)', 'o[p]')}
         + CASE WHEN list_contains(noon, o[p]) THEN (p - 1) * {PENALTY} ELSE 0 END))"""
     return f"""begin AS (SELECT tour_id, ord AS o, noon, lim FROM {start}),
   scan(tour_id, o, noon, lim, cost, ca, cb, k) AS (SELECT tour_id, o, noon, lim, {price}, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), 0 FROM begin WHERE lim >= 4
@@ -149,6 +149,16 @@ def _(v):
     return T.build_tours(v.torder, v.matrix, v.tpoint)[1].drop("delivered_at")
 
 
+@query(
+    "tr07_stop_numbers",
+    """SELECT o.tour_id, colis_id, CAST(pos + 1 AS BIGINT) AS ordre FROM {torder} o JOIN {tpoint} p ON p.tour_id = o.tour_id AND p.i = o.i
+        WHERE NOT fixed_end""",
+)
+def _(v):
+    stops = T.build_tours(v.torder, v.matrix, v.tpoint)[1]
+    return stops.select("tour_id", "colis_id", col("ordre").cast("bigint").alias("ordre"))
+
+
 @query(
     "tr07_start_parcels",
     """SELECT id, CASE WHEN id IN (SELECT colis_id FROM {stop}) THEN 'en_tournee' ELSE statut END AS statut FROM {parcel}""",

@@ -172,3 +172,51 @@ def test_rows_without_a_key_pass_by_the_joins(spark):
     }
     best = {r["qid"]: r["best"] and r["best"]["address"]["id"] for r in G.match_addresses(q, addresses(spark, rows)).collect()}
     assert best == {1: 1, 2: None, 3: None, 4: 1, 5: None}
+
+
+def test_cells_meet_only_the_rings_they_need(spark):
+    """Rows joined per cell and reach, and the same targets as looking at all cells."""
+    import random
+
+    from roundsman.operators import spatial as P
+
+    rng = random.Random(8)
+    nodes = sorted({(rng.randrange(-6, 7), rng.randrange(-6, 7)) for _ in range(40)} | {(60, 60), (61, 59), (-90, 0)})
+    cells = sorted({(rng.randrange(-95, 96), rng.randrange(-95, 96)) for _ in range(150)} | {(0, 0), (60, 61), (140, 140), (61, 140), (61, 139)})
+    point_cells, node_cells = (spark.createDataFrame(x, "cx long, cy long") for x in (cells, nodes))
+    got = {}
+    for r in P.cell_targets(point_cells, node_cells).collect():
+        got.setdefault((r.cx, r.cy), set()).add((r.tx, r.ty))
+    for x, y in cells:
+        rings = {n: max(abs(n[0] - x), abs(n[1] - y)) for n in nodes}
+        first = min(r for r in rings.values())
+        want = {n for n, r in rings.items() if r <= min(first + 1, P.MAX_RING)} if first <= P.MAX_RING else set()
+        assert got.get((x, y), set()) == want
+    renamed = node_cells.select(node_cells.cx.alias("tx"), node_cells.cy.alias("ty"))
+    for reach in (1, 4, 16):
+        met = P.met_cells(point_cells, renamed, reach).groupBy("cx", "cy").count().collect()
+        assert all(r["count"] <= (2 * reach + 1) ** 2 for r in met)
+
+
+def test_plans_carry_narrow_rows(spark):
+    """Letter groups and favourite cells are listed without the records."""
+    from roundsman.operators import spatial as P
+
+    rows = spark.createDataFrame(
+        [(1, "1", "", "Rue Haute", "rue haute", "10000", "Ville", "ville", 48.0, 5.0)],
+        "id long, n string, rep string, r string, rn string, cp string, c string, cn string, lat double, lon double",
+    )
+    asked = spark.createDataFrame([(1, "haute 10000 ville")], "qid long, query string")
+
+    def generated(df):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        return [line for line in text.splitlines() if "Generate explode(" in line]
+
+    found = G.search_addresses(asked, rows)
+    assert [(r.rank, r.id) for r in found.collect()] == [(1, 1)]
+    lists = generated(found)
+    assert lists and all("lat" not in line and "rn#" not in line for line in lists)
+    favourites = spark.createDataFrame([("F", "Rue", "1", "V", 48.0, 5.0, "n")], "id string, rue string, cp string, ville string, lat double, lon double, note string")
+    near = P.nearest_favourite(rows.select("id", "lat", "lon"), favourites)
+    assert near.collect()[0].favori.note == "n"
+    assert all("note" not in line for line in generated(near))

@@ -112,3 +112,44 @@ def test_features_leave_absent_order_out(spark):
     got = {r["colis_id"]: json.loads(r["json"]) for r in geojson.stop_features(df).collect()}
     assert "ordre" not in got["a"]["properties"] and got["b"]["properties"]["ordre"] == 2
     assert got["a"]["geometry"] == {"type": "Point", "coordinates": [5.5, 48.0]}
+
+
+def test_address_table_reads_the_asked_folders_only(spark, tmp_path):
+    table = spark.createDataFrame([(i, cp, f"r{i}") for i, cp in enumerate(["01000", "01200", "54000", "54000", "75001"])], "id long, cp string, r string")
+    path = str(tmp_path / "addresses")
+    files.write_addresses(table, path)
+    listed = files.read_address_table(spark, path, ["54000", "01200"])
+    assert rows(listed, "id") == [(1,), (2,), (3,)]
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [dept#" in plan and "IN (01,54)" in plan
+    codes = spark.createDataFrame([("75001",), ("75001",), (None,), ("99999",)], "cp string")
+    assert rows(files.read_address_table(spark, path, codes), "id", "cp") == [(4, "75001")]
+    assert rows(files.read_address_table(spark, path), "id", "cp")[0] == (0, "01000")
+
+
+def test_refresh_reads_changed_files_only(spark, tmp_path):
+    source, table, manifest = (str(tmp_path / x) for x in ("source", "table", "manifest"))
+
+    def put(zone, *lines):
+        (tmp_path / "source" / f"zone={zone}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "source" / f"zone={zone}" / "part.txt").write_text("\n".join(lines))
+
+    def parse(lines):
+        return lines.select("value", "name")
+
+    def state():
+        return {r.name: r.stale for r in files.refresh(spark, source, table, manifest, parse).collect()}
+
+    def held():
+        return rows(files.read_refreshed(spark, table, manifest), "name", "value", "load")
+
+    put("01", "a", "b")
+    put("02", "c")
+    assert state() == {"01": True, "02": True} and held() == [("01", "a", 1), ("01", "b", 1), ("02", "c", 1)]
+    assert state() == {"01": False, "02": False} and held()[0] == ("01", "a", 1)
+    put("02", "d")
+    put("03", "e")
+    assert state() == {"01": False, "02": True, "03": True}
+    assert held() == [("01", "a", 1), ("01", "b", 1), ("02", "d", 3), ("03", "e", 3)]
+    (tmp_path / "source" / "zone=01" / "part.txt").unlink()
+    assert state() == {"02": False, "03": False} and held() == [("02", "d", 3), ("03", "e", 3)]
