@@ -58,6 +58,14 @@ def kept_state(owner: str, key: object, build: Callable[[], object]) -> object:
     return _worker["state"]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added what no column of ``df`` is called, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -6,12 +6,14 @@ character n-grams of length 4, and where none of those is known to 3, 2 and 1.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,16 +21,12 @@ from pyspark.sql import types as T
 from roundsman.llm.common import kept_state
 from roundsman.session import cut_lineage
 
-#: Most labelled rows the tables are fitted on (a hash of the id picks them).
-SAMPLE_ROWS = 8_000
-#: Most entries of a table (words, or n-grams of one length): an entry needs at least that share
-#: of the table's occurrences, so there can't be more of them.
-MAX_ENTRIES = 200_000
+#: Labelled texts the tables are fitted on, about (a hash of the text picks them; equal texts are one).
+SAMPLE_ROWS = 4_000
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SMOOTH = 0.5
-_CACHE = 50_000
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -62,84 +60,128 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(
-    labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    sample_rows: int = SAMPLE_ROWS, max_entries: int = MAX_ENTRIES,
+    labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS
 ) -> tuple[list[str], dict]:
     """Languages (sorted) and {size: (units, log frequencies)}, learnt from rows with text and language.
 
-    The tables fit a worker: at most ``max_entries`` units of a size, since each has that share
-    of the sample's occurrences or more. Rare units are no loss to a rule that backs off.
+    The tables hold every unit of the sample, which bounds them. Ids have no part in the choice,
+    and a text that is there many times with a language counts once.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    total = rows.count()
-    share = min(1.0, sample_rows / max(1, total))
-    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("body"), F.xxhash64(text).alias("mark")
+    )
+    total = rows.select("lang", "mark").distinct().count()
+    steps = 1 << 30
+    share = steps if total <= sample_rows else int(sample_rows / total * steps)
+    picked = rows.where(F.pmod(F.xxhash64("mark", F.lit("sample")), F.lit(steps)) < share)
     units = cut_lineage(
-        picked.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("body"))
+        picked.groupBy("lang", "mark").agg(F.first("body").alias("body")).select("lang", "body")
         .mapInArrow(_tally, "lang string, size int, unit string, n long")
         .groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
     )
-    sums = {(r.lang, r["size"]): r.n for r in units.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted({lang for lang, _ in sums})
+    langs = sorted(r.lang for r in units.select("lang").distinct().collect())
     model = {}
     for size in (0, *LENGTHS):
-        totals = np.array([sums.get((lang, size), 0) for lang in langs], np.float64)
-        least = max(1, -(-int(totals.sum()) // max_entries))
-        kept = (
-            units.where((F.col("size") == size) & (F.col("n") >= least)).groupBy("unit")
-            .agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)])
-            .orderBy("unit").collect() if langs else []
-        )
-        counts = np.array([r[1:] for r in kept], np.float64).reshape(len(kept), len(langs))
-        logs = np.log((counts + _SMOOTH) / (totals + _SMOOTH * (len(kept) + 1)))
-        model[size] = ([r[0] for r in kept], logs.astype(np.float32))
+        found = units.where(F.col("size") == size).select("lang", "unit", "n").toArrow()
+        known = pc.unique(found["unit"]).sort()
+        counts = np.zeros((len(known), len(langs)))
+        at = pc.index_in(found["unit"], known).to_numpy(), pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy()
+        counts[at] = found["n"].to_numpy()
+        logs = np.log((counts + _SMOOTH) / (counts.sum(axis=0) + _SMOOTH * (len(known) + 1)))
+        model[size] = (known.to_pylist(), logs.astype(np.float32))
     return langs, model
 
 
 class Scorer:
-    """The tables of a worker: units lead to rows of one matrix per size, which takes less memory than a row each."""
+    """The tables of a worker, over the words of a whole batch at once.
+
+    Words lead to rows of a matrix by a dictionary. n-grams are whole numbers in sorted order,
+    16 bits a character as numbered by the model's own characters.
+    """
 
     def __init__(self, langs: list[str], model: dict):
         self.langs = langs
-        self.places = {size: {unit: i for i, unit in enumerate(units)} for size, (units, _) in model.items()}
+        self.places = {word: i for i, word in enumerate(model[0][0])}
         self.logs = {size: logs for size, (_, logs) in model.items()}
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def back_off(self, word: str) -> np.ndarray:
-        """Log frequencies by language of an unseen word, from its longest known n-grams."""
-        found = self.unseen.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs), np.float32)
+        self.letters = np.array(sorted({ord(c) for unit in model[1][0] for c in unit}), np.int32)
+        if len(self.letters) >= 1 << 16:
+            raise ValueError("more than 65,535 characters in the labelled sample")
+        self.grams = {}
+        for size in LENGTHS:
+            codes = self._codes(model[size][0])[0]
+            packed = self._pack(codes, size)[:, 0] if len(codes) else np.zeros(0, np.uint64)
+            order = np.argsort(packed)
+            self.grams[size] = packed[order]
+            self.logs[size] = self.logs[size][order]
+
+    def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' characters by the model's numbers, 0 for others and past the end; lengths."""
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.zeros((len(texts), max(int(length.max(initial=0)), max(LENGTHS))), np.uint64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
+        at = np.minimum(np.searchsorted(self.letters, points), max(len(self.letters) - 1, 0))
+        numbers = np.where(self.letters[at] == points, at + 1, 0) if len(self.letters) else np.zeros(len(points), np.int64)
+        codes[np.arange(codes.shape[1]) < length[:, None]] = numbers
+        return codes, length
+
+    @staticmethod
+    def _pack(codes: np.ndarray, size: int) -> np.ndarray:
+        """All n-grams of each row; 0 where a character is none of the model's."""
+        width = codes.shape[1] - size + 1
+        packed, whole = np.zeros((len(codes), width), np.uint64), np.ones((len(codes), width), bool)
+        for k in range(size):
+            part = codes[:, k : k + width]
+            packed = (packed << np.uint64(16)) | part
+            whole &= part > 0
+        return np.where(whole, packed, np.uint64(0))
+
+    def back_off(self, words: list[str]) -> np.ndarray:
+        """Log frequencies by language of unseen words, each from its longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)))
+        by_length = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        # words of like length together, so that a long one does not widen all rows
+        for low in range(0, len(words), 4096):
+            part = by_length[low : low + 4096]
+            codes, _ = self._codes([f"<{words[i]}>" for i in part])
+            open_rows = np.arange(len(part))
             for size in LENGTHS:
-                places = self.places[size]
-                hits = [i for g in _grams(word, size) if (i := places.get(g)) is not None]
-                if hits:
-                    found = self.logs[size][hits].mean(axis=0)
-                    break
-            if len(self.unseen) >= _CACHE:
-                self.unseen.clear()
-            self.unseen[word] = found
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        counts = words_of(text)
-        letters = any(c.isalpha() for w in counts for c in w)
-        if not self.langs or not letters:
-            return UNKNOWN, 0.0, letters
-        places, times = [], []
-        sums = np.zeros(len(self.langs))
-        known = self.places[0]
-        for word, n in counts.items():
-            if (i := known.get(word)) is not None:
-                places.append(i)
-                times.append(n)
-            else:
-                sums += n * self.back_off(word).astype(np.float64)
-        if places:
-            sums += np.array(times, np.float64) @ self.logs[0][places]
-        share = np.exp(sums - sums.max())
-        best = int(np.argmax(share))  # ties go to the first name
-        return self.langs[best], float(min(1.0, share[best] / share.sum())), True
+                known = self.grams[size]
+                if not len(known) or not len(open_rows):
+                    continue
+                packed = self._pack(codes[open_rows], size)
+                at = np.minimum(np.searchsorted(known, packed), len(known) - 1)
+                row, column = np.nonzero((known[at] == packed) & (packed > 0))
+                hits = np.bincount(row, minlength=len(open_rows))
+                logs = self.logs[size][at[row, column]]
+                for k in range(len(self.langs)):
+                    sums = np.bincount(row, weights=logs[:, k], minlength=len(open_rows))
+                    out[part[open_rows], k] = sums / np.maximum(hits, 1)
+                open_rows = open_rows[hits == 0]
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, has letters) of every text."""
+        numbers: dict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        found = [list(map(numbers.__getitem__, _WORD.findall((t or "").lower()))) for t in texts]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        tokens = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(length.sum()))
+        words = list(numbers)
+        # a run of \w that is no digit may still hold no letter
+        letter = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
+        doc = np.repeat(np.arange(len(texts)), length)
+        letters = np.bincount(doc, weights=letter[tokens], minlength=len(texts)) > 0
+        if not self.langs or not len(words):
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), letters
+        place = np.fromiter((self.places.get(w, -1) for w in words), np.int64, len(words))
+        logs = self.logs[0][place].astype(np.float64)
+        unseen = np.flatnonzero(place < 0)
+        logs[unseen] = self.back_off([words[i] for i in unseen])
+        sums = np.stack([np.bincount(doc, weights=logs[tokens, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
+        best = sums.argmax(axis=1)  # ties go to the first name
+        share = np.exp(sums - sums.max(axis=1, keepdims=True))
+        score = np.where(letters, np.minimum(1.0, share.max(axis=1) / share.sum(axis=1)), 0.0)
+        return [self.langs[b] if there else UNKNOWN for b, there in zip(best, letters)], score, letters
 
 
 def predict(docs: DataFrame, model: tuple[list[str], dict], text: str = "text") -> DataFrame:
@@ -157,9 +199,9 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], text: str = "text")
         value = shared.value
         scorer = kept_state("langid", value, lambda: Scorer(*value))
         for batch in batches:
-            out = [scorer.predict(t.as_py()) for t in batch.column(at)]
+            langs, score, letters = scorer.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))],
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(letters)],
                 names=[*batch.schema.names, "lang_pred", "score", "has_letters"],
             )
 

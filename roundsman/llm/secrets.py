@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from roundsman.llm.common import free_name
 from roundsman.session import scratch_path
 
 
@@ -145,9 +146,10 @@ def scan(docs: DataFrame, **options) -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with every found span of the text replaced by a mark; a null text stays null."""
     _, spans = findings(docs, text=text, **options)
-    spans = spans.select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    joined = docs.join(spans.hint("shuffle_hash"), blob_of(F.col(text)) == F.col("_blob"), "left")
-    clean = F.when(F.col("_found").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_found")))
+    blob, found = free_name(docs, "blob"), free_name(docs, "found")
+    spans = spans.select(F.col("blob").alias(blob), F.col("found").alias(found))
+    joined = docs.join(spans.hint("shuffle_hash"), blob_of(F.col(text)) == F.col(blob), "left")
+    clean = F.when(F.col(found).isNull(), F.col(text)).otherwise(redact(F.col(text), F.col(found)))
     return joined.withColumn(text, clean).select(*docs.columns)
 
 

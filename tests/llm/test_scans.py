@@ -135,7 +135,7 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([("x", "Short item")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [
-        (1, long), (6, "my [secret] is out"), (7, "clean text without anything"), (7, "clean text without anything"),
+        (1, long), (6, "my [secret] is out"), (7, "clean text without anything"),
     ]
     assert all(len(r.ids) == 4 * r.n_tokens and r.n_chars == len(r.text) for r in got)
     docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
@@ -143,6 +143,79 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_clashing_columns_are_kept(spark, tmp_path):
+    """Columns named as a stage's own ones come through every stage but the last as they were."""
+    names = ["lang_pred", "score", "has_letters", "n_words", "n_hit", "item_ids", "starts", "ends", "_found", "_blob", "found", "blob", "_id", "_mark", "id", "mark", "Score_"]
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "en", *names), (1, text, "en", *names), (2, "my token=123456 here", "en", *names)], ["doc_id", "text", "lang", *names])
+    spark.createDataFrame([("x", "not there at all")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "secret_scan":
+            docs = docs.withColumn("n_chars", F.lit(0).cast("long"))
+        columns = docs.columns
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, text), (2, "my [secret] here")]
+    assert all(r[n] == n for r in rows for n in names)
+
+
+def plain_languages(rows, docs):
+    """Words first, then ever shorter n-grams, one text after the other."""
+    import math
+    import re
+    from collections import Counter
+
+    def grams(word, n):
+        return [f"<{word}>"[i : i + n] for i in range(len(word) + 3 - n)]
+
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({lang for _, lang in rows})
+    counts = {size: {lang: Counter() for lang in langs} for size in range(5)}
+    for text, lang in set(rows):
+        for w in words(text):
+            counts[0][lang][w] += 1
+            for size in range(1, 5):
+                counts[size][lang].update(grams(w, size))
+    known = {size: set().union(*by.values()) for size, by in counts.items()}
+
+    def log(size, unit, lang):
+        by = counts[size][lang]
+        return math.log((by[unit] + 0.5) / (by.total() + 0.5 * (len(known[size]) + 1)))
+
+    out = []
+    for text in docs:
+        sums = dict.fromkeys(langs, 0.0)
+        for w in words(text):
+            found = [(0, [w])] if w in known[0] else [(n, [g for g in grams(w, n) if g in known[n]]) for n in (4, 3, 2, 1)]
+            size, units = next(((n, u) for n, u in found if u), (1, []))
+            for lang in langs:
+                if units:
+                    sums[lang] += sum(log(size, u, lang) for u in units) / len(units)
+        top = max(sums.values())
+        best = next(lang for lang in langs if sums[lang] == top)
+        out.append((best if words(text) else "und", 1 / sum(math.exp(s - top) for s in sums.values()) if words(text) else 0.0))
+    return out
+
+
+def test_languages_as_plain_version(spark):
+    import random
+
+    rng = random.Random(6)
+    stems = {"en": ["the", "with", "house", "ing", "er"], "fr": ["le", "été", "maison", "eau", "ch"], "de": ["der", "straße", "haus", "ung", "ö"]}
+    word = lambda lang: "".join(rng.choices(stems[lang], k=rng.randrange(1, 4)))
+    text = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    rows = [(text(lang, rng.randrange(0, 30)), lang) for lang in stems for _ in range(20)]
+    docs = [text(lang, 12) for lang in stems for _ in range(15)] + ["zzz qqq", "日本 the", "x" * 300, "", None, "7", "İstanbul ΑΣ", "été " * 2000]
+    # one id for all rows, and one text many times: ids have no say, copies count once
+    table = spark.createDataFrame([(1, t, g) for t, g in rows] + [(1, *rows[0])] * 200, "doc_id long, text string, lang string")
+    got = langid.predict(spark.createDataFrame(enumerate(docs), "n long, text string"), langid.fit(table)).orderBy("n").collect()
+    for r, (lang, score) in zip(got, plain_languages(rows, docs), strict=True):
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4), r.text
+    few = langid.fit(table, sample_rows=30)
+    assert few[0] and len(few[1][0][0]) < len(langid.fit(table)[1][0][0])
+
+
 def test_ids_do_not_decide_for_other_groups(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [
