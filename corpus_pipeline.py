@@ -12,9 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundsman.llm import bpe, decontaminate, jaccard_join, langid, secrets
-from roundsman.llm.common import crc_mod, session_ready, table
+from roundsman.llm.common import crc_mod, free_name, session_ready, table
 from roundsman.llm.queries import VOCABULARY
-from roundsman.session import scratch_path
+from roundsman.session import cut_lineage, scratch_path
+
+
+def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with its own columns of the names a stage works with renamed, and what selects them back."""
+    own = {}
+    for name in docs.columns:
+        if name.lower() in taken:
+            own[name] = free_name(docs, f"own_{name}")
+            docs = docs.withColumnRenamed(name, own[name])
+    back = {new: old for old, new in own.items()}
+    return docs, [F.col(c).alias(back.get(c, c)) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,26 +35,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     session_ready(spark)
     model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
-    return langid.predict(docs, model).where("has_letters").select(*docs.columns)
+    docs, own = _aside(docs, ("lang_pred", "score", "has_letters"))
+    return langid.predict(docs, model).where("has_letters").select(*own)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by n-gram Jaccard: the one with the smallest id.
 
     A document is an id with its text, so a reused id stays only with the text that was chosen;
-    in a group of null ids only, one text stays. Rows that repeat both id and text stay
-    together. A row without words or text is in no group and stays.
+    in a group of null ids only, one text stays. Of rows that repeat both id and text one stays.
+    A row without words or text is in no group and stays, however often it is there.
     """
     session_ready(spark)
-    kept = jaccard_join.kept(docs, size=5, percent=80).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
-    return docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    number, mark = free_name(docs, "id"), free_name(docs, "mark")
+    of = F.xxhash64("text")
+    kept = cut_lineage(jaccard_join.kept(docs, size=5, percent=80).select(F.col("id").alias(number), F.col("mark").alias(mark)))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # ids and hashes only; few of them are there twice
+    repeated = docs.where(wordy).groupBy(F.col("doc_id").alias("_id"), of.alias("_mark")).count().where("count > 1")
+    repeated = cut_lineage(repeated.select("_id", "_mark"))
+    again = F.col(number).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col(number)) & (of == F.col(mark))
+    single = docs.join(kept.join(repeated, again, "left_anti").hint("shuffle_hash"), same, "left_semi")
+    several = docs.join(kept.join(repeated, again, "left_semi"), same, "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    docs, own = _aside(docs, ("n_words", "n_hit", "item_ids", "starts", "ends"))
+    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).where(F.col("n_hit") == 0).select(*own)
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
