@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from roundsman.llm.common import free_name
-from roundsman.session import scratch_path
+from roundsman.session import cut_lineage, scratch_path
 
 
 @dataclass(frozen=True)
@@ -105,16 +105,26 @@ def findings(
     versions = spark.read.parquet(versions_at)
     known = open_ledger(spark, ledger).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     wanted = F.array(*[F.lit(r.name) for r in rules])
+    # of the rows with the blob's smallest id, how many have it: equal rows cannot be told apart by id
+    first = versions.groupBy("blob", "id").agg(F.count("*").alias("n")).groupBy("blob").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("s")
+    )
     unseen = (
-        versions.groupBy("blob").agg(F.min("id").alias("of"))
+        first.select("blob", F.col("s.id").alias("of"), F.col("s.n").alias("n"))
         .join(known, "blob", "left")
         .withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
         .where(F.size("todo") > 0)
-        .select("of", "blob", "todo")
+        .select("of", "blob", "todo", "n")
     )
-    # texts stream past the small hash table of what is to be scanned; they are not sorted
-    work = source.join(unseen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")))
-    work = work.where(blob_of(F.col("body")) == F.col("blob"))
+
+    def rows_of(blobs: DataFrame) -> DataFrame:
+        # texts stream past the small hash table of what is to be scanned; they are not sorted
+        met = source.join(blobs.drop("n").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")))
+        return met.where(blob_of(F.col("body")) == F.col("blob"))
+
+    unseen = cut_lineage(unseen)
+    # equal rows become one before the scan; the others need no look at each other
+    work = rows_of(unseen.where("n = 1")).unionByName(rows_of(unseen.where("n > 1")).dropDuplicates(["blob"]))
     rows = F.array(*[
         F.when(
             F.array_contains("todo", r.name),

@@ -228,9 +228,11 @@ def repeated(
         times = first[string + 1] - first[string]
         at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[string], times)
         place = where[order[at]]
-        return pa.table({
+        ranges = pa.table({
             "key": place[:, 0], "low": place[:, 1] + np.repeat(low, times), "high": place[:, 1] + np.repeat(high, times),
         })
+        # rows equal in id and text share a key, and each of them has brought its ranges
+        return ranges.group_by(["key", "low", "high"], use_threads=False).aggregate([])
 
     ranges = marked.select("key", "body", "values").mapInArrow(send, _PACKED).groupBy("key").applyInArrow(
         meet, "key long, low long, high long"

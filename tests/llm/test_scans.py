@@ -143,6 +143,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_equal_rows_are_scanned_once(spark, tmp_path):
+    text = "token=123456 " + "x" * 200_000
+    rows = [(1, text)] * 6 + [(2, text), (None, "secret=abcdefg"), (None, "secret=abcdefg"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ledger = str(tmp_path / "ledger")
+    got = secrets.scan(docs, ledger=ledger).collect()
+    assert len(got) == 10 and sorted(len(r.found) for r in got) == [0] + [1] * 9
+    held = spark.read.parquet(ledger)
+    assert held.count() == held.select("blob", "rule").distinct().count() == 3 * len(secrets.RULES)
+    assert secrets.scan(docs, ledger=ledger).count() == 10 and spark.read.parquet(ledger).count() == 3 * len(secrets.RULES)
+
+
 def test_clashing_columns_are_kept(spark, tmp_path):
     """Columns named as a stage's own ones come through every stage but the last as they were."""
     names = ["lang_pred", "score", "has_letters", "n_words", "n_hit", "item_ids", "starts", "ends", "_found", "_blob", "found", "blob", "_id", "_mark", "id", "mark", "Score_"]

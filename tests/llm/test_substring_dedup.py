@@ -49,3 +49,17 @@ def test_kept_text_and_nothing(spark):
     docs = spark.createDataFrame([(1, "a  b\tc"), (2, None)], "doc_id long, text string")
     assert sorted(r.kept for r in substring_dedup.removed(docs, kept_text=True).collect()) == ["", "a b c"]
     assert substring_dedup.removed(docs.limit(0)).count() == 0
+
+
+def test_many_equal_rows_bring_their_ranges_once(spark):
+    """Rows equal in id and text: as many results, and no more ranges than one row has."""
+    from roundsman.llm.superkmers import Units, keyed, repeated
+    from roundsman.llm.substring_dedup import GRAM, _judge, removed
+
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text)] * 1500 + [(2, "other " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = repeated(keyed(docs, "doc_id", "text"), Units(True, 35, GRAM), _judge(35)).collect()
+    assert len(found) == 1 and 0 < len(found[0].spans) < 100
+    got = removed(docs).groupBy("id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 300, 300, 1500), (2, 20, 0, 1)]
