@@ -17,7 +17,7 @@ from roundsman.llm.common import crc_mod, table
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
-RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+RANKS = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
