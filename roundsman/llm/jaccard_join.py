@@ -28,6 +28,8 @@ from roundsman.session import cut_lineage, scratch_path
 
 #: N-grams of one fragment, all documents together.
 FRAGMENT_GRAMS = 2_000_000
+#: Neighbouring fragments that travel to one task, which counts them one after another: a set is named once for all.
+FRAGMENTS_PER_TASK = 4
 #: Most buckets of a table (Spark's own limit); beyond it a bucket holds several fragments.
 MAX_BUCKETS = 100_000
 #: Pairs sent to the fragments as one packed row.
@@ -93,9 +95,13 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
+def _unsqueezed(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), "<u4")
+
+
 def _loosen(column: pa.ChunkedArray, parts: int) -> list[np.ndarray]:
     """The arrays of all rows of a squeezed column, joined."""
-    rows = [np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True), "<u4") for x in column.to_pylist()]
+    rows = [_unsqueezed(x) for x in column.to_pylist()]
     return [np.concatenate([r.reshape(parts, -1)[k] for r in rows]) for k in range(parts)]
 
 
@@ -104,15 +110,16 @@ def _fragment_of(found: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def _pieces(docs: DataFrame, size: int, fragments: int, doc_id: str, text: str) -> DataFrame:
-    """Packed pieces by fragment: sets, their sizes, n-grams per piece, and 40 bits of each n-gram.
+    """Packed pieces by group of fragments: sets, 40 bits of each n-gram, sizes, and n-grams per fragment and set.
 
     Equal sets of a batch are sent once.
     """
+    groups = -(-fragments // FRAGMENTS_PER_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            sent: list[list] = [[] for _ in range(fragments)]
+            sent: list[list] = [[] for _ in range(groups)]
             for _, found, counts, same in _sets(batch, size):
                 new = np.array([not (s in seen or seen.add(s)) for s in same.tolist()], bool) & (counts > 0)
                 owner = np.repeat(np.arange(len(counts)), counts)
@@ -121,21 +128,22 @@ def _pieces(docs: DataFrame, size: int, fragments: int, doc_id: str, text: str)
                 place = _fragment_of(found, fragments)
                 order = np.argsort(place, kind="stable")
                 owner, found, place = owner[order], found[order], place[order]
-                cut = np.searchsorted(place, np.arange(fragments + 1))
-                for f in range(fragments):
-                    a, b = cut[f], cut[f + 1]
+                cut = np.searchsorted(place, np.arange(groups + 1) * FRAGMENTS_PER_TASK)
+                for g in range(groups):
+                    a, b = cut[g], cut[g + 1]
                     if a < b:
-                        rows, per = np.unique(owner[a:b], return_counts=True)
+                        rows, at = np.unique(owner[a:b], return_inverse=True)
+                        cell = (place[a:b] - g * FRAGMENTS_PER_TASK) * len(rows) + at
+                        per = np.bincount(cell, minlength=len(rows) * FRAGMENTS_PER_TASK)
                         low = found[a:b]
-                        sent[f].append((
-                            same[rows], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), counts[rows], per
+                        sent[g].append((
+                            same[rows], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), counts[rows],
+                            per.reshape(FRAGMENTS_PER_TASK, -1),
                         ))
-            out = []
-            for f, parts in enumerate(sent):
-                if parts:
-                    names, low, high, n, per = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    out.append((0, f, *_pack(names, low, high), _squeeze(n, per)))
-            yield from _rows(out).to_batches()
+            yield from _rows([
+                (0, g, *_pack(names, low, high), _squeeze(n, per))
+                for g, parts in enumerate(sent) for names, low, high, n, per in parts
+            ]).to_batches()
 
     rows = docs.select(F.col(text).alias("body"))
     return rows.mapInArrow(run, _PARTS)
@@ -153,17 +161,33 @@ def _sorted_pairs(gram: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.
     return gram[new], owner[new]
 
 
-def _count(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
-    """A fragment's shared n-grams (kind 0), and how many of each rarity a set has (kind 1, by set)."""
-    fragment = table.column("key")[0].as_py()
-    same, low, high = _read(table, a=np.int64, b=np.uint32, c=np.uint8)
-    n, per = _loosen(table.column("d"), 2)
-    gram = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    names, which = np.unique(same, return_inverse=True)
+def _count(fragments: int, key: tuple, table: pa.Table) -> pa.Table:
+    """Of each fragment of a group: its shared n-grams (kind 0), and how many of each rarity a set has (kind 1, by set)."""
+    first = table.column("key")[0].as_py() * FRAGMENTS_PER_TASK
+    same, low, high = (
+        [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+        for name, kind in (("a", np.int64), ("b", np.uint32), ("c", np.uint8))
+    )
+    heads = [_unsqueezed(x).reshape(1 + FRAGMENTS_PER_TASK, -1) for x in table.column("d").to_pylist()]
+    names, which = np.unique(np.concatenate(same), return_inverse=True)
     sizes = np.zeros(len(names), np.uint32)
-    sizes[which] = n
-    owner = np.repeat(which, per)
-    del same, low, high
+    sizes[which] = np.concatenate([h[0] for h in heads])
+    ends = [np.cumsum(np.append(0, h[1:].sum(axis=1, dtype=np.int64))) for h in heads]  # a row holds one fragment after the other
+    out = []
+    for k in range(min(FRAGMENTS_PER_TASK, fragments - first)):
+        gram = np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(low, ends, strict=True)]).astype(np.uint64)
+        gram |= np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(high, ends, strict=True)]).astype(np.uint64) << np.uint64(32)
+        owner = np.repeat(which, np.concatenate([h[1 + k] for h in heads]))
+        out += _count_fragment(fragments, first + k, names, sizes, gram, owner)
+    return _rows(out)
+
+
+def _count_fragment(
+    buckets: int, fragment: int, names: np.ndarray, sizes: np.ndarray, gram: np.ndarray, owner: np.ndarray
+) -> list[tuple]:
+    """The rows of one fragment: (n-gram, position of its set in ``names``), equal sets and repeats included."""
+    if not len(gram):
+        return []
     gram, owner = _sorted_pairs(gram, owner, len(names))
     start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     common = np.diff(np.concatenate((start, [len(gram)])))
@@ -174,7 +198,7 @@ def _count(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
     order = np.lexsort((gram, rarity, owner))
     gram, owner, rarity = gram[order], owner[order], rarity[order]
     if not len(gram):
-        return _rows([])
+        return []
     cell = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (rarity[1:] != rarity[:-1]))))
     per = np.diff(np.concatenate((cell, [len(gram)]))).astype(np.uint32)
     name, kind = names[owner[cell]], rarity[cell]
@@ -187,7 +211,7 @@ def _count(buckets: int, key: tuple, table: pa.Table) -> pa.Table:
             1, b, names[own].tobytes(), _squeeze(sizes[own], cells_of), _squeeze(kind[x], per[x]),
             np.array([fragment, x.sum()], np.int64).tobytes(),
         ))
-    return _rows(out)
+    return out
 
 
 def _cut(percent: int, key: tuple, table: pa.Table) -> pa.Table:
