@@ -321,9 +321,9 @@ class Search:
 
     def __init__(
         self, sources: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float, cap_seeds: bool = True,
-        targets: DataFrame | None = None,
+        targets: DataFrame | None = None, built: tuple[DataFrame, DataFrame, int] | None = None,
     ):
-        self.graph, self.located, self.splits = build_graph(edges, turns)
+        self.graph, self.located, self.splits = built or build_graph(edges, turns)
         ids = sources.select(F.col("source").cast("long").alias("source")).where("source IS NOT NULL").distinct()
         self.parts = max(1, -(-ids.count() // SOURCES_PER_PART))
         self.rounds = 0

@@ -1,15 +1,18 @@
 """Travel times and paths on a road graph with turn restrictions.
 
 The state of a search is a directed edge: ``edges(e, u, v, w)`` are road pieces and
-``turns(e, f)`` lists which edge may follow which. All sources advance together; the rounds
-are those of ``roundsman.operators.regions``.
+``turns(e, f)`` lists which edge may follow which. Neighbouring sources are searched in one task,
+see ``roundsman.operators.reach``; where what they reach is too much for a task, all sources advance
+together in the rounds of ``roundsman.operators.regions``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from roundsman.operators.reach import Reach
 from roundsman.operators.regions import Search
 from roundsman.session import cut_lineage, prepare
 
@@ -29,7 +32,13 @@ def shortest_times(
     prepare(edges.sparkSession)
     kind = sources.schema["source"].dataType
     far = None if targets is None else targets.where("source <> target")
-    arrived = Search(sources, edges, turns, max_s, targets=far).arrivals().select(
+    reach = Reach(sources, edges, turns, max_s, targets=far)
+    arrived = reach.times()
+    if reach.wide is not None:
+        more = reach.wide.select("source")
+        own = None if targets is None else _unlisted(reach.wide)
+        arrived = arrived.unionByName(Search(more, edges, turns, max_s, targets=own).arrivals().select(*arrived.columns))
+    arrived = arrived.select(
         F.col("source").cast(kind).alias("source"), F.col("node").cast(kind).alias("node"), "seconds"
     )
     own = sources.where("source IS NOT NULL") if targets is None else targets.where("source = target")
@@ -53,28 +62,47 @@ def time_matrix(
     # nodes of a tour once each before they are paired
     stops = spots.select("tour_id", "node").where("node IS NOT NULL").distinct()
     pairs = stops.withColumnRenamed("node", "source").join(stops.withColumnRenamed("node", "target"), "tour_id")
-    pairs = cut_lineage(pairs.select("source", "target").distinct())
-    times = shortest_times(pairs.select("source"), edges, turns, max_s, pairs)
+    times = shortest_times(pairs.select("source"), edges, turns, max_s, pairs.select("source", "target"))
     times = times.withColumnRenamed("source", "a").withColumnRenamed("node", "b")
     return left.join(right, "tour_id").join(times, ["a", "b"], "left").select(
         "tour_id", "i", "j", F.coalesce("seconds", F.lit(float("inf"))).alias("seconds")
     )
 
 
-def path_pieces(pairs: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS) -> DataFrame:
-    """(source, target, seconds, pieces): the ways to all reached targets, see ``shortest_paths``.
+def _unlisted(wide: DataFrame) -> DataFrame:
+    return wide.select("source", F.explode("targets").alias("target"))
 
-    ``pieces`` are the node lists of the regions driven through, in driving order and without
-    the source.
-    """
+
+def _ways(
+    pairs: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float, places: DataFrame | None = None
+) -> DataFrame:
+    """(source, target, seconds, nodes, lat, lon): the ways to all reached targets but the sources themselves, see ``Reach.ways``."""
     prepare(edges.sparkSession)
-    wanted = cut_lineage(pairs.select("source", "target").where("source <> target").distinct())
-    search = Search(wanted.select("source"), edges, turns, max_s, cap_seeds=False, targets=wanted)
+    wanted = pairs.select("source", "target").where("source <> target")
+    reach = Reach(wanted.select("source"), edges, turns, max_s, cap_seeds=False, targets=wanted, places=places)
+    found = reach.ways()
+    if reach.wide is None:
+        return found
+    wide = cut_lineage(_unlisted(reach.wide))
+    search = Search(wide.select("source"), edges, turns, max_s, cap_seeds=False, targets=wide)
     ends = cut_lineage(search.arrivals().withColumnRenamed("node", "target"))
-    ways = search.walks(ends).groupBy("source", "target").agg(
+    # node lists of the regions driven through, in driving order and without the source
+    pieces = search.walks(ends).groupBy("source", "target").agg(
         F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("piece", "nodes"))), lambda x: x["nodes"])).alias("pieces")
     )
-    return ends.select("source", "target", "seconds").join(ways, ["source", "target"])
+    more = ends.select("source", "target", "seconds").join(pieces, ["source", "target"]).select(
+        "source", "target", "seconds", F.concat(F.array("source"), F.flatten("pieces")).alias("nodes")
+    )
+    if places is None:
+        return found.unionByName(more, allowMissingColumns=True)
+    lines = (
+        more.select("source", "target", "seconds", F.posexplode("nodes").alias("p", "node"))
+        .join(places, "node")
+        .groupBy("source", "target", "seconds")
+        .agg(F.array_sort(F.collect_list(F.struct("p", "lat", "lon"))).alias("l"))
+        .select("source", "target", "seconds", F.col("l.lat").alias("lat"), F.col("l.lon").alias("lon"))
+    )
+    return found.unionByName(lines, allowMissingColumns=True)
 
 
 def shortest_paths(
@@ -87,9 +115,9 @@ def shortest_paths(
     at from the target back to the source.
     """
     kind = pairs.schema["source"].dataType
-    found = path_pieces(pairs, edges, turns, max_s).select(
+    found = _ways(pairs, edges, turns, max_s).select(
         F.col("source").cast(kind).alias("source"), F.col("target").cast(kind).alias("target"), F.col("seconds").alias("way_s"),
-        F.transform(F.concat(F.array("source"), F.flatten("pieces")), lambda n: n.cast(kind)).alias("way"),
+        F.col("nodes").cast(ArrayType(kind)).alias("way"),
     )
     same = F.col("source") == F.col("target")
     return pairs.join(found, ["source", "target"], "left").select(
@@ -141,20 +169,16 @@ def route_segments(
     )
     legs = snapped.drop("done").withColumnRenamed("node", "source").join(ahead, ["tour_id", "pos"])
     linked = legs.where(F.col("source").isNotNull() & F.col("target").isNotNull()).select("source", "target").distinct()
-    paths = shortest_paths(linked, edges, turns, max_s).where(F.size("nodes") > 1)
     place = nodes.select("node", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    lines = (
-        paths.select("source", "target", F.posexplode("nodes").alias("p", "node"))
-        .join(place, "node")
-        .groupBy("source", "target")
-        .agg(F.array_sort(F.collect_list(F.struct("p", "lat", "lon"))).alias("l"))
-        .select("source", "target", F.transform("l", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("road"))
-    )
+    lines = _ways(linked, edges, turns, max_s, place).select("source", "target", F.col("lat").alias("lats"), F.col("lon").alias("lons"))
     straight = F.array(
         F.struct(F.col("lat"), F.col("lon")), F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))
     )
+    # coordinates travel as two plain lists, half the size of a list of pairs
+    road = F.zip_with("lats", "lons", lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon")))
+    road = F.when(F.size("lats") > 0, road)
     return legs.join(lines, ["source", "target"], "left").select(
-        "tour_id", F.col("pos").alias("leg"), F.coalesce("road", straight).alias("line"),
+        "tour_id", F.col("pos").alias("leg"), F.coalesce(road, straight).alias("line"),
         F.coalesce("leg_done", F.lit(False)).alias("done"),
     )
 
