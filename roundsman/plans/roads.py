@@ -127,12 +127,11 @@ def _(v):
     """Every leg's GeoJSON text read again: all coordinates, in millionths of a degree."""
     from roundsman.sources.geojson import route_features
 
-    text = F.col("json")
-    spots = F.from_json(F.get_json_object(text, "$.geometry.coordinates"), "array<array<double>>")
-    return route_features(_segments(v)).select(
-        "tour_id", col("leg").cast("bigint").alias("leg"), F.get_json_object(text, "$.properties.done").alias("done"),
-        F.get_json_object(text, "$.geometry.type").alias("kind"),
-        F.array_join(F.transform(spots, lambda p: F.concat(_micro(p[1]), lit(","), _micro(p[0]))), " ").alias("line"),
+    kind = "struct<properties: struct<done: string>, geometry: struct<type: string, coordinates: array<array<double>>>>"
+    feature = route_features(_segments(v)).select("tour_id", "leg", F.from_json("json", kind).alias("f"))
+    return feature.select(
+        "tour_id", col("leg").cast("bigint").alias("leg"), col("f.properties.done").alias("done"), col("f.geometry.type").alias("kind"),
+        F.array_join(F.transform("f.geometry.coordinates", lambda p: F.concat(_micro(p[1]), lit(","), _micro(p[0]))), " ").alias("line"),
     )
 
 
