@@ -64,7 +64,8 @@ def time_matrix(
     pairs = stops.withColumnRenamed("node", "source").join(stops.withColumnRenamed("node", "target"), "tour_id")
     times = shortest_times(pairs.select("source"), edges, turns, max_s, pairs.select("source", "target"))
     times = times.withColumnRenamed("source", "a").withColumnRenamed("node", "b")
-    return left.join(right, "tour_id").join(times, ["a", "b"], "left").select(
+    # merged, not broadcast: what the searches bring is far larger than the rows they start from
+    return left.join(right, "tour_id").join(times.hint("merge"), ["a", "b"], "left").select(
         "tour_id", "i", "j", F.coalesce("seconds", F.lit(float("inf"))).alias("seconds")
     )
 
@@ -120,7 +121,7 @@ def shortest_paths(
         F.col("nodes").cast(ArrayType(kind)).alias("way"),
     )
     same = F.col("source") == F.col("target")
-    return pairs.join(found, ["source", "target"], "left").select(
+    return pairs.join(found.hint("merge"), ["source", "target"], "left").select(
         *pairs.columns, F.coalesce("way", F.when(same, F.array("source"))).alias("nodes"),
         F.coalesce("way_s", F.when(same, F.lit(0.0))).alias("seconds"),
     )
@@ -177,7 +178,7 @@ def route_segments(
     # coordinates travel as two plain lists, half the size of a list of pairs
     road = F.zip_with("lats", "lons", lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon")))
     road = F.when(F.size("lats") > 0, road)
-    return legs.join(lines, ["source", "target"], "left").select(
+    return legs.join(lines.hint("merge"), ["source", "target"], "left").select(
         "tour_id", F.col("pos").alias("leg"), F.coalesce(road, straight).alias("line"),
         F.coalesce("leg_done", F.lit(False)).alias("done"),
     )
