@@ -1,7 +1,7 @@
 """Ordering of many small tours at once inside a task.
 
-Spark brings the matrix rows of each tour together, sorted; this module turns a stretch
-of them into padded arrays (tour, point, point) and advances all its tours in step.
+Spark brings the matrix rows of each tour together; this module turns a stretch of them
+into padded arrays (tour, point, point) and advances all its tours in step.
 Only tours of a checked size come here, see ``ordering``.
 """
 
@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Rows gathered before a stretch is solved, and array cells solved together.
-_ROWS, _CELLS = 200_000, 1_000_000
+#: Rows gathered before a stretch is solved, and array cells solved together (so many that the
+#: arrays of a step stay in a core's cache).
+_ROWS, _CELLS = 200_000, 50_000
 
 #: Tours with more stops are improved one at a time, a row of reversals after the other; the
 #: shorter ones together, with all reversals of a tour at once.
@@ -31,10 +32,13 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
         links = table.filter(pc.not_equal(table["i"], -1))
         tours = points["tour_id"].unique()
         at = pc.index_in(points["tour_id"], tours).to_numpy()
+        # rows come sorted by tour only
+        by_number = np.lexsort((points["j"].to_numpy(), at))
+        points, at = points.take(by_number), at[by_number]
         ids = points["j"].to_numpy()
         sizes = np.bincount(at, minlength=len(tours))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        # rank of a point inside its tour: rows come sorted by tour and point
+        # rank of a point inside its tour
         wide = max(int(ids.max()), int(pc.max(links["j"]).as_py() or 0), int(pc.max(links["i"]).as_py() or 0)) + 1
         keys = at * wide + ids
 
@@ -63,11 +67,11 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
             cost = np.full((len(part), n, n), np.inf)
             given = {name: np.zeros((len(part), n), dtype=v.dtype) for name, v in columns.items()}
             real = np.arange(n)[None, :] < sizes[part][:, None]
-            for k, t in enumerate(part):
-                span = slice(link_ends[t], link_ends[t + 1])
-                cost[k, a[span], b[span]] = secs[span]
-                for name, v in columns.items():
-                    given[name][k, : sizes[t]] = v[starts[t] : starts[t] + sizes[t]]
+            t, at_link = _runs(link_ends[part], link_ends[part + 1] - link_ends[part])
+            cost[t, a[at_link], b[at_link]] = secs[at_link]
+            _, at_point = _runs(starts[part], sizes[part])
+            for name, v in columns.items():
+                given[name][real] = v[at_point]
             yield from _order(cost, real, given, tours.take(pa.array(part)), starts[part], ids)
 
     def _order(cost, real, given, tours, starts, ids):
@@ -119,6 +123,12 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
     return run
 
 
+def _runs(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of rows: each row's run and its number."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, np.arange(len(run)) + np.repeat(starts - (counts.cumsum() - counts), counts)
+
+
 def nearest(cost: np.ndarray, movable: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     """Position of every point on a greedy walk from point 0; -1 for none."""
     tours = np.arange(len(cost))

@@ -57,7 +57,8 @@ def _small_tours(
     """(tour_id, pos, i, avant12h, locked, seconds) of tours that fit a task.
 
     One shuffle by tour brings the point rows (marked i = -1, point in j) and the matrix
-    rows together in sorted order; a partition streams through in Arrow batches.
+    rows together, sorted by tour alone (one long key, where three would be compared row by
+    row); a partition streams through in Arrow batches.
     """
     none = F.lit(None)
     rows = points.select(
@@ -78,7 +79,7 @@ def _small_tours(
     ])
     # Hashing a hash of the tour: repartition("tour_id") would be dropped as redundant when
     # both sides come from joins on the tour, although AQE may still regroup those sides.
-    together = rows.unionByName(links).repartition(F.xxhash64("tour_id")).sortWithinPartitions("tour_id", "i", "j")
+    together = rows.unionByName(links).repartition(F.xxhash64("tour_id")).sortWithinPartitions("tour_id")
     return together.mapInArrow(batch_order.solve_partition(walk, improve, penalty_s, MIN_GAIN, MIN_MOVABLE, max_rounds), schema)
 
 

@@ -23,19 +23,22 @@ def block_of(position: Column, width: int = BLOCK) -> Column:
 def number_rows(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence, name: str) -> DataFrame:
     """1-based position of each row inside its key. ``block`` must never decrease along ``order``."""
     keys = list(keys)
-    blocked = df.withColumn("_block", block)
+    # rows without a key or a block have no number
+    blocked = df.withColumn("_block", block).dropna(subset=[*keys, "_block"])
     inside = Window.partitionBy(*keys, "_block")
     ranked = blocked.withColumn("_rank", F.row_number().over(inside.orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         blocked.groupBy(*keys, "_block")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_before", F.sum("_n").over(before))
+        # most keys fit one block, so few rows are left to be joined
+        .where(F.col("_before").isNotNull())
         .drop("_n")
     )
     return (
-        ranked.join(starts, [*keys, "_block"])
-        .withColumn(name, F.col("_rank") + F.col("_before"))
+        ranked.join(starts, [*keys, "_block"], "left")
+        .withColumn(name, F.col("_rank") + F.coalesce("_before", F.lit(0)))
         .drop("_block", "_rank", "_before")
     )
 

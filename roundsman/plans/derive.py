@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundsman.functions.text import normalize_city, normalize_street
-from roundsman.operators.ranges import number_rows
+from roundsman.operators.ranges import block_of, number_rows
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
@@ -33,6 +33,9 @@ def _deg(base: int, number: str, scale: int) -> str:
 
 _ROW = "(CAST((l_suppkey - l_suppkey % 10) / 10 AS BIGINT))"
 
+# some runs of orders make one long tour each
+_LONG_ID = "CASE WHEN l_orderkey % 3000 < 72 THEN -1 - CAST((l_orderkey - l_orderkey % 3000) / 3000 AS BIGINT) ELSE l_orderkey END"
+
 PORTABLE: dict[str, str] = {
     "address_raw": f"""
         SELECT c_custkey AS id, CAST(c_custkey % 40 + 1 AS STRING) AS n,
@@ -136,10 +139,10 @@ PORTABLE: dict[str, str] = {
             ELSE CAST(30 + (a.i * 37 + b.i * 91 + a.tour_id * 13) % 600 AS DOUBLE) END AS seconds
         FROM {tpoint} a JOIN {tpoint} b ON a.tour_id = b.tour_id""",
     # tours by order, but for some runs of orders whose lines make one long tour each
-    "long_point": """
+    "long_point": f"""
         SELECT tour_id, row_number() OVER (PARTITION BY tour_id ORDER BY l_orderkey, ordre) AS i, noon
-        FROM (SELECT CASE WHEN l_orderkey % 3000 < 72 THEN -1 - CAST((l_orderkey - l_orderkey % 3000) / 3000 AS BIGINT) ELSE l_orderkey END AS tour_id,
-          l_orderkey, ordre, l_linenumber % 7 = 1 AS noon FROM {lines}) x""",
+        FROM (SELECT {_LONG_ID} AS tour_id,
+          l_orderkey, ordre, l_linenumber % 7 = 1 AS noon FROM {{lines}}) x""",
     "long_tpoint": """
         SELECT tour_id, CAST(0 AS BIGINT) AS i, false AS avant12h, false AS fixed_end FROM {long_point} GROUP BY tour_id
         UNION ALL SELECT tour_id, CAST(i AS BIGINT), noon, false FROM {long_point}
@@ -202,7 +205,32 @@ class Views:
         """Line items numbered inside their order; the line number splits an order into blocks."""
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
         df = self.lineitem.select("l_orderkey", *order, "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
-        return number_rows(df, ["l_orderkey"], F.col("l_linenumber"), order, "ordre")
+        return number_rows(df, ["l_orderkey"], block_of(F.col("l_linenumber")), order, "ordre")
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        lines = self._dealt(self.lineitem.select(F.col("l_orderkey").alias("tour_id"), "l_linenumber"))
+        return self._pairs("matrix", lines.groupBy("tour_id").agg(F.count("l_linenumber").alias("m"), F.count("*").alias("n")))
+
+    @cached_property
+    def long_matrix(self) -> DataFrame:
+        numbered = self.lineitem.where("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL")
+        sizes = self._dealt(numbered.select(F.expr(_LONG_ID).alias("tour_id"))).groupBy("tour_id").agg(F.count("*").alias("m"))
+        return self._pairs("long_matrix", sizes.withColumn("n", F.col("m")))
+
+    def _dealt(self, lines: DataFrame) -> DataFrame:
+        """Lines by tour in a fixed number of tasks: by the few bytes counted, one task would spell out most pairs."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return lines.where("tour_id IS NOT NULL").repartition(parts, "tour_id")
+
+    def _pairs(self, name: str, sizes: DataFrame) -> DataFrame:
+        """A matrix over all pairs of a tour's points, which are numbered 0 to ``m`` and ``n`` + 1: they follow from
+        ``sizes(tour_id, m, n)``, so no points are numbered and joined with each other."""
+        points = F.concat(F.sequence(F.lit(0).cast("bigint"), F.col("m")), F.array(F.col("n") + 1))
+        ends = sizes.select("tour_id", points.alias("p")).select("tour_id", "p", F.explode("p").alias("i"))
+        pairs = ends.select(F.struct("tour_id", "i").alias("a"), F.explode("p").alias("j")).select("a", F.struct(F.col("j").alias("i")).alias("b"))
+        select, _ = PORTABLE[name].rsplit("FROM", 1)
+        return self.spark.sql(f"{select} FROM {{pairs}}", pairs=pairs)
 
     @cached_property
     def scan(self) -> DataFrame:

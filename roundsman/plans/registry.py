@@ -14,12 +14,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``build(views) -> DataFrame`` under a name; ``sql`` refers to views as ``{view}``."""
+def query(name: str, sql: str | None = None, flat_rows: bool = False):
+    """Register ``build(views) -> DataFrame`` under a name; ``sql`` refers to views as ``{view}``.
+
+    ``flat_rows``: no row that goes to a Python task holds an array, see ``session.FLAT_ROWS``.
+    """
 
     def register(build: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            prepare(spark)
+            prepare(spark, flat_rows)
             return build(Views(spark, folder))
 
         QUERIES[name] = run

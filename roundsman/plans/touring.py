@@ -72,7 +72,7 @@ _WALK = f"""hop AS (SELECT m.tour_id, m.i, m.j, m.seconds FROM {{matrix}} m JOIN
       FROM {{tpoint}} p WHERE fixed_end)"""
 
 
-@query("tr04_nearest_neighbor", f"WITH RECURSIVE {_WALK} SELECT tour_id, pos, i FROM nn")
+@query("tr04_nearest_neighbor", f"WITH RECURSIVE {_WALK} SELECT tour_id, pos, i FROM nn", flat_rows=True)
 def _(v):
     return O.nearest_neighbor(v.tpoint, v.matrix)
 
@@ -97,7 +97,7 @@ _GIVEN = """given AS (SELECT tour_id, list(i ORDER BY i) AS ord, list(i) FILTER
     COUNT(*) FILTER (WHERE NOT fixed_end) AS lim FROM {tpoint} WHERE i > 0 GROUP BY tour_id)"""
 
 
-@query("tr05_two_opt", f"WITH RECURSIVE {_GIVEN}, {_improved('given')} SELECT tour_id, pos, i FROM placed")
+@query("tr05_two_opt", f"WITH RECURSIVE {_GIVEN}, {_improved('given')} SELECT tour_id, pos, i FROM placed", flat_rows=True)
 def _(v):
     orders = v.tpoint.where(col("i") > 0).select("tour_id", (col("i") - 1).alias("pos"), "i", "avant12h", col("fixed_end").alias("locked"))
     return O.two_opt(orders, v.matrix, PENALTY).select("tour_id", "pos", "i")
@@ -111,18 +111,19 @@ _FIRST = """given AS (SELECT n.tour_id, list(n.i ORDER BY n.pos) AS ord, list(n.
     "tr06_optimize",
     f"""WITH RECURSIVE {_WALK}, {_FIRST}, {_improved('given')} SELECT tour_id, pos, i, {_leg('prev', 'i')} AS seconds
       FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY tour_id ORDER BY pos), 0) AS prev FROM placed) q""",
+    flat_rows=True,
 )
 def _(v):
     return O.optimize(v.tpoint, v.matrix, PENALTY)
 
 
-@query("tr04_nearest_neighbor_long", "WITH RECURSIVE " + _WALK.replace("{tpoint}", "{long_tpoint}").replace("{matrix}", "{long_matrix}") + " SELECT tour_id, pos, i FROM nn")
+@query("tr04_nearest_neighbor_long", "WITH RECURSIVE " + _WALK.replace("{tpoint}", "{long_tpoint}").replace("{matrix}", "{long_matrix}") + " SELECT tour_id, pos, i FROM nn", flat_rows=True)
 def _(v):
     """Tours by order beside tours of some 290 points."""
     return O.nearest_neighbor(v.long_tpoint, v.long_matrix)
 
 
-@query("tr06_optimize_long", None)
+@query("tr06_optimize_long", None, flat_rows=True)
 def _(v):
     """As above, improved; re-pricing every reversal of a long tour is too slow in SQL, so tests compare with a plain scan."""
     return O.optimize(v.long_tpoint, v.long_matrix, 60.0)
