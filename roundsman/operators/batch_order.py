@@ -84,7 +84,8 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
             pos[~real] = -1
         pos[:, 0] = -1
         lengths = (pos >= 0).sum(axis=1)
-        order = np.zeros((len(pos), max(int(lengths.max()), 1)), dtype=np.int64)
+        # given positions may leave some out
+        order = np.zeros((len(pos), max(int(lengths.max()), int(pos.max()) + 1, 1)), dtype=np.int64)
         t, p = np.nonzero(pos >= 0)
         order[t, pos[t, p]] = p
         if improve and order.shape[1] > LONG:

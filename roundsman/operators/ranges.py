@@ -23,10 +23,10 @@ def block_of(position: Column, width: int = BLOCK) -> Column:
 def number_rows(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence, name: str) -> DataFrame:
     """1-based position of each row inside its key. ``block`` must never decrease along ``order``."""
     keys = list(keys)
-    # rows without a key or a block have no number
-    blocked = df.withColumn("_block", block).dropna(subset=[*keys, "_block"])
+    blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block")
-    ranked = blocked.withColumn("_rank", F.row_number().over(inside.orderBy(*order)))
+    # rows without a key or a block get no number; those without a block still count as a first block
+    ranked = blocked.dropna(subset=[*keys, "_block"]).withColumn("_rank", F.row_number().over(inside.orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         blocked.groupBy(*keys, "_block")

@@ -215,8 +215,8 @@ class Views:
     @cached_property
     def long_matrix(self) -> DataFrame:
         numbered = self.lineitem.where("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL")
-        sizes = self._dealt(numbered.select(F.expr(_LONG_ID).alias("tour_id"))).groupBy("tour_id").agg(F.count("*").alias("m"))
-        return self._pairs("long_matrix", sizes.withColumn("n", F.col("m")))
+        sizes = self._dealt(numbered.select(F.expr(_LONG_ID).alias("tour_id"))).groupBy("tour_id").agg(F.count("*").alias("n"))
+        return self._pairs("long_matrix", sizes.withColumn("m", F.col("n")))
 
     def _dealt(self, lines: DataFrame) -> DataFrame:
         """Lines by tour in a fixed number of tasks: by the few bytes counted, one task would spell out most pairs."""
@@ -224,9 +224,9 @@ class Views:
         return lines.where("tour_id IS NOT NULL").repartition(parts, "tour_id")
 
     def _pairs(self, name: str, sizes: DataFrame) -> DataFrame:
-        """A matrix over all pairs of a tour's points, which are numbered 0 to ``m`` and ``n`` + 1: they follow from
-        ``sizes(tour_id, m, n)``, so no points are numbered and joined with each other."""
-        points = F.concat(F.sequence(F.lit(0).cast("bigint"), F.col("m")), F.array(F.col("n") + 1))
+        """A matrix over all pairs of a tour's points, which are 0, the ``m`` last numbers up to ``n``, and ``n`` + 1: they
+        follow from ``sizes(tour_id, m, n)``, so no points are numbered and joined with each other."""
+        points = F.concat(F.array(F.lit(0).cast("bigint")), F.sequence(F.col("n") - F.col("m") + 1, F.col("n") + 1))
         ends = sizes.select("tour_id", points.alias("p")).select("tour_id", "p", F.explode("p").alias("i"))
         pairs = ends.select(F.struct("tour_id", "i").alias("a"), F.explode("p").alias("j")).select("a", F.struct(F.col("j").alias("i")).alias("b"))
         select, _ = PORTABLE[name].rsplit("FROM", 1)

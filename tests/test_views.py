@@ -41,10 +41,19 @@ def test_numbers_over_several_blocks_and_without_one(spark):
     numbered = ranges.number_rows(df, ["k"], ranges.block_of(df.o, 100), ["o", "x"], "n")
     found = sorted((r.k, r.o, r.x, r.n) for r in numbered.collect())
     assert found == sorted([("a", k, k % 3, k + 1) for k in range(250)] + [("b", 7, 0, 1), ("b", 7, 1, 2), ("d", 900, 2, 1)])
+    # rows without a block come first and leave their numbers out
+    gap = spark.createDataFrame([("a", None), ("a", 5), ("a", 105)], "k string, o bigint")
+    assert sorted(map(tuple, ranges.number_rows(gap, ["k"], ranges.block_of(gap.o, 100), ["o"], "n").collect())) == [("a", 5, 2), ("a", 105, 3)]
     # keys with one block only bring no row to the join
     assert "isnotnull(_before" in numbered._jdf.queryExecution().executedPlan().toString()
 
 
+def test_given_positions_may_leave_some_out(spark):
+    orders = spark.createDataFrame([(1, 2, 3, False, False), (1, 3, 4, False, False)], "tour_id bigint, pos bigint, i bigint, avant12h boolean, locked boolean")
+    matrix = spark.createDataFrame([(1, i, j, 1.0) for i in (0, 3, 4) for j in (0, 3, 4)], "tour_id bigint, i bigint, j bigint, seconds double")
+    assert ordering.two_opt(orders, matrix, 1.0).count() == 2
+
+
 def test_orders_do_not_depend_on_the_order_of_rows_inside_a_tour(spark):
     n = 9
     points = [(t, i, i % 4 == 1, i == n and t % 2 == 0) for t in range(40) for i in range(n + 1)]
