@@ -152,8 +152,15 @@ def _pieces(docs: DataFrame, size: int, fragments: int, doc_id: str, text: str)
 def _sorted_pairs(gram: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (n-gram, set) pairs in order."""
     if owners < 1 << 24:  # both in one word: 40 bits and 24
-        code = np.unique(gram << np.uint64(24) | owner.astype(np.uint64))
-        return code >> np.uint64(24), (code & np.uint64((1 << 24) - 1)).astype(np.int64)
+        code = gram << np.uint64(24)
+        code |= owner.view(np.uint64)
+        code.sort()  # np.unique would fill a hash table, several times the size of the pairs
+        new = np.ones(len(code), bool)
+        new[1:] = code[1:] != code[:-1]
+        code = code[new]
+        owner = (code & np.uint64((1 << 24) - 1)).view(np.int64)
+        code >>= np.uint64(24)
+        return code, owner
     order = np.lexsort((owner, gram))
     gram, owner = gram[order], owner[order]
     new = np.ones(len(gram), bool)
@@ -161,8 +168,11 @@ def _sorted_pairs(gram: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.
     return gram[new], owner[new]
 
 
-def _count(fragments: int, key: tuple, table: pa.Table) -> pa.Table:
-    """Of each fragment of a group: its shared n-grams (kind 0), and how many of each rarity a set has (kind 1, by set)."""
+def _count(fragments: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of each fragment of a group: its shared n-grams (kind 0), and how many of each rarity a set has (kind 1, by set).
+
+    A fragment's rows leave the task before the next one is counted, so neither side ever holds those of a whole group.
+    """
     first = table.column("key")[0].as_py() * FRAGMENTS_PER_TASK
     same, low, high = (
         [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
@@ -173,13 +183,11 @@ def _count(fragments: int, key: tuple, table: pa.Table) -> pa.Table:
     sizes = np.zeros(len(names), np.uint32)
     sizes[which] = np.concatenate([h[0] for h in heads])
     ends = [np.cumsum(np.append(0, h[1:].sum(axis=1, dtype=np.int64))) for h in heads]  # a row holds one fragment after the other
-    out = []
     for k in range(min(FRAGMENTS_PER_TASK, fragments - first)):
         gram = np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(low, ends, strict=True)]).astype(np.uint64)
         gram |= np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(high, ends, strict=True)]).astype(np.uint64) << np.uint64(32)
         owner = np.repeat(which, np.concatenate([h[1 + k] for h in heads]))
-        out += _count_fragment(fragments, first + k, names, sizes, gram, owner)
-    return _rows(out)
+        yield from _rows(_count_fragment(fragments, first + k, names, sizes, gram, owner)).to_batches()
 
 
 def _count_fragment(
@@ -191,10 +199,9 @@ def _count_fragment(
     gram, owner = _sorted_pairs(gram, owner, len(names))
     start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     common = np.diff(np.concatenate((start, [len(gram)])))
-    common = np.repeat(common, common)
-    shared = common > 1
+    shared = np.repeat(common > 1, common)
+    rarity = np.repeat(np.minimum(np.ceil(np.log2(common)), 255).astype(np.uint8), common)[shared]
     gram, owner = gram[shared], owner[shared]
-    rarity = np.minimum(np.ceil(np.log2(common[shared])), 255).astype(np.uint8)
     order = np.lexsort((gram, rarity, owner))
     gram, owner, rarity = gram[order], owner[order], rarity[order]
     if not len(gram):
@@ -358,9 +365,12 @@ def link_sets(docs: DataFrame, sets: DataFrame, size: int, percent: int, doc_id:
     spark = docs.sparkSession
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(1, -(-total // FRAGMENT_GRAMS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _count(fragments, pa.Table.from_batches(batches))
+
     counted = _kept(
-        _pieces(docs, size, fragments, doc_id, text).groupBy("key")
-        .applyInArrow(lambda key, t: _count(fragments, key, t), _PARTS), fragments
+        _pieces(docs, size, fragments, doc_id, text).groupBy("key").applyInArrow(count, _PARTS), fragments
     )
     cells = (
         counted.where("kind = 1").groupBy("key").applyInArrow(lambda key, t: _cut(percent, key, t), _PARTS)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from roundsman.llm import jaccard_join
@@ -81,3 +82,19 @@ def test_nothing_to_join(spark):
     assert jaccard_join.join(docs).count() == 0
     docs = spark.createDataFrame([(3, None), (4, "")], "doc_id long, text string")
     assert sorted(jaccard_join.join(docs).collect()) == [(3, 0, 3), (4, 0, 4)]
+
+
+def test_fragments_leave_a_group_one_by_one():
+    fragments, each = jaccard_join.FRAGMENTS_PER_TASK, 500
+    rng = np.random.default_rng(3)
+    spots = np.repeat(np.arange(fragments, dtype=np.uint64), each)
+    gram = spots * np.uint64(2**64 // fragments) + np.uint64(1)
+    gram += rng.integers(0, 50, len(gram)).astype(np.uint64)
+    low, high = gram.astype(np.uint32), (gram >> np.uint64(32)).astype(np.uint8)
+    names = np.array([7, 8], np.int64)
+    per = np.full((fragments, 2), each // 2)
+    table = jaccard_join._rows([
+        (0, 0, names.tobytes(), low.tobytes(), high.tobytes(), jaccard_join._squeeze(np.full(2, 1000), per))
+    ])
+    batches = jaccard_join._count(fragments, table)
+    assert [sorted({r["key"] for r in b.to_pylist() if r["kind"] == 0}) for b in batches] == [[k] for k in range(fragments)]
