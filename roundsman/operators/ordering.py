@@ -35,11 +35,14 @@ def _finite(seconds: Column) -> Column:
 
 
 def legs(orders: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Orders with ``seconds``, the travel time from the place before."""
+    """Orders with ``seconds``, the travel time from the place before.
+
+    The orders are hashed and the matrix, of many more rows, streams past them unsorted.
+    """
     before = orders.select("tour_id", (F.col("pos") + 1).alias("pos"), F.col("i").alias("prev"))
     chained = orders.join(before, ["tour_id", "pos"], "left").withColumn("prev", F.coalesce("prev", F.lit(0)))
     hops = matrix.select("tour_id", F.col("i").alias("prev"), F.col("j").alias("i"), "seconds")
-    return chained.join(hops, ["tour_id", "prev", "i"], "left").select(
+    return chained.hint("shuffle_hash").join(hops, ["tour_id", "prev", "i"], "left").select(
         *orders.columns, F.coalesce("seconds", F.lit(INF)).alias("seconds")
     )
 
