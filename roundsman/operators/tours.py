@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundsman.operators.ordering import INF, legs
 from roundsman.operators.ranges import block_of, number_rows
 from roundsman.operators.status import pending, treated
+from roundsman.session import cut_lineage
 
 
 def eligible(parcels: DataFrame) -> DataFrame:
@@ -120,28 +121,29 @@ def apply_insertion(stops: DataFrame, gaps: DataFrame) -> DataFrame:
     without holes, the new stop behind ``gap`` of them. A pending stop without
     coordinates cannot be placed; it stays on the tour, last, with ``unplaced`` set.
     """
-    untouched = stops.join(gaps.select("tour_id"), "tour_id", "left_anti").withColumn("unplaced", F.lit(False))
+    stops = cut_lineage(stops)  # read three times below
     base = stops.groupBy("tour_id").agg(
         F.coalesce(F.max(F.when(treated(), F.col("ordre"))), F.lit(0)).alias("_base"),
         F.count_if(pending() & F.col("located")).alias("_open"),
     )
     # a gap behind the last open stop means the end
-    gaps = gaps.join(base, "tour_id", "left").withColumn(
-        "gap", F.least("gap", F.coalesce("_open", F.lit(0)))
-    ).select("tour_id", "gap", "colis_id")
-    hit = stops.join(gaps.select("tour_id", "gap"), "tour_id")
-    rest = hit.where(pending()).withColumn("_lost", (~F.col("located")).cast("int"))
-    ranked = number_rows(rest, ["tour_id", "_lost"], block_of(F.col("ordre")), ["ordre"], "_k").join(base, "tour_id")
-    placed = F.col("_base") + F.col("_k") + F.when(F.col("_k") > F.col("gap"), F.lit(1)).otherwise(F.lit(0))
+    gaps = cut_lineage(gaps.join(base, "tour_id", "left").select(
+        "tour_id", F.least("gap", F.coalesce("_open", F.lit(0))).alias("gap"), "colis_id", "_base", "_open"
+    ))
+    wish = gaps.select("tour_id", F.col("gap").alias("_gap"), "_base", "_open", F.lit(True).alias("_hit"))
+    joined = stops.join(wish, "tour_id", "left")
+    kept = joined.where(F.col("_hit").isNull() | treated()).withColumn("unplaced", F.lit(False))
+    rest = joined.where(F.col("_hit") & pending()).withColumn("_lost", (~F.col("located")).cast("int"))
+    ranked = number_rows(rest, ["tour_id", "_lost"], block_of(F.col("ordre")), ["ordre"], "_k")
+    placed = F.col("_base") + F.col("_k") + F.when(F.col("_k") > F.col("_gap"), F.lit(1)).otherwise(F.lit(0))
     lost = F.col("_base") + F.col("_open") + 1 + F.col("_k")
     moved = ranked.withColumn("ordre", F.when(F.col("located"), placed).otherwise(lost)).withColumn("unplaced", ~F.col("located"))
-    kept = hit.where(treated()).withColumn("unplaced", F.lit(False))
-    made = gaps.join(base, "tour_id", "left").select(
+    made = gaps.select(
         "tour_id", "colis_id", (F.coalesce("_base", F.lit(0)) + F.col("gap") + 1).alias("ordre"),
         F.lit("a_livrer").alias("statut"), F.lit(True).alias("located"), F.lit(False).alias("unplaced"),
     )
     columns = [*stops.columns, "unplaced"]
-    rows = untouched.select(*columns).unionByName(kept.select(*columns)).unionByName(moved.select(*columns))
+    rows = kept.select(*columns).unionByName(moved.select(*columns))
     return rows.unionByName(made, allowMissingColumns=True)
 
 

@@ -1,4 +1,31 @@
-from roundsman.operators import ordering
+from roundsman.operators import ordering, tours
+
+STOPS = "tour_id long, colis_id string, ordre long, statut string, located boolean"
+
+
+def test_insertion_reads_its_stops_once(spark):
+    rows = [
+        (1, "a", 1, "livre", True), (1, "b", 2, "a_livrer", True), (1, "lost", 3, "a_livrer", False),
+        (1, "c", 4, "a_livrer", True), (2, "d", 1, "a_livrer", True), (None, "e", 1, "a_livrer", True),
+        (3, "f", 1, None, True),
+    ]
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stops = spark.createDataFrame(rows, STOPS).mapInArrow(pass_on, STOPS)
+    gaps = spark.createDataFrame([(1, 1, "new"), (3, 9, "last"), (4, 2, "only")], "tour_id long, gap long, colis_id string")
+    got = {(r.tour_id, r.colis_id): (r.ordre, r.statut, r.unplaced) for r in tours.apply_insertion(stops, gaps).collect()}
+    assert got == {
+        (1, "a"): (1, "livre", False), (1, "b"): (2, "a_livrer", False), (1, "new"): (3, "a_livrer", False),
+        (1, "c"): (4, "a_livrer", False), (1, "lost"): (5, "a_livrer", True), (2, "d"): (1, "a_livrer", False),
+        (None, "e"): (1, "a_livrer", False), (3, "f"): (1, None, False), (3, "last"): (2, "a_livrer", False),
+        (4, "only"): (1, "a_livrer", False),
+    }
+    assert seen.value == len(rows)
 
 
 def _plan(df):
