@@ -65,7 +65,9 @@ def build_tours(orders: DataFrame, matrix: DataFrame, points: DataFrame) -> tupl
 
 def start_parcels(parcels: DataFrame, stops: DataFrame) -> DataFrame:
     """Parcels with the status ``en_tournee`` set on those a tour has taken."""
-    taken = stops.select(F.col("colis_id").alias("id")).distinct().withColumn("_taken", F.lit(True))
+    # a rank instead of a distinct: its sort serves the join as well, and no hash table of all ids stands beside it
+    first = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    taken = stops.select(F.col("colis_id").alias("id")).withColumn("_n", first).where("_n = 1").select("id", F.lit(True).alias("_taken"))
     status = F.when(F.col("_taken"), F.lit("en_tournee")).otherwise(F.col("statut"))
     return parcels.join(taken, "id", "left").withColumn("statut", status).drop("_taken").select(*parcels.columns)
 

@@ -38,3 +38,13 @@ def test_legs_do_not_sort_the_matrix(spark):
     found = ordering.legs(orders, matrix)
     assert sorted(found.collect()) == [(1, 0, 2, 5.0), (1, 1, 1, 7.0), (2, 0, 1, float("inf"))]
     assert "ShuffledHashJoin [tour_id" in _plan(found)
+
+
+def test_taken_parcels_need_no_table_of_all_ids(spark):
+    parcels = spark.createDataFrame([("a", "pret"), ("a", "livre"), ("b", "pret"), (None, "pret")], "id string, statut string")
+    stops = spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "colis_id string")
+    found = tours.start_parcels(parcels, stops)
+    assert sorted(found.collect(), key=str) == sorted(
+        [("a", "en_tournee"), ("a", "en_tournee"), ("b", "pret"), (None, "pret")], key=str
+    )
+    assert "Aggregate" not in _plan(found)
