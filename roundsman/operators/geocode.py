@@ -193,9 +193,27 @@ def best_streets(wanted: DataFrame, shelves: DataFrame, k: int) -> DataFrame:
     return blocks.mapInArrow(street_match.best_rows(k, [c.split(" ")[0] for c in schema.split(", ")]), schema)
 
 
-def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The ``k`` best addresses of each distinct query, exactly, without pairing
-    queries and addresses one by one.
+def _ranked(items: DataFrame, keep: list[str], k: int) -> DataFrame:
+    """(keep, items): the first ``k`` addresses of ``items``, an array of struct(minus score, address),
+    by score and id. An address, told by its id, can occur several times; its best score counts."""
+    ordered = items.select(*keep, F.sort_array("items").alias("items"))
+    # copies with one score are neighbours; other repeats of an id are rare and looked for only where ids repeat
+    alone = F.filter(
+        "items", lambda x, i: (i == 0) | ~F.get("items", i - 1)["address"]["id"].eqNullSafe(x["address"]["id"])
+    )
+    first = F.filter(
+        "items",
+        lambda x, i: ~F.exists(F.slice("items", F.lit(1), i), lambda y: y["address"]["id"].eqNullSafe(x["address"]["id"])),
+    )
+    repeats = F.size(F.array_distinct("items.address.id")) < F.size("items")
+    for kept in (alone, first):
+        ordered = ordered.select(*keep, F.when(repeats, kept).otherwise(F.col("items")).alias("items"))
+    return ordered.select(*keep, F.slice("items", 1, k).alias("items"))
+
+
+def candidate_lists(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """(pool, q_street, q_city, q_number, candidates): the ``k`` best addresses of each distinct
+    query, best first, exactly, without pairing queries and addresses one by one.
 
     A score is the street similarity plus bonuses that depend only on whether number
     and town agree. An address in the overall top ``k`` is therefore also in the top
@@ -205,7 +223,8 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
     where ``best_streets`` finds that they can matter. Equal queries are compared once.
     Both lists, of distinct queries and of streets, are written out once because several
     steps start from them. A group that is still too big for a task is split by AQE's
-    skew join.
+    skew join. Addresses travel in lists: a group's best streets with their addresses in one
+    row, and from there to the query the group's ``k`` best by score.
     """
     asked = cut_lineage(
         queries.select("pool", "one_town", "q_street", "q_city", "q_number").where(F.col("pool").isNotNull()).distinct()
@@ -221,20 +240,38 @@ def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES
         .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= k)
     )
-    offered = winners.join(shelves, ["pool", "facet", "street"]).select(
-        "pool", "facet", "q_street", "similarity", F.explode_outer("shelf").alias("address")
-    )
-    score = score_columns(
-        F.col("similarity"), F.col("q_number"), F.col("q_city"), F.col("address.n"), F.col("address.cn")
+    offered = (
+        winners.join(shelves, ["pool", "facet", "street"])
+        .groupBy("pool", "facet", "q_street")
+        .agg(F.collect_list(F.struct("similarity", "shelf")).alias("streets"))
     )
+
+    def scored(street: Column) -> Column:
+        def item(address: Column) -> Column:
+            score = score_columns(street["similarity"], F.col("q_number"), F.col("q_city"), address["n"], address["cn"])
+            return F.struct((-score).alias("minus"), address.alias("address"))
+
+        return F.transform(street["shelf"], item)
+
     key = ["pool", "q_street", "q_city", "q_number"]
-    scored = looked_up.join(offered, ["pool", "facet", "q_street"]).select(*key, "address", score.alias("score"))
+    by_facet = looked_up.join(offered, ["pool", "facet", "q_street"]).select(
+        *key, F.flatten(F.transform("streets", scored)).alias("items")
+    )
     # the same address can come in by several facets, with the same score
-    once = scored.groupBy(*key, F.col("address.id").alias("_id")).agg(
-        F.first("address").alias("address"), F.first("score").alias("score")
+    merged = _ranked(by_facet, key, k).groupBy(*key).agg(F.flatten(F.collect_list("items")).alias("items"))
+    return _ranked(merged, key, k).select(
+        *key, F.transform("items", lambda x: F.struct((-x["minus"]).alias("score"), x["address"].alias("address"))).alias("candidates")
+    )
+
+
+def top_candidates(queries: DataFrame, addresses: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """The lists of ``candidate_lists`` with a row per address: (pool, q_street, q_city, q_number,
+    address, score, rank)."""
+    lists = candidate_lists(queries, addresses, k)
+    rows = lists.select(*[c for c in lists.columns if c != "candidates"], F.posexplode_outer("candidates").alias("pos", "x"))
+    return rows.where("x IS NOT NULL").select(
+        "pool", "q_street", "q_city", "q_number", "x.address", "x.score", (F.col("pos") + 1).alias("rank")
     )
-    rank = Window.partitionBy(*key).orderBy(F.col("score").desc(), "_id")
-    return once.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).drop("_id")
 
 
 def match_addresses(
@@ -244,12 +281,7 @@ def match_addresses(
     by score, and ``best``, the first one if its score reaches the threshold."""
     pooled = candidate_pool(prepare_queries(queries), addresses)
     key = ["pool", "q_street", "q_city", "q_number"]
-    item = F.struct("rank", "score", "address")
-    lists = top_candidates(pooled, addresses, k).groupBy(*key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(item)), lambda x: F.struct(x["score"].alias("score"), x["address"].alias("address"))
-        ).alias("candidates")
-    )
+    lists = candidate_lists(pooled, addresses, k)
     first = F.get(F.col("candidates"), F.lit(0))
     keyed = pooled.withColumn("pool", F.coalesce(F.col("pool"), _no_key(pooled)))
     return keyed.join(lists, key, "left").select(

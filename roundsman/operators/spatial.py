@@ -106,9 +106,10 @@ def nearest_node(
         max_ring,
     )
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"))
+    # cells fetch their nodes first, so a point travels to its cell once, not once per target cell
+    offered = targets.join(grid, ["tx", "ty"]).select("cx", "cy", "node", "nlat", "nlon")
     best = (
-        placed.join(targets, ["cx", "cy"])
-        .join(grid, ["tx", "ty"])
+        placed.join(offered, ["cx", "cy"])
         .groupBy("lat", "lon")
         .agg(F.min(F.struct(distance.alias("d"), F.col("node").alias("node"))).alias("hit"))
     )

@@ -220,3 +220,27 @@ def test_plans_carry_narrow_rows(spark):
     near = P.nearest_favourite(rows.select("id", "lat", "lon"), favourites)
     assert near.collect()[0].favori.note == "n"
     assert all("note" not in line for line in generated(near))
+
+
+def test_addresses_of_a_match_are_shuffled_in_short_lists(spark):
+    """No row per address between the comparison and the lists, repeated ids count once, with their best score."""
+    rows = [(i, str(i % 3), "", f"Rue {'Haute' if i % 2 else 'Basse'}", "1", "Aville", 48.0, 6.0) for i in range(30)]
+    rows += [(1, "2", "", "Rue Haute", "1", "Aville", 48.0, 6.0), (None, "1", "", "Rue Haute", "1", "Aville", 48.0, 6.0)]
+    q = spark.createDataFrame([(1, "Rue Haute", "1", "Aville", "1")], "qid int, rue string, cp string, ville string, numero string")
+    found = G.match_addresses(q, addresses(spark, rows))
+    assert [(round(x["score"], 6), x["address"]["id"]) for x in found.first()["candidates"]] == [
+        (1.5, None), (1.5, 1), (1.5, 7), (1.5, 13), (1.5, 19),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(address" not in plan and "address.id AS _id" not in plan, plan
+
+
+def test_points_meet_nodes_by_their_own_cell(spark):
+    """Cells fetch their nodes first: a point is not joined once per target cell before it is shuffled."""
+    nodes = spark.createDataFrame([(i, 48.0 + i % 5 * 0.004, 6.0 + i // 5 * 0.004) for i in range(25)], "node int, lat float, lon float")
+    points = spark.createDataFrame([(1, 48.0, 6.0), (2, 48.0081, 6.0079), (2, 48.0081, 6.0079), (3, 49.0, 6.0)], "id int, lat double, lon double")
+    near = P.nearest_node(points, nodes)
+    assert sorted((r.id, -1 if r.node is None else r.node) for r in near.collect()) == [(1, 0), (2, 12), (2, 12), (3, -1)]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "cx#" in joins[0] and "tx#" in joins[1], plan
