@@ -18,10 +18,11 @@ def form_encode(col: Column) -> Column:
 
 def uri_encode(col: Column) -> Column:
     """URI component encoding: blank becomes ``%20`` and ``! ' ( ) ~`` stay."""
-    out = F.replace(form_encode(col), F.lit("+"), F.lit("%20"))
+    out = form_encode(col)
     for escaped, kept in URI_KEPT.items():
         out = F.replace(out, F.lit(escaped), F.lit(kept))
-    return out
+    # last, as it makes the text longer
+    return F.replace(out, F.lit("+"), F.lit("%20"))
 
 
 def number_text(col: Column) -> Column:
@@ -62,5 +63,10 @@ def search_url(query: Column) -> Column:
     return F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), uri_encode(query))
 
 
+def sms_start(tel: Column) -> Column:
+    """A text-message link up to its body."""
+    return F.concat(F.lit("sms:"), uri_encode(tel), F.lit("&body="))
+
+
 def sms_url(tel: Column, body: Column) -> Column:
-    return F.concat(F.lit("sms:"), uri_encode(tel), F.lit("&body="), uri_encode(body))
+    return F.concat(sms_start(tel), uri_encode(body))

@@ -184,8 +184,8 @@ def split_display(address: Column) -> Column:
     return F.struct(street.alias("street"), city.alias("city"))
 
 
-def render_template(template: Column, nom: Column, minutes: Column, adresse: Column) -> Column:
-    """Fill ``{nom}``, ``{minutes_estimees}`` and ``{adresse}``; unknown values vanish."""
+def fill_template(template: Column, nom: Column, minutes: Column, adresse: Column) -> Column:
+    """The template with ``{nom}``, ``{minutes_estimees}`` and ``{adresse}`` put in, gaps and all."""
     text = text_or_empty(template)
     for mark, value in (
         ("{nom}", nom),
@@ -193,7 +193,19 @@ def render_template(template: Column, nom: Column, minutes: Column, adresse: Col
         ("{adresse}", adresse),
     ):
         text = F.replace(text, F.lit(mark), text_or_empty(value))
-    return trim_blanks(F.regexp_replace(text, "[ \t]{2,}", " "))
+    return text
+
+
+def close_gaps(text: Column) -> Column:
+    """Runs of blanks and tabs become one blank, none is left at the ends. ``text`` should be a plain
+    column; few texts hold a run, and looking for two blanks or a tab is cheaper than the pattern."""
+    gapped = F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\t"))
+    return trim_blanks(F.when(gapped, F.regexp_replace(text, "[ \t]{2,}", " ")).otherwise(text))
+
+
+def render_template(template: Column, nom: Column, minutes: Column, adresse: Column) -> Column:
+    """Fill ``{nom}``, ``{minutes_estimees}`` and ``{adresse}``; unknown values vanish."""
+    return close_gaps(fill_template(template, nom, minutes, adresse))
 
 
 def matches_text(needle: Column, *fields: Column) -> Column:

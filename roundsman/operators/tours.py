@@ -204,13 +204,14 @@ def message_options(parcels: DataFrame, templates: Column) -> DataFrame:
 
     ``templates`` is an array of struct(label, body), the handful of texts a driver keeps.
     """
-    from roundsman.functions.links import sms_url
-    from roundsman.functions.text import render_template, text_or_empty
-
-    rows = parcels.where(text_or_empty(F.col("tel")) != "").select(
-        "id", "tel", "nom", "adresse", "minutes", F.posexplode(templates).alias("index", "t")
-    ).withColumn("body", render_template(F.col("t.body"), F.col("nom"), F.col("minutes"), F.col("adresse")))
-    return rows.select(
+    from roundsman.functions.links import sms_start, uri_encode
+    from roundsman.functions.text import close_gaps, fill_template, text_or_empty
+
+    # a number is encoded once, not once per template; the filled text is a column of its own, as it is looked at twice
+    # (the columns of a select with an explode in it are worked out above the explode)
+    numbered = parcels.where(text_or_empty(F.col("tel")) != "").withColumn("_start", sms_start(F.col("tel")))
+    rows = numbered.select("id", "_start", "nom", "adresse", "minutes", F.posexplode(templates).alias("index", "t")).withColumn("_text", fill_template(F.col("t.body"), F.col("nom"), F.col("minutes"), F.col("adresse")))
+    return rows.withColumn("body", close_gaps(F.col("_text"))).select(
         "id", F.col("index").cast("bigint").alias("index"), F.col("t.label").alias("label"), "body",
-        sms_url(F.col("tel"), F.col("body")).alias("href"),
+        F.concat("_start", uri_encode(F.col("body"))).alias("href"),
     )
