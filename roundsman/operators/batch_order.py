@@ -35,7 +35,7 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
         # rows come sorted by tour only
         by_number = np.lexsort((points["j"].to_numpy(), at))
         points, at = points.take(by_number), at[by_number]
-        ids = points["j"].to_numpy()
+        ids = points["j"].to_numpy().astype(np.int64, copy=False)
         sizes = np.bincount(at, minlength=len(tours))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         # rank of a point inside its tour
@@ -111,7 +111,7 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
+            held.append(_flat(batch))
             if sum(x.num_rows for x in held) >= _ROWS:
                 table = pa.Table.from_batches(held).combine_chunks()
                 whole = pc.index(table["tour_id"], table["tour_id"][-1]).as_py()  # the last tour may go on
@@ -124,6 +124,16 @@ def solve_partition(walk: bool, improve: bool, penalty_s: float, min_gain: float
     return run
 
 
+def _flat(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of lists of points and seconds as a row per point."""
+    if not pa.types.is_list(batch.schema.field("j").type):
+        return batch
+    at = pc.list_parent_indices(batch["j"])
+    return pa.RecordBatch.from_arrays(
+        [c.flatten() if n in ("j", "seconds") else c.take(at) for n, c in zip(batch.schema.names, batch.columns)], batch.schema.names
+    )
+
+
 def _runs(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of rows: each row's run and its number."""
     run = np.repeat(np.arange(len(counts)), counts)

@@ -11,7 +11,7 @@ from roundsman.operators.roads import MAX_SECONDS, time_matrix
 from roundsman.operators.spatial import snap_points
 from roundsman.operators.status import pending
 from roundsman.operators.tours import apply_insertion, build_tours, cheapest_gap, reference_point, tour_points
-from roundsman.session import cut_lineage
+from roundsman.session import cut_lineage, stored
 
 
 def compute_tours(
@@ -43,14 +43,14 @@ def insert_parcels(
     """
     place = parcels.select(F.col("id").alias("colis_id"), "lat", "lon")
     placed = stops.join(place, "colis_id", "left").withColumn("located", F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    placed = cut_lineage(placed)
+    placed = stored(placed)
     running = tours.join(new.select("tour_id"), "tour_id", "left_semi")
     ahead = placed.join(new.select("tour_id"), "tour_id", "left_semi").where(pending() & F.col("located"))
     open_stops = number_rows(ahead, ["tour_id"], block_of(F.col("ordre")), ["ordre"], "k").select(
         "tour_id", F.col("k").cast("bigint").alias("k"), "lat", "lon"
     )
     size = open_stops.groupBy("tour_id").agg(F.max("k").alias("n"))
-    start = reference_point(running, stops, parcels).select("tour_id", F.lit(0).cast("bigint").alias("k"), "lat", "lon")
+    start = reference_point(running, placed, parcels).select("tour_id", F.lit(0).cast("bigint").alias("k"), "lat", "lon")
     after = F.coalesce("n", F.lit(0)).cast("bigint")
     back = running.where(F.col("return_to_depot")).join(size, "tour_id", "left").select(
         "tour_id", (after + 1).alias("k"), F.col("return_lat").alias("lat"), F.col("return_lon").alias("lon")
@@ -58,9 +58,12 @@ def insert_parcels(
     route = start.unionByName(open_stops).unionByName(back)
     # the new parcel's number lies behind all others, with or without a return depot
     fresh = new.join(size, "tour_id", "left").select("tour_id", (after + 2).alias("k"), "lat", "lon")
-    points = cut_lineage(snap_points(route.unionByName(fresh), nodes).withColumnRenamed("k", "i"))
-    matrix = time_matrix(points.select("tour_id", "i", "node"), edges, turns, max_s)
+    # kept before they are snapped: that reads them several times, and the gaps are made from them as well
+    way = stored(route.withColumn("new", F.lit(False)).unionByName(fresh.withColumn("new", F.lit(True))))
+    points = stored(snap_points(way.select("tour_id", F.col("k").alias("i"), "lat", "lon"), nodes).select("tour_id", "i", "node"))
+    matrix = time_matrix(points, edges, turns, max_s, lists=True)
+    route, fresh = way.where("NOT new"), way.where("new")
     gaps = cheapest_gap(route.select("tour_id", "k", F.col("k").alias("i")), fresh.select("tour_id", F.col("k").alias("i")), matrix)
     gaps = cut_lineage(gaps.join(new.select("tour_id", "colis_id"), "tour_id"))
-    inserted = apply_insertion(placed.drop("lat", "lon"), gaps.select("tour_id", "gap", "colis_id"))
+    inserted = apply_insertion(placed.drop("lat", "lon"), gaps.select("tour_id", "gap", "colis_id"), kept=True)
     return inserted, gaps

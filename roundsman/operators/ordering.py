@@ -1,7 +1,8 @@
 """Visiting order of all tours at once: cost, nearest neighbour, 2-opt.
 
 Points of a tour are numbered; 0 is the start. ``matrix(tour_id, i, j, seconds)`` is
-asymmetric and may hold infinity. An order lists (tour_id, pos, i), ``pos`` from 0,
+asymmetric and may hold infinity; it may also come in lists, a row then holds the seconds from ``i`` to
+many or all points ``j`` of the tour. An order lists (tour_id, pos, i), ``pos`` from 0,
 without the start.
 """
 
@@ -34,6 +35,27 @@ def _finite(seconds: Column) -> Column:
     return F.coalesce(seconds < INF, F.lit(False))
 
 
+def _in_lists(matrix: DataFrame) -> bool:
+    return isinstance(matrix.schema["j"].dataType, T.ArrayType)
+
+
+def link_rows(matrix: DataFrame) -> DataFrame:
+    """A matrix with a row per link."""
+    if not _in_lists(matrix):
+        return matrix
+    return matrix.select("tour_id", "i", F.explode(F.arrays_zip("j", "seconds")).alias("_x")).select("tour_id", "i", "_x.j", "_x.seconds")
+
+
+def link_seconds(rows: DataFrame, matrix: DataFrame) -> DataFrame:
+    """``rows(tour_id, i, j)`` with the ``seconds`` of their link, null for one the matrix does not list."""
+    if not _in_lists(matrix):
+        return rows.join(matrix.select("tour_id", "i", "j", "seconds"), ["tour_id", "i", "j"], "left")
+    # the lists of a point hold all points of the tour, so a row that has met them finds its link in one
+    lists = matrix.select("tour_id", "i", F.arrays_zip("j", "seconds").alias("_x"))
+    met = rows.join(lists, ["tour_id", "i"], "left").select(*rows.columns, F.explode_outer("_x").alias("_x"))
+    return met.where(F.col("_x").isNull() | (F.col("_x.j") == F.col("j"))).select(*rows.columns, F.col("_x.seconds").alias("seconds"))
+
+
 def legs(orders: DataFrame, matrix: DataFrame) -> DataFrame:
     """Orders with ``seconds``, the travel time from the place before.
 
@@ -41,9 +63,9 @@ def legs(orders: DataFrame, matrix: DataFrame) -> DataFrame:
     """
     before = orders.select("tour_id", (F.col("pos") + 1).alias("pos"), F.col("i").alias("prev"))
     chained = orders.join(before, ["tour_id", "pos"], "left").withColumn("prev", F.coalesce("prev", F.lit(0)))
-    hops = matrix.select("tour_id", F.col("i").alias("prev"), F.col("j").alias("i"), "seconds")
-    return chained.hint("shuffle_hash").join(hops, ["tour_id", "prev", "i"], "left").select(
-        *orders.columns, F.coalesce("seconds", F.lit(INF)).alias("seconds")
+    hops = chained.withColumnsRenamed({"i": "j"}).withColumnsRenamed({"prev": "i"}).hint("shuffle_hash")
+    return link_seconds(hops, matrix).select(
+        *[F.col("j" if c == "i" else c).alias(c) for c in orders.columns], F.coalesce("seconds", F.lit(INF)).alias("seconds")
     )
 
 
@@ -64,13 +86,16 @@ def _small_tours(
     row); a partition streams through in Arrow batches.
     """
     none = F.lit(None)
+    at, nil, j, seconds = F.col("i").cast("bigint"), F.lit(0.0), F.col("j").cast("bigint"), F.col("seconds").cast("double")
+    if _in_lists(matrix):
+        at, nil, j, seconds = F.array("i").cast(matrix.schema["j"].dataType), F.array(nil), F.col("j"), F.col("seconds")
     rows = points.select(
-        "tour_id", F.lit(-1).cast("bigint").alias("i"), F.col("i").cast("bigint").alias("j"), F.lit(0.0).alias("seconds"),
+        "tour_id", F.lit(-1).cast("bigint").alias("i"), at.alias("j"), nil.alias("seconds"),
         F.col("pos").cast("bigint").alias("pos"), F.coalesce("avant12h", F.lit(False)).alias("avant12h"),
         F.coalesce("locked", F.lit(False)).alias("locked"),
     )
     links = matrix.select(
-        "tour_id", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("seconds").cast("double"),
+        "tour_id", F.col("i").cast("bigint").alias("i"), j.alias("j"), seconds.alias("seconds"),
         none.cast("bigint").alias("pos"), none.cast("boolean").alias("avant12h"), none.cast("boolean").alias("locked"),
     )
     kind = points.schema["tour_id"].dataType
@@ -97,7 +122,8 @@ def _by_size(points: DataFrame, matrix: DataFrame) -> tuple[DataFrame, DataFrame
     def only(df: DataFrame, how: str) -> DataFrame:
         return df.join(big, "tour_id", how)
 
-    return only(points, "left_anti"), only(matrix, "left_anti"), only(points, "left_semi"), only(matrix, "left_semi"), True
+    far = link_rows(only(matrix, "left_semi"))
+    return only(points, "left_anti"), only(matrix, "left_anti"), only(points, "left_semi"), far, True
 
 
 def _as_points(orders: DataFrame) -> DataFrame:

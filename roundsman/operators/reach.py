@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from roundsman.operators import regions as G
 from roundsman.session import cut_lineage
@@ -32,6 +33,8 @@ _CELLS = 1 << 20
 _SOURCES = 256
 #: Paths walked back together.
 _WALKS = 1024
+#: Matrix rows looked up by one task; the sources of a depot, which all tours ask for, are searched once for each such lot.
+_ASKED = 500_000
 
 _TIMES = "source long, node long, seconds double"
 _WAYS = "source long, target long, seconds double, nodes array<long>, lat array<double>, lon array<double>"
@@ -258,11 +261,90 @@ def _rows(at: list) -> G._Rows:
     return rows
 
 
+class _Times:
+    """Seconds by source and node, as found by ``_times_step``."""
+
+    def __init__(self, found: list[pa.RecordBatch]):
+        def joined(name: str, kind) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *[b.column(name).to_numpy() for b in found]])
+
+        self.source, by_source = np.unique(joined("source", np.int64), return_inverse=True)
+        self.node, by_node = np.unique(joined("node", np.int64), return_inverse=True)
+        keys = by_source * len(self.node) + by_node
+        order = np.argsort(keys)
+        self.key, self.seconds = keys[order], joined("seconds", float)[order]
+
+    def of(self, source: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Seconds of pairs; infinite where none were found, 0 from a node to itself."""
+        seconds = np.full(len(node), np.inf)
+        if len(self.key):
+            s = np.minimum(np.searchsorted(self.source, source), len(self.source) - 1)
+            n = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+            at = np.minimum(np.searchsorted(self.key, s * len(self.node) + n), len(self.key) - 1)
+            some = (self.key[at] == s * len(self.node) + n) & (self.source[s] == source) & (self.node[n] == node)
+            seconds[some] = self.seconds[at[some]]
+        seconds[source == node] = 0.0
+        return seconds
+
+
+def _looked_up(times: _Times, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Matrix rows (tour_id, i, j, seconds) of points that ask for the nodes ``b`` of all points ``j`` of their tour."""
+    nodes = rows.column("b").flatten()
+    sizes = rows.column("b").value_lengths().to_numpy()
+    known = nodes.is_valid().to_numpy(zero_copy_only=False)
+    seconds = np.full(len(nodes), np.inf)
+    source = np.repeat(rows.column("source").to_numpy(), sizes)
+    seconds[known] = times.of(source[known], nodes.drop_null().to_numpy())
+    return pa.RecordBatch.from_arrays(
+        [rows.column("tour_id"), rows.column("i"), rows.column("j"), _lists(pa.array(seconds), sizes)], ["tour_id", "i", "j", "seconds"]
+    )
+
+
+def _matrix_step(max_s: float, block: int, cells: int):
+    """Rows of kind 0 are the regions of a map, those of kind 1 the sources to search, those of kind 2 look the times up."""
+    search = _times_step(max_s)
+
+    def run(batches):
+        key, regions, here, held, found, times = None, [], None, [], [], None
+
+        def searched():
+            if held:
+                found.extend(search(here, _rows(held)))
+                held.clear()
+
+        for batch in batches:
+            names = ("home", "part", "share", "kind")
+            keys = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names], axis=1)
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+                *group, kind = keys[start].tolist()
+                if group != key:
+                    key, regions, here, times = group, [], None, None
+                    held.clear()
+                    found.clear()
+                if kind == 0:
+                    regions.extend((batch, i) for i in range(start, end))
+                elif kind == 1:
+                    if here is None:
+                        here, regions = Map(_rows(regions)), []
+                    for i in range(start, end):
+                        held.append((batch, i))
+                        if len(held) == max(1, min(block, cells // max(1, len(here.e)))):
+                            searched()
+                else:
+                    if times is None:
+                        searched()
+                        times, here, regions = _Times(found), None, []
+                    yield _looked_up(times, batch.slice(start, end - start))
+
+    return run
+
+
 class Reach:
     """Searches of ``sources`` in the maps of their groups; ``wide`` are those of groups with too large a map.
 
-    With ``targets(source, target)`` a source stops at its farthest target. ``places(node, lat, lon)``
-    let ways be drawn.
+    With ``targets(source, target)`` a source stops at its farthest target; ``targets(source, targets)`` are the
+    same in lists. ``places(node, lat, lon)`` let ways be drawn.
     """
 
     def __init__(
@@ -281,8 +363,13 @@ class Reach:
             ids = ids.distinct().withColumn("targets", F.lit(None).cast("array<long>"))
         else:
             # by source alone, so that telling pairs apart and listing them share one shuffle
-            pairs = targets.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"))
-            pairs = pairs.where("source IS NOT NULL").repartition("source").distinct()
+            if "targets" in targets.columns:
+                pairs = targets.where("source IS NOT NULL").select(F.col("source").cast("long").alias("source"), "targets")
+                pairs = pairs.repartition("source").select("source", F.explode(F.col("targets").cast("array<long>")).alias("target"))
+                pairs = pairs.where("source <> target").distinct()
+            else:
+                pairs = targets.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"))
+                pairs = pairs.where("source IS NOT NULL").repartition("source").distinct()
             ids = pairs.groupBy("source").agg(F.sort_array(F.collect_list("target")).alias("targets"))
         ids = cut_lineage(ids)
         together = located.withColumn("u", group("u"))
@@ -295,20 +382,21 @@ class Reach:
         self.wide = None
         wide = sizes.where(F.col("n") > MAP_EDGES).select("home")
         if not wide.isEmpty():
-            self.wide = ids.join(wide, "home", "left_semi").select("source", "targets")
+            wide = cut_lineage(wide)
+            self.wide, self.wide_homes = ids.join(wide, "home", "left_semi").select("source", "targets"), wide
             ids = ids.join(wide, "home", "left_anti")
             around = around.join(wide, "home", "left_anti")
         n = ids.count()
         cores = edges.sparkSession.sparkContext.defaultParallelism
         size = max(8, min(_SOURCES, n // (3 * cores)))
-        part = F.floor(F.pmod(F.col("source"), F.lit(nodes)) / size).cast("int")
+        self.home, self.part = group("source"), F.floor(F.pmod(F.col("source"), F.lit(nodes)) / size).cast("int")
         seeds = located.select(F.col("u").alias("source"), "e", "w")
         if cap_seeds:
             seeds = seeds.where(F.col("w") <= max_s)
         seeds = seeds.join(ids.select("source"), "source", "left_semi")
         seeds = seeds.groupBy("source").agg(F.collect_list(F.struct("e", "w")).alias("o"))
         self.work = ids.join(seeds, "source").select(
-            "home", part.alias("part"), "source", "targets", F.col("o.e").alias("o_e"), F.col("o.w").alias("o_d")
+            "home", self.part.alias("part"), "source", "targets", F.col("o.e").alias("o_e"), F.col("o.w").alias("o_d")
         )
         if places is not None:
             spot = F.floor(F.col("node") / nodes).cast("long") * splits
@@ -335,6 +423,26 @@ class Reach:
         """(source, node, seconds) of all reached nodes, or of the targets if there are any."""
         return self._run(_times_step(self.max_s), _TIMES)
 
+    def matrix(self, points: DataFrame, lists: DataFrame) -> DataFrame:
+        """(tour_id, i, j, seconds) of ``lists(tour_id, i, source, j, b)``, times to all nodes in ``b``; without those of wide groups.
+
+        ``points(source)`` are the lists' sources. Times are looked up in the task that has searched their
+        source, so neither they nor the pairs that ask for them are ever joined row by row.
+        """
+        loads = points.where("source IS NOT NULL").groupBy(self.home.alias("home"), self.part.alias("part")).agg(F.count("*").alias("n"))
+        loads = F.broadcast(cut_lineage(loads.where(F.col("n") > _ASKED).select("home", "part", F.ceil(F.col("n") / _ASKED).alias("lots"))))
+        asked = lists.where("source IS NOT NULL").select("*", self.home.alias("home"), self.part.alias("part"))
+        if self.wide is not None:
+            asked = asked.join(self.wide_homes, "home", "left_anti")
+        lots = F.coalesce("lots", F.lit(1))
+        asked = asked.join(loads, ["home", "part"], "left").withColumn("share", F.pmod(F.xxhash64("tour_id", "i"), lots)).drop("lots")
+        copies = self.copies.withColumn("kind", F.lit(0)).unionByName(self.work.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        copies = copies.join(loads, ["home", "part"], "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1))).drop("lots")
+        rows = copies.unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+        rows = rows.repartition(self.tasks, "home", "part", "share").sortWithinPartitions("home", "part", "share", "kind", "source")
+        schema = StructType([*[lists.schema[n] for n in ("tour_id", "i", "j")], StructField("seconds", ArrayType(DoubleType()))])
+        return rows.mapInArrow(_matrix_step(self.max_s, G._BLOCK, _CELLS), schema)
+
     def ways(self) -> DataFrame:
         """(source, target, seconds, nodes, lat, lon): the ways to all reached targets; with places
         their coordinates, else their nodes, the source ahead."""

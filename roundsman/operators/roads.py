@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from roundsman.operators.ordering import link_rows
 from roundsman.operators.reach import Reach
 from roundsman.operators.regions import Search
-from roundsman.session import cut_lineage, prepare
+from roundsman.session import cut_lineage, prepare, stored
 
 # Fixed value: longest travel time looked for, in seconds.
 MAX_SECONDS = 3600.0
 
+#: Points of a tour that one row of a matrix in lists holds at most.
+LIST = 256
+
 
 def shortest_times(
     sources: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS, targets: DataFrame | None = None
@@ -47,27 +51,44 @@ def shortest_times(
 
 
 def time_matrix(
-    points: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS
+    points: DataFrame, edges: DataFrame, turns: DataFrame, max_s: float = MAX_SECONDS, lists: bool = False
 ) -> DataFrame:
     """(tour_id, i, j, seconds) over the points (tour_id, i, node) of every tour.
 
     The result is each tour's full matrix, the input every ordering step needs;
     unreachable pairs hold infinity. Searches run once per distinct node of the
     whole fleet, however many tours stop there, and look only for the nodes that share a
-    tour with it.
+    tour with it. With ``lists`` a row holds points ``j`` of its tour, all or ``LIST`` of them, and the ``seconds`` to them.
     """
-    spots = points.select("tour_id", "i", "node")
-    left = spots.withColumnRenamed("node", "a")
-    right = spots.select("tour_id", F.col("i").alias("j"), F.col("node").alias("b"))
-    # nodes of a tour once each before they are paired
-    stops = spots.select("tour_id", "node").where("node IS NOT NULL").distinct()
-    pairs = stops.withColumnRenamed("node", "source").join(stops.withColumnRenamed("node", "target"), "tour_id")
-    times = shortest_times(pairs.select("source"), edges, turns, max_s, pairs.select("source", "target"))
-    times = times.withColumnRenamed("source", "a").withColumnRenamed("node", "b")
-    # merged, not broadcast: what the searches bring is far larger than the rows they start from
-    return left.join(right, "tour_id").join(times.hint("merge"), ["a", "b"], "left").select(
-        "tour_id", "i", "j", F.coalesce("seconds", F.lit(float("inf"))).alias("seconds")
+    prepare(edges.sparkSession)
+    spots = points.where("tour_id IS NOT NULL").select("tour_id", "i", F.col("node").cast("long").alias("source"))
+    whole = spots.groupBy("tour_id").agg(F.collect_list(F.struct(F.col("i").alias("j"), F.col("source").alias("b"))).alias("p"))
+    whole = stored(whole)  # read for the searches and for the matrix
+    some = F.explode(F.transform(F.sequence(F.lit(1), F.size("p"), F.lit(LIST)), lambda start: F.slice("p", start, LIST)))
+    asked = whole.select("tour_id", "p", some.alias("q")).select("tour_id", "q", F.explode("p").alias("x")).select(
+        "tour_id", F.col("x.j").alias("i"), F.col("x.b").alias("source"), F.col("q.j").alias("j"), F.col("q.b").alias("b")
     )
+    reach = Reach(spots, edges, turns, max_s, targets=asked.select("source", F.array_distinct("b").alias("targets")))
+    found = reach.matrix(spots, asked)
+    nowhere = asked.where("source IS NULL").select("tour_id", "i", "j", F.array_repeat(F.lit(float("inf")), F.size("j")).alias("seconds"))
+    found = found.unionByName(nowhere)
+    if reach.wide is not None:
+        found = found.unionByName(_wide_rows(asked, reach, edges, turns, max_s))
+    else:
+        prepare(edges.sparkSession, flat_rows=True)  # lists are short, so rows bound a batch well enough
+    return found if lists else link_rows(found)
+
+
+def _wide_rows(asked: DataFrame, reach: Reach, edges: DataFrame, turns: DataFrame, max_s: float) -> DataFrame:
+    """Matrix rows of points whose node belongs to a group that goes by rounds."""
+    search = Search(reach.wide.select("source"), edges, turns, max_s, targets=_unlisted(reach.wide))
+    times = search.arrivals().select("source", F.col("node").alias("b"), F.col("seconds").alias("s"))
+    asked = asked.where("source IS NOT NULL").withColumn("home", reach.home).join(reach.wide_homes, "home", "left_semi")
+    pairs = asked.select("tour_id", "i", "source", F.explode(F.arrays_zip("j", "b")).alias("x")).select("tour_id", "i", "source", "x.j", "x.b")
+    seconds = F.when(F.col("source") == F.col("b"), F.lit(0.0)).otherwise(F.coalesce("s", F.lit(float("inf"))))
+    # merged, not broadcast: what the searches bring is far larger than the rows they start from
+    timed = pairs.join(times.hint("merge"), ["source", "b"], "left").select("tour_id", "i", F.struct("j", seconds.alias("seconds")).alias("x"))
+    return timed.groupBy("tour_id", "i").agg(F.collect_list("x").alias("x")).select("tour_id", "i", "x.j", "x.seconds")
 
 
 def _unlisted(wide: DataFrame) -> DataFrame:

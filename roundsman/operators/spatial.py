@@ -108,10 +108,12 @@ def nearest_node(
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"))
     # cells fetch their nodes first, so a point travels to its cell once, not once per target cell
     offered = targets.join(grid, ["tx", "ty"]).select("cx", "cy", "node", "nlat", "nlon")
+    # grouped by cell as well, so that offers are compared where points and nodes have met
     best = (
         placed.join(offered, ["cx", "cy"])
-        .groupBy("lat", "lon")
+        .groupBy("cx", "cy", "lat", "lon")
         .agg(F.min(F.struct(distance.alias("d"), F.col("node").alias("node"))).alias("hit"))
+        .drop("cx", "cy")
     )
     return join_known(points, best, ["lat", "lon"]).select(
         *points.columns, F.col("hit.node").alias("node"), F.col("hit.d").alias("distance_m")

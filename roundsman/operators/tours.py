@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundsman.operators.ordering import INF, legs
+from roundsman.operators.ordering import INF, legs, link_seconds
 from roundsman.operators.ranges import block_of, number_rows
 from roundsman.operators.status import pending, treated
 from roundsman.session import cut_lineage
@@ -107,7 +107,7 @@ def cheapest_gap(route: DataFrame, new: DataFrame, matrix: DataFrame) -> DataFra
     def part(name: str) -> Column:
         return F.max(F.when(F.col("part") == name, F.col("s")))
 
-    timed = links.join(matrix, ["tour_id", "i", "j"], "left").withColumn("s", F.coalesce("seconds", F.lit(INF)))
+    timed = link_seconds(links, matrix).withColumn("s", F.coalesce("seconds", F.lit(INF)))
     priced = timed.groupBy("tour_id", "k").agg((part("in") + part("out") - part("direct")).alias("extra"))
     usable = ~F.isnan("extra") & (F.col("extra") < INF)
     best = priced.where(usable).groupBy("tour_id").agg(F.min(F.struct("extra", "k")).alias("g"))
@@ -116,14 +116,16 @@ def cheapest_gap(route: DataFrame, new: DataFrame, matrix: DataFrame) -> DataFra
     )
 
 
-def apply_insertion(stops: DataFrame, gaps: DataFrame) -> DataFrame:
+def apply_insertion(stops: DataFrame, gaps: DataFrame, kept: bool = False) -> DataFrame:
     """Stops after putting one new parcel (tour_id, gap, colis_id) into each named tour.
 
     Treated stops keep their place. Pending ones follow the highest of them, numbered
     without holes, the new stop behind ``gap`` of them. A pending stop without
-    coordinates cannot be placed; it stays on the tour, last, with ``unplaced`` set.
+    coordinates cannot be placed; it stays on the tour, last, with ``unplaced`` set. ``stops`` that are
+    ``kept`` in files already are not written again.
     """
-    stops = cut_lineage(stops)  # read three times below
+    if not kept:
+        stops = cut_lineage(stops)  # read three times below
     base = stops.groupBy("tour_id").agg(
         F.coalesce(F.max(F.when(treated(), F.col("ordre"))), F.lit(0)).alias("_base"),
         F.count_if(pending() & F.col("located")).alias("_open"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from roundsman.functions.text import normalize_city, normalize_street
 from roundsman.operators.ranges import block_of, number_rows
+from roundsman.session import stored
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
@@ -188,6 +189,10 @@ class Views:
             df = df.repartition(cores, _SPREAD[name])
         return df
 
+    def keep(self, name: str) -> None:
+        """Write a view that several others are made from, so that it is worked out once."""
+        setattr(self, name, stored(getattr(self, name)))
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: getattr(self, n) for n in names_in(text)})
 

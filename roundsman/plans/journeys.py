@@ -95,6 +95,7 @@ _NEW = """SELECT tour_id, 'new' || CAST(tour_id AS STRING) AS colis_id, 48 + CAS
 )
 def _(v):
     """A late parcel into every running tour, where the road times make it cheapest."""
+    v.keep("lines")  # stops and parcels are made from them
     stops, gaps = J.insert_parcels(v.sql(_NEW), v.tour, v.stop, v.parcel, v.node, v.edge, v.turn)
     return stops.join(gaps.select("tour_id", "colis_id", "extra_s"), ["tour_id", "colis_id"], "left").select(
         "tour_id", "colis_id", "ordre", "statut", "unplaced", "extra_s"

@@ -65,3 +65,24 @@ def test_maps_and_rounds_agree(spark, grid, monkeypatch):
     by_map = rows(grid, spark, points)
     monkeypatch.setattr(reach, "MAP_EDGES", 300)
     assert rows(grid, spark, points) == by_map
+
+
+def test_matrix_in_lists_holds_the_same_links(spark, grid, monkeypatch):
+    """Lists cut short, sources asked for in several lots, nodes unknown or missing: the pairs of a plain join."""
+    from roundsman.operators.ordering import link_rows
+
+    _, edges, turns = grid
+    points = [(t, i, (t * 13 + i * 29) % 121) for t in range(5) for i in range(4)] + [(7, 0, None), (7, 1, 3), (8, 0, 3), (8, 0, 40), (None, 0, 3)]
+    spots = spark.createDataFrame(points, "tour_id long, i long, node long")
+    monkeypatch.setattr(G, "REGION_NODES", 40)
+    monkeypatch.setattr(R, "LIST", 3)
+    monkeypatch.setattr(reach, "_ASKED", 4)
+    found = R.shortest_times(spots.selectExpr("node AS source"), edges, turns, 80.0).collect()
+    times = {(r["source"], r["node"]): r["seconds"] for r in found}
+    wanted = sorted(
+        (t, i, j, times.get((a, b), float("inf"))) for t, i, a in points for u, j, b in points if t == u and t is not None
+    )
+    lists = R.time_matrix(spots, edges, turns, 80.0, lists=True)
+    assert max(len(r["j"]) for r in lists.collect()) == 3
+    assert sorted(map(tuple, link_rows(lists).collect())) == wanted
+    assert sorted(map(tuple, R.time_matrix(spots, edges, turns, 80.0).collect())) == wanted
