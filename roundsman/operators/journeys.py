@@ -24,8 +24,9 @@ def compute_tours(
     point is far from every road; it is driven from the nearest node all the same, as is a
     point without coordinates from node 0.
     """
-    points = cut_lineage(snap_points(tour_points(tours, parcels), nodes))
-    matrix = cut_lineage(time_matrix(points.select("tour_id", "i", "node"), edges, turns, max_s))
+    # kept before they are snapped: that reads them several times, and they take the parcels to be numbered
+    points = stored(snap_points(stored(tour_points(tours, parcels)), nodes))
+    matrix = stored(time_matrix(points.select("tour_id", "i", "node"), edges, turns, max_s, lists=True))
     order = cut_lineage(optimize(points.select("tour_id", "i", "avant12h", "fixed_end"), matrix, penalty_s))
     made, stops = build_tours(order, matrix, points)
     return made, stops, points

@@ -110,11 +110,13 @@ class Map(G.Region):
         for s, (e, w) in enumerate(seeds):
             np.minimum.at(d, (np.searchsorted(self.e, e), s), w)
         known = [None if t is None else self.node_at(t) for t in targets]
-        ended = [s for s, t in enumerate(targets) if t is not None and len(known[s][0]) == len(t) > 0]
+        # a node no edge of the map leads to is out of reach, so nothing is searched for its sake
+        limit = np.array([0.0 if k is not None and not len(k[0]) else max_s for k in known])
+        ended = [s for s, k in enumerate(known) if k is not None and len(k[0])]
         bound = None
         if ended:
             wanted, which = np.unique(np.concatenate([known[s][1] for s in ended]), return_inverse=True)
-            cuts = np.append(0, np.cumsum([len(targets[s]) for s in ended]))
+            cuts = np.append(0, np.cumsum([len(known[s][0]) for s in ended]))
             which = [which[a:b] for a, b in zip(cuts, cuts[1:])]
             spans = self.node_end[wanted] - self.node_start[wanted]
             starts = np.append(0, np.cumsum(spans)[:-1])
@@ -127,7 +129,7 @@ class Map(G.Region):
                     far[s] = arrived[at, s].max()
                 return far  # infinite while one of them is not reached
 
-        self.relax(d, np.full(len(seeds), max_s), bound)
+        self.relax(d, limit, bound)
         return d
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,11 @@ _BLOCK = 32
 _COMPACT = 16
 
 #: Relaxations between two looks at the farthest target.
-_BOUND_STEPS = 8
+_BOUND_STEPS = 16
+#: Stretch of time whose edges pass on together, in lengths of a middling edge.
+_STRETCH = 1.0
+#: Turns into one edge that are compared in step.
+_IN_STEP = 8
 
 _INF = float("inf")
 #: Predecessor of a source's first edges.
@@ -82,6 +87,18 @@ def build_graph(edges: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFram
     return cut_lineage(own.join(ways, "region", "left")), located, splits
 
 
+def _least(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Least of each stretch of rows; stretches are mostly short, and then faster gone through in step."""
+    sizes = np.diff(np.append(starts, len(rows)))
+    if sizes.max() > _IN_STEP:
+        return np.minimum.reduceat(rows, starts, axis=0)
+    least = rows.take(starts, axis=0)
+    for k in range(1, sizes.max()):
+        more = np.flatnonzero(sizes > k)
+        least[more] = np.minimum(least[more], rows[starts[more] + k])
+    return least
+
+
 class Region:
     """One region's edges (in order of their numbers) and turns as arrays."""
 
@@ -111,27 +128,48 @@ class Region:
         """Least time per node of the region (rows) and source (columns)."""
         return np.minimum.reduceat(d[self.by_node], self.node_start, axis=0)
 
+    @cached_property
+    def leaving(self) -> tuple[np.ndarray, np.ndarray]:
+        """Turns by the edge they start from, and where an edge's turns begin among them."""
+        order = np.argsort(self.turn_from, kind="stable")
+        return order, np.searchsorted(self.turn_from[order], np.arange(len(self.e) + 1))
+
     def relax(self, d: np.ndarray, limit: np.ndarray, bound: Callable[[np.ndarray], np.ndarray] | None) -> None:
-        """Improve ``d`` (edges x sources) in place until no turn inside the region does."""
-        live = np.ones(len(self.e), bool)
+        """Improve ``d`` (edges x sources) in place until no turn inside the region does.
+
+        Edges pass on what they got nearest first, those of a stretch of time together: an edge far off
+        waits until the ways to it are nearly settled, instead of passing on every improvement.
+        """
+        if not len(self.turn_to):
+            return
+        order, begin = self.leaving
+        stretch = _STRETCH * float(np.fmax(np.median(self.turn_w), 0.0))
+        due = np.fmin.reduce(d, axis=1)
+        due[np.isnan(due)] = _INF
         steps = 0
-        while live.any() and len(self.turn_to):
+        while np.isfinite(first := due.min()) and first <= limit.max():
             steps += 1
             if bound is not None and steps % _BOUND_STEPS == 0:
                 limit = np.minimum(limit, bound(d))
-            some = np.flatnonzero(live[self.turn_from])
+            now = np.flatnonzero(due <= first + stretch)
+            due[now] = _INF
+            counts = begin[now + 1] - begin[now]
+            ends = np.cumsum(counts)
+            # turns are numbered by the edge they lead to
+            some = np.sort(order[np.arange(ends[-1]) + np.repeat(begin[now] - (ends - counts), counts)])
             if not len(some):
-                break
-            reached = d[self.turn_from[some]] + self.turn_w[some, None]
-            reached[reached > limit] = _INF
+                continue
+            reached = d.take(self.turn_from[some], axis=0)
+            reached += self.turn_w[some, None]
             to = self.turn_to[some]
             starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            to = to[starts]
-            least = np.minimum.reduceat(reached, starts, axis=0)
-            better = least < d[to]
-            d[to] = np.where(better, least, d[to])
-            live[:] = False
-            live[to[better.any(axis=1)]] = True
+            to, least = to[starts], _least(reached, starts)
+            known = d.take(to, axis=0)
+            better = (least < known) & (least <= limit)
+            hit = np.flatnonzero(better.any(axis=1))
+            to, better, least = to[hit], better[hit], least[hit]
+            d[to] = np.where(better, least, known[hit])
+            due[to] = np.minimum(due[to], np.where(better, least, _INF).min(axis=1, initial=_INF))
 
     def previous(self, d: np.ndarray, x_d: np.ndarray, x_prev: np.ndarray) -> np.ndarray:
         """The edge before each edge on a fastest way, the lowest of several; ``SEED`` for first edges.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roundsman.operators.ordering import INF, legs, link_seconds
 from roundsman.operators.ranges import block_of, number_rows
 from roundsman.operators.status import pending, treated
-from roundsman.session import cut_lineage
+from roundsman.session import cut_lineage, stored
 
 
 def eligible(parcels: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def tour_points(tours: DataFrame, parcels: DataFrame) -> DataFrame:
     ``tours(tour_id, start_lat, start_lon, return_to_depot, depot_lat, depot_lon)``;
     ``parcels`` carries the tour it is meant for in ``tour_id``.
     """
-    taken = eligible(parcels).join(tours.select("tour_id"), "tour_id", "left_semi")
+    taken = eligible(parcels).select("tour_id", "id", "lat", "lon", "avant12h", "rank")
+    taken = stored(taken.join(tours.select("tour_id"), "tour_id", "left_semi"))  # read three times below
     block = F.concat(F.col("rank").cast("string"), F.lit("|"), F.substring("id", 1, 6))
     numbered = number_rows(taken, ["tour_id"], block, ["rank", "id"], "i")
     no = F.lit(False)

@@ -86,3 +86,47 @@ def test_matrix_in_lists_holds_the_same_links(spark, grid, monkeypatch):
     assert max(len(r["j"]) for r in lists.collect()) == 3
     assert sorted(map(tuple, link_rows(lists).collect())) == wanted
     assert sorted(map(tuple, R.time_matrix(spots, edges, turns, 80.0).collect())) == wanted
+
+
+def test_edges_pass_on_nearest_first(monkeypatch):
+    """A long street with a slow way beside it: every edge passes on about once, not once per improvement."""
+    import numpy as np
+
+    n = 200
+    here = G.Region.__new__(G.Region)
+    here.e = np.arange(n)
+    # from each edge to the next in 1 s, and to the one after that in 5 s: fewer turns, but slower
+    turns = sorted([(k + 1, k, 1.0) for k in range(n - 1)] + [(k + 2, k, 5.0) for k in range(n - 2)])
+    to, start, w = (np.array(c) for c in zip(*turns))
+    here.turn_to, here.turn_from, here.turn_w = to, start, w
+    passed = []
+    least = G._least
+    monkeypatch.setattr(G, "_least", lambda rows, starts: passed.append(len(rows)) or least(rows, starts))
+    d = np.full((n, 1), np.inf)
+    d[0] = 0.0
+    here.relax(d, np.array([1000.0]), None)
+    assert (d[:, 0] == np.arange(n)).all()
+    assert sum(passed) < 4 * len(turns)
+
+
+def test_nodes_out_of_the_map_do_not_prolong_a_search(spark, grid, monkeypatch):
+    """A target no edge of the map leads to is out of reach: the source stops at its farthest other target."""
+    _, edges, turns = grid
+    ended = []
+
+    class Watched(reach.Map):
+        def search(self, seeds, targets, max_s):
+            d = super().search(seeds, targets, max_s)
+            ended.append((d < float("inf")).mean())
+            return d
+
+    monkeypatch.setattr(G, "REGION_NODES", 200)
+    pairs = spark.createDataFrame([(0, 1), (0, 999)], "source long, target long")
+    found = reach.Reach(pairs.select("source"), edges, turns, 3600.0, targets=pairs)
+    rows = found.copies.unionByName(found.work, allowMissingColumns=True).sort("source").toArrow().to_batches()
+    step = reach._times_step(3600.0)
+    monkeypatch.setattr(reach, "Map", Watched)
+    monkeypatch.setattr(G, "_BOUND_STEPS", 1)
+    got = [b.to_pylist() for b in reach._mapped(step, 32, 1 << 20)(rows)]
+    assert [r["node"] for rows in got for r in rows] == [1]
+    assert ended[0] < 0.5

@@ -48,3 +48,35 @@ def test_taken_parcels_need_no_table_of_all_ids(spark):
         [("a", "en_tournee"), ("a", "en_tournee"), ("b", "pret"), (None, "pret")], key=str
     )
     assert "Aggregate" not in _plan(found)
+
+
+def test_plans_keep_what_they_read_again(spark, monkeypatch):
+    """Tours computed and a parcel inserted: the matrix travels in lists, and what is read again lies in files."""
+    from pyspark.sql.types import ArrayType
+
+    from roundsman.operators import journeys as J
+
+    nodes = spark.createDataFrame([(i, 48.0 + i * 0.004, 5.0) for i in range(6)], "node long, lat float, lon float")
+    links = [(u, v) for u in range(6) for v in (u - 1, u + 1) if 0 <= v < 6]
+    edges = [(k, u, v, 10.0) for k, (u, v) in enumerate(links)]
+    turns = [(a[0], b[0]) for a in edges for b in edges if a[2] == b[1] and b[2] != a[1]]
+    edges, turns = spark.createDataFrame(edges, "e long, u long, v long, w float"), spark.createDataFrame(turns, "e long, f long")
+    places = [("a", 1, 48.008, 5.0, "pret"), ("b", 1, 48.004, 5.0, "pret"), ("c", 1, 48.016, 5.0, "en_tournee"), ("d", 1, 48.0, 5.0, "livre")]
+    parcels = spark.createDataFrame([(*p, False) for p in places], "id string, tour_id long, lat double, lon double, statut string, avant12h boolean")
+    tours = spark.createDataFrame([(1, 48.0, 5.0, True, 48.0, 5.0)], "tour_id long, start_lat double, start_lon double, return_to_depot boolean, depot_lat double, depot_lon double")
+    kept, solved = [], []
+    stored, optimize, gap = J.stored, J.optimize, J.cheapest_gap
+    monkeypatch.setattr(J, "stored", lambda df: kept.append(df.columns) or stored(df))
+    monkeypatch.setattr(J, "optimize", lambda p, m, *a: solved.append(m) or optimize(p, m, *a))
+    monkeypatch.setattr(J, "cheapest_gap", lambda r, n, m: solved.append(m) or gap(r, n, m))
+    made, stops, _ = J.compute_tours(tours, parcels, nodes, edges, turns, 0.0)
+    assert [tuple(r) for r in stops.select("colis_id", "ordre", "leg_s").sort("ordre").collect()] == [("b", 1, 10.0), ("a", 2, 10.0), ("c", 3, 20.0)]
+    assert [r.total_s for r in made.collect()] == [80.0]
+    running = tours.selectExpr("*", "depot_lat AS return_lat", "depot_lon AS return_lon")
+    new = spark.createDataFrame([(1, "n", 48.012, 5.0)], "tour_id long, colis_id string, lat double, lon double")
+    inserted, gaps = J.insert_parcels(new, running, stops, parcels, nodes, edges, turns)
+    assert [(r.gap, r.extra_s) for r in gaps.collect()] == [(2, 0.0)]
+    assert [r.colis_id for r in inserted.sort("ordre").collect()] == ["b", "a", "n", "c"]
+    assert all(isinstance(m.schema["j"].dataType, ArrayType) for m in solved) and len(solved) == 2
+    # points before they are snapped, in both plans
+    assert sum("node" not in c and "lat" in c and ("i" in c or "k" in c) for c in kept) == 2
